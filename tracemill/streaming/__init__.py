@@ -1,0 +1 @@
+"""Nothing yet: every source of a trace is a bounded set of files, so no operator here is a stream."""
