@@ -228,7 +228,7 @@ QUERIES = {
     "machines_removed_for_good": "SELECT * FROM removed_for_good",
     "removed_for_good_count": "SELECT count(*) AS machine_count FROM removed_for_good",
     "mean_removal_gap": """
-        SELECT avg(gap) / 1000000 AS mean_gap_seconds FROM (
+        SELECT sum(gap) / (count(gap) * 1000000) AS mean_gap_seconds FROM (
           SELECT time - lag(time) OVER (ORDER BY time) AS gap FROM machine_events WHERE event_type = 1)""",
     "machine_history": "SELECT * FROM machine_events WHERE machine_id = 7",
     "machine_update_configs": "SELECT * FROM update_configs",

@@ -25,10 +25,11 @@ def lookup_join(
     """Join ``facts``, where single keys may hold very many rows, with the aggregated ``dim``.
 
     With ``broadcast_bytes``, a dim that fits is sent to the executors and the facts do not move.
-    Otherwise both sides are shuffled. Spark then splits an oversized partition of facts over
-    several tasks, but only if both sides come straight from an exchange. An aggregate grouped by
-    ``keys`` would go into the join without one, so a hash of the keys is joined on as well: it
-    costs one more exchange of the aggregated side and nothing for the facts.
+    Otherwise both sides are shuffled, and Spark splits an oversized partition of facts over several
+    tasks. It does so only if both sides come straight from an exchange and no later step relies on
+    the join's partitioning. An aggregate by ``keys`` before or after the join would break that, so
+    a hash of the keys is joined on as well: the aggregated side is exchanged once more, which is
+    little beside the facts, and a later aggregate exchanges its partial results.
     """
     keys = list(keys)
     if broadcast_bytes and fits_broadcast(dim, broadcast_bytes):

@@ -146,3 +146,12 @@ def _usage_analyses() -> dict[str, Analysis]:
 ANALYSES: dict[str, Analysis] = {
     **_machine_analyses(), **_task_analyses(), **_placement_analyses(), **_usage_analyses(),
 }
+
+# Results with a row per event, task, job or usage row; the others are small tables.
+ROW_GRAIN = {
+    "machine_events_ordered", "machine_remove_events", "machine_removals_by_time", "reconfigured_machine_events",
+    "tasks_per_job", "task_schedule_events", "task_schedule_pairs", "task_durations", "task_duration_anomalies",
+    "requested_resources", "task_attributes", "task_attribute_rows", "broadcast_machine_lookup",
+    "task_attribute_lookup", "max_resource_use", "task_usage_max", "resource_requested_used",
+    "resource_requested_used_per_task", "usage_with_request",
+}

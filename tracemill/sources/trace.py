@@ -5,6 +5,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracemill.functions.columns import DAY
+from tracemill.operators.joins import lookup_join
 from tracemill.sources.files import read_lines, read_table
 from tracemill.sources.output import write_parquet
 from tracemill.sources.schemas import JOB_EVENTS, MACHINE_EVENTS, TABLES, TASK_EVENTS, TASK_USAGE
@@ -184,8 +185,9 @@ class SampleTrace(Trace):
         order, part, line = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber").cast("bigint")
         source = self._parquet("lineitem")
         if with_orders:
-            orders = self._parquet("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-            source = source.join(orders, source.l_orderkey == orders.o_orderkey, "left")
+            orders = self._parquet("orders").select(
+                F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority")
+            source = lookup_join(source, orders, ["l_orderkey"], "left")
         columns = {
             "time": _days("l_shipdate") + line * 1_000_000 + part,
             "missing_info": F.lit(0).cast("bigint"),
