@@ -1,0 +1,159 @@
+"""Reading trace files, bad lines, writing results, the runner."""
+
+import pytest
+from pyspark.errors import PySparkException
+
+from tests.tables import rows
+from tracemill import run as runner
+from tracemill.operators import cached
+from tracemill.session import scratch_folder
+from tracemill.sources.files import parse_lines, read_lines, read_table, read_utilization, table_lines
+from tracemill.sources.output import write_csv
+from tracemill.sources.schemas import JOB_EVENTS, MACHINE_EVENTS, TABLES, TASK_EVENTS
+from tracemill.sources.trace import CsvTrace, SampleTrace
+
+SAMPLE = "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def lines(spark):
+    return lambda *texts: spark.createDataFrame([(t,) for t in texts], "line string")
+
+
+def test_empty_fields_become_zero_blank_or_null(lines):
+    parsed = parse_lines(lines("5,,1,2,,,,,,,,,"), TASK_EVENTS)
+    assert rows(parsed) == [(5, 0, 1, 2, None, 0, "", 0, 0, 0.0, 0.0, 0.0, None)]
+    zero = parse_lines(lines("5,,1,2,,,,,,,,,"), TASK_EVENTS, zero_machine_id=True)
+    assert rows(zero.select("machine_id")) == [(0,)]
+
+
+@pytest.mark.parametrize("text, by_value, by_presence", [("", None, False), ("0", False, True), ("1", True, True)])
+def test_flags(lines, text, by_value, by_presence):
+    line = lines(f"5,,1,2,,,,,,,,,{text}")
+    flag = lambda **o: rows(parse_lines(line, TASK_EVENTS, **o).select("different_machine_restrictions"))
+    assert flag() == [(by_value,)]
+    assert flag(presence_flags=True) == [(by_presence,)]
+
+
+def test_quotes_have_no_meaning(lines):
+    parsed = parse_lines(lines('1,0,2,0,a,1,"b,c"'), JOB_EVENTS)
+    assert rows(parsed.select("job_name", "logical_job_name")) == [('"b', 'c"')]
+
+
+def test_fields_past_the_last_are_ignored(lines):
+    assert rows(parse_lines(lines("1,2,0,P,0.5,1,more"), MACHINE_EVENTS)) == [(1, 2, 0, "P", 0.5, 1.0)]
+
+
+@pytest.mark.parametrize("bad", ["1,2,0,P,0.5", "1,x,0,P,0.5,1", ",2,0,P,0.5,1", "1,2,0,P,half,1", "1.5,2,0,P,1,1", ""])
+def test_bad_line_fails_or_is_kept_apart(spark, lines, bad):
+    both = lines("1,2,0,P,0.5,1", bad)
+    with pytest.raises(PySparkException, match="cannot be read from"):
+        parse_lines(both, MACHINE_EVENTS).collect()
+    parsed = parse_lines(both, MACHINE_EVENTS, mode="quarantine")
+    assert rows(parsed.where("bad_line is null").drop("bad_line")) == [(1, 2, 0, "P", 0.5, 1.0)]
+    assert rows(parsed.where("bad_line is not null").select("bad_line")) == [(bad,)]
+
+
+def test_strict_mode_does_not_depend_on_the_ansi_setting(spark, lines):
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(PySparkException, match="cannot be read from"):
+            parse_lines(lines("1,x,0,P,0.5,1"), MACHINE_EVENTS).collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_unread_columns_are_not_parsed(lines):
+    plan = parse_lines(lines("1,2,0,P,0.5,1"), MACHINE_EVENTS).select("machine_id")
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "machine_events.machine_id" in text and "machine_events.cpu" not in text
+
+
+def test_file_folder_glob_and_list(spark, lines):
+    folder = scratch_folder(spark, "parts")
+    for part in ("a", "b"):
+        lines(f"1,2,0,{part},0.5,1").write.option("compression", "gzip").text(f"{folder}/{part}")
+    platforms = lambda path, glob=None: sorted(
+        r[0] for r in rows(read_table(spark, MACHINE_EVENTS, path, glob).select("platform_id")))
+    assert platforms(f"{folder}/a") == ["a"]
+    assert platforms(f"{folder}/[ab]") == platforms([f"{folder}/a", f"{folder}/b"]) == ["a", "b"]
+    assert platforms(f"{folder}/a", "part-*.gz") == ["a"]
+    assert platforms(f"{folder}/a", "other-*") == []
+
+
+def test_raw_lines_count_and_first(spark):
+    trace = SampleTrace(spark, SAMPLE)
+    folder = scratch_folder(spark, "attributes")
+    trace.machine_attributes.write.option("compression", "gzip").text(folder)
+    raw = read_lines(spark, folder)
+    assert raw.count() == trace.machine_events.count()
+    assert len(raw.take(5)) == 5
+
+
+def test_results_have_folders_of_their_own(spark):
+    out = scratch_folder(spark, "out")
+    df = spark.range(100, numPartitions=4)
+    files = lambda path: sorted(p for p in spark.read.format("binaryFile").load(path).select("path").toPandas()["path"])
+    one = write_csv(df, out, "one", one_file=True)
+    assert len(files(one)) == 1
+    assert len(files(write_csv(df, out, "moved", one_file=True, shuffle=True))) == 1
+    assert len(files(write_csv(df, out, "large", one_file=True, one_file_rows=99))) == 4
+    write_csv(df, out, "one", one_file=True)
+    assert spark.read.option("header", True).csv(one).count() == 100
+    write_csv(df, out, "one", mode="append")
+    assert spark.read.option("header", True).csv(one).count() == 200
+
+
+def test_sorted_result_stays_sorted_in_its_file(spark):
+    path = write_csv(spark.range(1000).orderBy("id", ascending=False), scratch_folder(spark, "out"), "r", one_file=True)
+    ids = [int(r[0]) for r in spark.read.option("header", True).csv(path).collect()]
+    assert ids == sorted(ids, reverse=True)
+
+
+def test_utilization_is_read_back(spark):
+    df = spark.createDataFrame([(1, 0.5), (2, None)], "machine_id bigint, utilization double")
+    path = write_csv(df, scratch_folder(spark, "out"), "u")
+    assert sorted(rows(read_utilization(spark, path))) == [(1, 0.5), (2, 0.0)]
+
+
+@pytest.fixture(scope="module")
+def csv_trace(spark):
+    folder, trace = scratch_folder(spark, "trace"), SampleTrace(spark, SAMPLE)
+    for name, table in TABLES.items():
+        table_lines(getattr(trace, name), table).write.option("compression", "gzip").text(f"{folder}/{name}")
+    trace.machine_attributes.write.text(f"{folder}/machine_attributes")
+    return CsvTrace(spark, folder)
+
+
+def test_views_for_sql(spark, csv_trace):
+    csv_trace.register_views()
+    for view in (*TABLES, "macine_events"):
+        assert spark.table(view).count() > 0
+    by_sql = spark.sql("SELECT count(*) FROM task_events WHERE event_type = 1").first()[0]
+    assert by_sql == csv_trace.task_events.where("event_type = 1").count()
+
+
+@pytest.mark.parametrize("by_day", [False, True])
+def test_conversion_keeps_the_tables(spark, csv_trace, by_day):
+    parquet = csv_trace.convert(scratch_folder(spark, "parquet"), by_day)
+    for name in TABLES:
+        before, after = getattr(csv_trace, name), getattr(parquet, name)
+        assert before.schema.names == after.schema.names
+        assert sorted(map(repr, before.collect())) == sorted(map(repr, after.collect()))
+
+
+def test_runner_writes_named_results(spark, csv_trace, capsys):
+    out = scratch_folder(spark, "out")
+    paths = runner.run(csv_trace, out, ["task_life_cycle", "tasks_per_job"], show=2)
+    assert "evicted_task_count" in capsys.readouterr().out
+    expected = SampleTrace(spark, SAMPLE)
+    written = spark.read.option("header", True).csv(paths["task_life_cycle"])
+    assert written.count() == expected.task_events.select("priority").distinct().count()
+    assert spark.read.option("header", True).csv(paths["tasks_per_job"]).count() == \
+        expected.task_events.select("job_id").distinct().count()
+
+
+def test_cached_result_is_released(spark):
+    with cached(spark.range(10)) as kept:
+        assert kept.count() == 10 and kept.is_cached
+    assert not kept.is_cached
