@@ -351,6 +351,7 @@ QUERIES = {
     "src_raw_lines": """
         SELECT concat_ws(',', CAST(datediff('microsecond', TIMESTAMP '2024-01-01', ts) AS VARCHAR),
                          CAST(user_id AS VARCHAR), event_type, props) AS line FROM events""",
+    "src_raw_line_count": "SELECT count(*) AS row_count FROM events",
     "src_machine_utilization": "SELECT machine_id, machine_utilization AS utilization FROM utilization",
     "src_glob": "SELECT * FROM job_events",
     "parse_defaults": """

@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from tracemill.operators.aggregates import row_count
 from tracemill.plans import tasks, usage
 from tracemill.session import scratch_folder
 from tracemill.sources.files import parse_lines, read_lines, read_table, read_utilization, table_lines
@@ -82,6 +83,7 @@ def _sink(t: Trace, df: DataFrame, name: str, shuffle: bool) -> DataFrame:
 ROUND_TRIPS: dict[str, Callable[[Trace], DataFrame]] = {
     **{f"src_{name}": _table(name) for name in TABLES},
     "src_raw_lines": _raw_lines,
+    "src_raw_line_count": lambda t: row_count(_raw_lines(t)),
     "src_machine_utilization": _utilization,
     "src_glob": _glob,
     "parse_defaults": _defaults,

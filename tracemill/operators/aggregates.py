@@ -24,7 +24,7 @@ def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Se
 
 def count_by_code(df: DataFrame, code: str, names: Mapping[str, int], keys: Sequence[str] = (), *more) -> DataFrame:
     """One column per name with the number of rows that carry its code; 0, not null, where there is none."""
-    counts = [F.count_if(F.col(code) == value).alias(name) for name, value in names.items()]
+    counts = [F.count(F.when(F.col(code) == value, True)).alias(name) for name, value in names.items()]
     return df.groupBy(*keys).agg(*counts, *more)
 
 
