@@ -2,9 +2,11 @@
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from tests.tables import rows
 from tracemill import run as runner
+from tracemill.functions.columns import DAY
 from tracemill.operators import cached
 from tracemill.session import scratch_folder
 from tracemill.sources.files import parse_lines, read_lines, read_table, read_utilization, table_lines
@@ -133,13 +135,29 @@ def test_views_for_sql(spark, csv_trace):
     assert by_sql == csv_trace.task_events.where("event_type = 1").count()
 
 
+class FirstDays(SampleTrace):
+    """Few days, as a trace has them: the sample tables cover years."""
+
+    job_events = property(lambda self: super().job_events.where(F.col("time") < 30 * DAY))
+    task_events = property(lambda self: super().task_events.where(F.col("time") < 30 * DAY))
+    task_usage = property(lambda self: super().task_usage.where(F.col("start_time") < 30 * DAY))
+
+
 @pytest.mark.parametrize("by_day", [False, True])
-def test_conversion_keeps_the_tables(spark, csv_trace, by_day):
-    parquet = csv_trace.convert(scratch_folder(spark, "parquet"), by_day)
+def test_conversion_keeps_the_tables(spark, by_day):
+    trace, folder = FirstDays(spark, SAMPLE), scratch_folder(spark, "parquet")
+    parquet = trace.convert(folder, by_day)
     for name in TABLES:
-        before, after = getattr(csv_trace, name), getattr(parquet, name)
+        before, after = getattr(trace, name), getattr(parquet, name)
         assert before.schema.names == after.schema.names
         assert sorted(map(repr, before.collect())) == sorted(map(repr, after.collect()))
+    assert ("day" in spark.read.parquet(f"{folder}/task_events").columns) == by_day
+
+
+def test_csv_trace_has_all_rows(spark, csv_trace):
+    sample = SampleTrace(spark, SAMPLE)
+    for name in TABLES:
+        assert getattr(csv_trace, name).count() == getattr(sample, name).count()
 
 
 def test_runner_writes_named_results(spark, csv_trace, capsys):

@@ -36,11 +36,17 @@ def conf(spark):
 
 
 @pytest.fixture
-def small_partitions(conf):
-    """Thresholds scaled down, so that a few megabytes count as a large partition."""
-    conf(autoBroadcastJoinThreshold="-1", shuffle__partitions="64",
-         adaptive__skewJoin__skewedPartitionThresholdInBytes="100k",
-         adaptive__advisoryPartitionSizeInBytes="50k")
+def many_tasks(conf):
+    """Shuffle joins over 64 tasks that are neither merged nor split at run time."""
+    conf(autoBroadcastJoinThreshold="-1", shuffle__partitions="64", adaptive__skewJoin__enabled="false",
+         adaptive__coalescePartitions__enabled="false")
+
+
+def largest_task_share(df):
+    """Part of the rows of ``df`` that comes from one task of its last stage; all columns are read."""
+    by_task = df.groupBy(F.spark_partition_id()).agg(F.count("*"), *[F.max(c) for c in df.columns])
+    counts = [r[1] for r in rows(by_task)]
+    return max(counts) / sum(counts)
 
 
 @pytest.mark.parametrize("name", sorted(ANALYSES))
@@ -81,18 +87,33 @@ def uneven_facts(spark, n=600_000):
         F.when(i % 3 == 0, 7).otherwise(i % 20_000).alias("k"), F.xxhash64("id").alias("v"))
 
 
-def test_hot_key_is_split_beside_an_aggregate(spark, small_partitions):
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_key_is_spread_over_tasks(spark, many_tasks, how):
     facts = uneven_facts(spark)
     dim = spark.range(100_000).groupBy((F.col("id") % 20_000).alias("k")).agg(F.max("id").alias("m"))
+    salted, plain = lookup_join(facts, dim, ["k"], how), facts.join(dim, "k", how)
+    assert salted.columns == plain.columns
+    totals = lambda df: rows(df.agg(F.count("*"), F.sum("k"), F.bit_xor("v"), F.sum("m")))
+    assert totals(salted) == totals(plain)
+    assert largest_task_share(plain) > 0.33 and largest_task_share(salted) < 0.15
+
+
+def test_rows_without_a_key_are_spread_over_tasks(spark, many_tasks):
+    facts = uneven_facts(spark).withColumn("k", F.when(F.col("k") != 7, F.col("k")))
+    dim = spark.range(20_000).select(F.col("id").alias("k"), F.col("id").alias("m"))
+    joined = lookup_join(facts, dim, ["k"], "left")
+    assert rows(joined.agg(F.count("*"), F.count("k"), F.count("m")))[0] == (600_000, *(facts.where("k is not null").count(),) * 2)
+    assert largest_task_share(joined) < 0.15
 
-    def totals(joined):
-        by_key = joined.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("v"), F.max("m").alias("m"))
-        return by_key.agg(F.count("*"), F.sum("n"), F.max("v"), F.sum("m"))
 
-    split, plain = totals(lookup_join(facts, dim, ["k"])), totals(facts.join(dim, "k"))
-    assert rows(split) == rows(plain)
-    assert "SortMergeJoin(skew=true)" in physical(split)
-    assert "skew=true" not in physical(plain)
+def test_frequent_keys_only_steer_the_spread(spark, many_tasks):
+    """The result is the same whichever keys are taken for frequent."""
+    facts = spark.range(3000, numPartitions=4).select((F.col("id") % 20).alias("k"), F.col("id").alias("v"))
+    dim = spark.range(15).select(F.col("id").alias("k"), F.col("id").alias("m"))
+    expected = sorted(rows(facts.join(dim, "k")))
+    for share in (0.001, 0.04, 0.06, 0.9):
+        assert sorted(rows(lookup_join(facts, dim, ["k"], hot_share=share))) == expected
+    assert rows(lookup_join(facts.limit(0), dim, ["k"])) == []
 
 
 def uneven_trace(spark):
@@ -116,14 +137,13 @@ def uneven_trace(spark):
     lambda e, u: usage.resource_requested_used(e, u),
     lambda e, u: placement.task_attribute_lookup(e, u),
 ], ids=["requested_used", "attribute_lookup"])
-def test_hot_task_is_split(spark, small_partitions, query):
+def test_hot_task_is_spread_over_tasks(spark, many_tasks, query):
     df = query(*uneven_trace(spark))
-    counted = df.agg(F.count("*"), F.count("cpu_request"), *[F.max(c) for c in df.columns])
-    assert rows(counted)[0][:2] == (600_000, 600_000)
-    assert "SortMergeJoin(skew=true)" in physical(counted)
+    assert rows(df.agg(F.count("*"), F.count("cpu_request")))[0] == (600_000, 600_000)
+    assert largest_task_share(df) < 0.15
 
 
-def test_hot_machine_is_joined_after_counting(spark, small_partitions):
+def test_hot_machine_is_joined_after_counting(spark, many_tasks):
     """What reaches the join of a busy machine is one row per priority."""
     events, _ = uneven_trace(spark)
     m = machine_events(spark, *[{"machine_id": i, "cpu": 0.5, "memory": 0.5} for i in (3, 4, 5)])
@@ -133,7 +153,7 @@ def test_hot_machine_is_joined_after_counting(spark, small_partitions):
     assert "partial_count" in below_join.split("Exchange hashpartitioning(machine_id")[2]
 
 
-def test_distinct_counts_of_a_hot_job_spread_by_task(spark, small_partitions):
+def test_distinct_counts_of_a_hot_job_spread_by_task(spark, many_tasks):
     events, _ = uneven_trace(spark)
     plan = physical(tasks.tasks_per_job(events))
     assert re.search(r"Exchange hashpartitioning\(job_id#\d+L?, task_index#\d+L?", plan)
@@ -153,7 +173,8 @@ def test_broadcast_only_below_a_checked_size(spark, conf):
 def test_machine_lookup_gives_one_result_either_way(spark, conf):
     conf(autoBroadcastJoinThreshold="-1")
     t = SampleTrace(spark, FOLDER)
-    either = [placement.machine_lookup(t.task_events, t.machine_events, size) for size in (1 << 26, 0)]
+    events = t.tasks("time", "job_id", "task_index", "machine_id")
+    either = [placement.machine_lookup(events, t.machine_events, size) for size in (1 << 26, 0)]
     assert [("BroadcastHashJoin" in physical(df)) for df in either] == [True, False]
     assert sorted(map(repr, either[0].collect())) == sorted(map(repr, either[1].collect()))
 

@@ -5,7 +5,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracemill.functions.columns import DAY
-from tracemill.operators.joins import lookup_join
+from tracemill.operators.joins import BROADCAST_BYTES, lookup_join
 from tracemill.sources.files import read_lines, read_table
 from tracemill.sources.output import write_parquet
 from tracemill.sources.schemas import JOB_EVENTS, MACHINE_EVENTS, TABLES, TASK_EVENTS, TASK_USAGE
@@ -186,8 +186,11 @@ class SampleTrace(Trace):
         source = self._parquet("lineitem")
         if with_orders:
             orders = self._parquet("orders").select(
-                F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority")
-            source = lookup_join(source, orders, ["l_orderkey"], "left")
+                F.col("o_orderkey").alias("l_orderkey"),
+                "o_custkey",
+                F.substring("o_orderpriority", 1, 1).cast("bigint").alias("priority"),
+            )
+            source = lookup_join(source, orders, ["l_orderkey"], "left", BROADCAST_BYTES)
         columns = {
             "time": _days("l_shipdate") + line * 1_000_000 + part,
             "missing_info": F.lit(0).cast("bigint"),
@@ -197,7 +200,7 @@ class SampleTrace(Trace):
             "event_type": (order * 7 + line * 3 + part) % 9,
             "user": F.col("o_custkey").cast("string"),
             "scheduling_class": order % 4,
-            "priority": F.substring("o_orderpriority", 1, 1).cast("bigint"),
+            "priority": F.col("priority"),
             "cpu_request": _fraction(F.col("l_quantity")),
             "memory_request": _fraction(part % 64),
             "disk_space_request": _fraction(F.col("l_suppkey") % 16),
