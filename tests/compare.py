@@ -6,10 +6,11 @@ from pathlib import Path
 import duckdb
 
 
-def duckdb_over(folder: str) -> duckdb.DuckDBPyConnection:
+def duckdb_over(folder: str, parts: str = "") -> duckdb.DuckDBPyConnection:
+    """A view per table; ``parts`` selects the files where a table is a folder of them."""
     con = duckdb.connect()
     for path in sorted(Path(folder).glob("*.parquet")):
-        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}{parts}')")
     return con
 
 

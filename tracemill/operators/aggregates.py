@@ -55,7 +55,8 @@ def distribution(
 def share_within(df: DataFrame, group: str, value: str, total: str, share: str, digits: int) -> DataFrame:
     """Add the sum of ``value`` over its group and the rounded percentage of that sum.
 
-    The totals come from an aggregate and a join, so no task has to hold a whole group.
+    The totals come from an aggregate and a join, not from a window, which would sort and keep a
+    whole group in one task. Meant for cells that are already aggregated.
     """
     totals = df.groupBy(group).agg(F.sum(value).alias(total))
     return df.join(totals, group).withColumn(share, percent(F.col(value), F.col(total), digits))

@@ -11,6 +11,7 @@ from tracemill.sources import schemas as codes
 
 TASK = ["job_id", "task_index"]
 ATTRIBUTES = ["job_id", "task_index", "machine_id", "priority", "cpu_request", "memory_request"]
+# Result columns of the life cycle, each with its event code.
 LIFE_CYCLE = {
     "evicted_task_count": codes.EVICTED,
     "failed_task_count": codes.FAILED,
