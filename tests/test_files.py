@@ -8,6 +8,7 @@ from tests.tables import rows
 from tracemill import run as runner
 from tracemill.functions.columns import DAY
 from tracemill.operators import cached
+from tracemill.plans.catalog import ANALYSES
 from tracemill.session import scratch_folder
 from tracemill.sources.files import parse_lines, read_lines, read_table, read_utilization, table_lines
 from tracemill.sources.output import write_csv
@@ -171,6 +172,22 @@ def test_runner_writes_named_results(spark, csv_trace, capsys):
         expected.task_events.select("job_id").distinct().count()
 
 
+def test_command_line(spark, csv_trace):
+    parquet, out = scratch_folder(spark, "parquet"), scratch_folder(spark, "out")
+    runner.main(["--trace", csv_trace.folder, "--out", parquet, "--convert"])
+    runner.main(["--trace", parquet, "--format", "parquet", "--out", out, "--only", "machine_dist_cpu"])
+    written = spark.read.option("header", True).csv(f"{out}/machine_dist_cpu")
+    expected = ANALYSES["machine_dist_cpu"](SampleTrace(spark, SAMPLE))
+    assert written.columns == expected.columns
+    assert [(float(cpu), int(n)) for cpu, n in rows(written)] == rows(expected)
+
+
+def test_attribute_lines_are_converted(spark):
+    trace = FirstDays(spark, SAMPLE)
+    parquet = trace.convert(scratch_folder(spark, "parquet"), attributes=True)
+    assert sorted(rows(parquet.machine_attributes)) == sorted(rows(trace.machine_attributes))
+
+
 def test_cached_result_is_released(spark):
     with cached(spark.range(10)) as kept:
         assert kept.count() == 10 and kept.is_cached

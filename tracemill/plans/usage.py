@@ -69,9 +69,13 @@ def consumption_histogram(requested_used: DataFrame, edges: Sequence[float] = PE
     return bucket_histogram(requested_used, measures, edges)
 
 
-def usage_with_request(tasks: DataFrame, usage: DataFrame) -> DataFrame:
-    """Usage maxima beside the attributes of each scheduled task, in task order."""
-    return task_usage_max(usage).join(task_attributes(tasks), TASK).orderBy(*TASK)
+def usage_with_request(tasks: DataFrame, usage: DataFrame, ordered: bool = True) -> DataFrame:
+    """Usage maxima beside the attributes of each scheduled task, in task order.
+
+    The order costs a second run of the join, to find the limits of the ranges, and one more shuffle.
+    """
+    joined = task_usage_max(usage).join(task_attributes(tasks), TASK)
+    return joined.orderBy(*TASK) if ordered else joined
 
 
 def utilization_vs_capacity(

@@ -47,10 +47,11 @@ class Trace:
             getattr(self, name).createOrReplaceTempView(name)
         self.machine_events.createOrReplaceTempView("macine_events")
 
-    def convert(self, folder: str, by_day: bool = False) -> "ParquetTrace":
+    def convert(self, folder: str, by_day: bool = False, attributes: bool = False) -> "ParquetTrace":
         """Write the four typed tables as Parquet once, so that later scans prune columns and row groups.
 
-        ``by_day`` puts the job, task and usage tables in one sub-folder per day.
+        ``by_day`` puts the job, task and usage tables in one sub-folder per day. ``attributes`` also
+        writes the lines of machine_attributes.
         """
         clock = {"job_events": "time", "task_events": "time", "task_usage": "start_time"}
         for name in TABLES:
@@ -60,6 +61,8 @@ class Trace:
                 write_parquet(table, folder, name, partition_by="day")
             else:
                 write_parquet(table, folder, name)
+        if attributes:
+            write_parquet(self.machine_attributes, folder, "machine_attributes")
         return ParquetTrace(self.spark, folder)
 
 
@@ -120,6 +123,10 @@ class ParquetTrace(Trace):
     def task_usage(self):
         return self._table(TASK_USAGE)
 
+    @cached_property
+    def machine_attributes(self):
+        return self.spark.read.parquet(f"{self.folder}/machine_attributes")
+
 
 def _days(timestamp: str) -> Column:
     day = F.datediff(F.col(timestamp).cast("date"), F.lit("1995-01-01").cast("date"))
