@@ -187,5 +187,14 @@ def test_sample_queries_skip_the_orders_join_where_unused(spark):
     assert sorted(map(repr, t.tasks(*columns).collect())) == sorted(map(repr, t.task_events.select(*columns).collect()))
 
 
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+def test_results_do_not_depend_on_the_session_time_zone(spark, conf, zone):
+    names = ["machines_latest", "daily_task_schedule", "mean_removal_gap"]
+    results = lambda: [sorted(rows(ANALYSES[n](SampleTrace(spark, FOLDER)))) for n in names]
+    expected = results()
+    conf(session__timeZone=zone)
+    assert results() == expected
+
+
 def test_all_survey_queries_are_registered():
     assert len(contract.queries()) >= 90

@@ -4,7 +4,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tracemill.functions.columns import DAY
+from tracemill.functions.columns import DAY, SECOND
 from tracemill.operators.joins import BROADCAST_BYTES, lookup_join
 from tracemill.sources.files import read_lines, read_table
 from tracemill.sources.output import write_parquet
@@ -128,8 +128,8 @@ class ParquetTrace(Trace):
         return self.spark.read.parquet(f"{self.folder}/machine_attributes")
 
 
-def _days(timestamp: str) -> Column:
-    day = F.datediff(F.col(timestamp).cast("date"), F.lit("1995-01-01").cast("date"))
+def _days(timestamp: str, first: str = "1995-01-01") -> Column:
+    day = F.datediff(F.col(timestamp).cast("date"), F.lit(first).cast("date"))
     return day.cast("bigint") * DAY
 
 
@@ -150,7 +150,10 @@ class SampleTrace(Trace):
 
     @staticmethod
     def _event_time() -> Column:
-        return F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
+        """Microseconds since the start of 2024, field by field, so that no session time zone comes in."""
+        minutes = F.hour("ts").cast("bigint") * 60 + F.minute("ts")
+        seconds = F.extract(F.lit("SECOND"), F.col("ts"))
+        return _days("ts", "2024-01-01") + minutes * 60 * SECOND + (seconds * SECOND).cast("bigint")
 
     @cached_property
     def machine_events(self) -> DataFrame:
