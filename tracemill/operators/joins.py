@@ -1,11 +1,12 @@
 """Joins of event rows with a table that has one row per key."""
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_SHARE = 0.01
 _FIXED_WIDTH = (T.NumericType, T.BooleanType)
 
 
@@ -26,37 +27,27 @@ def lookup_join(
     keys: Sequence[str],
     how: str = "inner",
     broadcast_bytes: int = 0,
-    hot_share: float = HOT_SHARE,
 ) -> DataFrame:
     """Join ``facts``, where one key may hold a large part of the rows, with ``dim``, one row per key.
 
     With ``broadcast_bytes``, a dim that fits is sent to the executors and the facts do not move.
-    Otherwise both sides are shuffled by the keys and a salt, which is 0 except for keys with more
-    than ``hot_share`` of the facts: their rows take the number of the input partition they come
-    from, modulo the number of shuffle partitions, and their dim row is repeated for every salt.
-    Since the salt is one of the join keys, both sides reach the join straight from an exchange and
-    no later step relies on its partitioning. So Spark can split at run time what else is too large.
+    Otherwise both sides are shuffled by the keys and one more column. It is 0, or for facts with a
+    null key, which match nothing, the number of their input partition. Since it is a join key,
+    both sides reach the join straight from an exchange of its own, whatever they are partitioned
+    by before, and no later step relies on the partitioning. That is the shape in which Spark's
+    adaptive skew handling splits a partition that one key has made too large.
     """
     keys = list(keys)
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")
     if broadcast_bytes and fits_broadcast(dim, broadcast_bytes):
         return facts.join(F.broadcast(dim), keys, how)
-    salts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.array_contains(_frequent(facts, keys, hot_share), F.xxhash64(*keys))
-    # The partition number is the same when a lost task runs again; a random salt would not be.
-    salted = facts.withColumn("_salt", F.when(hot, F.spark_partition_id() % salts).otherwise(0))
-    repeated = dim.withColumn(
-        "_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    )
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
-
-
-def _frequent(facts: DataFrame, keys: list[str], share: float) -> Column:
-    """Hashes of all keys with more than ``share`` of the rows, in one array of at most 1 / share.
-
-    One pass with that many counters per task finds them. Some may be less frequent: it costs a
-    few repeated dim rows, and never a result.
-    """
-    hashes = facts.select(F.xxhash64(*keys).alias("_hash"))
-    return hashes.stat.freqItems(["_hash"], share).scalar()
+    spread = "_spread"
+    while spread in facts.columns or spread in dim.columns:
+        spread += "_"
+    no_key = reduce(or_, (F.col(k).isNull() for k in keys))
+    # The partition number is the same when a lost task runs again; a random number would not be.
+    facts = facts.withColumn(spread, F.when(no_key, F.spark_partition_id()).otherwise(0))
+    # A literal on both sides would be folded away, and the exchange with it.
+    dim = dim.withColumn(spread, F.explode(F.array(F.lit(0))))
+    return facts.join(dim, [*keys, spread], how).drop(spread)
