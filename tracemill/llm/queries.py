@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import bpe, language, mixing, quality, simhash
+from tracemill.llm import bpe, extract, itq, language, lm, mixing, quality, simhash, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,26 @@ def op2_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op4_itq_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(_table(spark, sf_dir, "pages"))
+
+
+def op6_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
+def op7_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -35,7 +55,10 @@ def op10_hash_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_ratio, op2_language_profiles, op8_tree_bpe, op9_simhash_balls, op10_hash_mix)
+    for f in (
+        op1_quality_ratio, op2_language_profiles, op3_warc_normaliser, op4_itq_near_dup, op5_url_automaton,
+        op6_log_bilinear, op7_line_blocks, op8_tree_bpe, op9_simhash_balls, op10_hash_mix,
+    )
 }
 
 #: DuckDB SQL per query, where SQL can tell the method.
