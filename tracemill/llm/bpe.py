@@ -15,11 +15,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array  # of unsigned 32-bit integers, little-endian where Spark runs
 from collections.abc import Callable, Sequence
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
-import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
@@ -28,14 +28,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tracemill.llm.common import per_text
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Encodings of pairs, windows and halves that a worker keeps, and twice as many of words; when full they start again.
-KEPT = 250_000
+#: Encodings of pairs, windows and halves that a worker keeps, and words after a space, twice as many; when full they start again.
+KEPT = 300_000
 #: Bytes of a window or a half that is short: kept, and merged by looking at all pairs in turn.
 SHORT, NO_RANK = 16, 1 << 60
 #: A part of so many bytes is a leaf of the tree: it is merged as a whole.
 LEAF_BYTES = 4
-#: White space that parts() does not cut at.
-UNEVEN = regex.compile(r"\s\s|\A\s|\s\Z|[^\S \n]").search
 #: Parts that a leaf of the tree over a text joins at once.
 LEAF = 1024
 
@@ -74,12 +72,16 @@ class TreeBpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
         self.split = regex.compile(pattern).findall
         self.pairs = _Kept(self._pair)
         self.windows = _Kept(self._merge)
         self.halves = _Kept(self.encode_bytes)
-        self.words = _Kept(self._word, 2 * KEPT)
+        self.words = _Kept(self._word)
+        self.spaced_words = _Kept(self._spaced, 2 * KEPT)
+        self.line_feed = self._word("\n")
 
     def encode_bytes(self, data: bytes) -> list[int]:
         """Tokens of one match: of the whole if it is a token, else joined from its halves."""
@@ -156,42 +158,45 @@ class TreeBpe:
         return [ranks[data[i : end[i]]] for i in range(n) if end[i]]
 
     def _word(self, part: str) -> bytes:
-        ids = [t for match in self.split(part) for t in self.encode_bytes(match.encode())]
-        return np.array(ids, "<u4").tobytes()
+        encode = self.encode_bytes
+        return array("I", [t for match in self.split(part) for t in encode(match.encode())]).tobytes()
 
-    def parts(self, text: str) -> list[str]:
-        """The text cut where no match can cross, so that its parts may be split and encoded apart.
+    def _spaced(self, word: str) -> bytes:
+        return self._word(" " + word)
 
-        A match takes one space before what it names and no space after it. So where white space is
-        single spaces and line feeds, all of them between other characters, the text is cut before
-        each of them, and after a line feed as well. Any other text is left whole.
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers; none for null.
+
+        A match takes one space before what it names and no white space after it. So where white space
+        is single spaces and line feeds, all of them between words, no match crosses the place before
+        one or the place after a line feed, and words with the space before them are encoded apart,
+        each once as long as it is kept. Any other text is split as a whole.
         """
-        if UNEVEN(text):
-            return [text]
-        lines = [line.split(" ") for line in text.split("\n")]
-        parts = []
+        if not text:
+            return b""
+        lines = text.split("\n")
+        if text.split() != text.replace("\n", " ").split(" "):
+            return _concatenate([self._word(text)])
+        parts, first, spaced = [], self.words, self.spaced_words
         for line in lines:
-            parts.append(line[0])
-            parts += [" " + word for word in line[1:]]
-            parts.append("\n")
+            words = line.split(" ")
+            parts.append(first[words[0]])
+            parts += map(spaced.__getitem__, words[1:])
+            parts.append(self.line_feed)
         parts.pop()
-        return parts
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers; none for null."""
-        return _concatenate(self.words, self.parts(text)) if text else b""
+        return _concatenate(parts)
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes of a text from its ids."""
-        return _concatenate(self.tokens, np.frombuffer(ids, "<u4").tolist())
+        return _concatenate(list(map(self.tokens.__getitem__, array("I", ids))))
 
 
-def _concatenate(parts: dict, keys: Sequence) -> bytes:
-    """Values of ``keys``, concatenated up a tree of halves."""
-    if len(keys) <= LEAF:
-        return b"".join(map(parts.__getitem__, keys))
-    middle = len(keys) // 2
-    return _concatenate(parts, keys[:middle]) + _concatenate(parts, keys[middle:])
+def _concatenate(parts: Sequence[bytes]) -> bytes:
+    """``parts``, concatenated up a tree of halves."""
+    if len(parts) <= LEAF:
+        return b"".join(parts)
+    middle = len(parts) // 2
+    return _concatenate(parts[:middle]) + _concatenate(parts[middle:])
 
 
 @lru_cache(maxsize=2)
