@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import bpe, extract, itq, language, lm, mixing, quality, simhash, urls, warc
+from tracemill.llm import bpe, extract, itq, language, lm, mixing, oracle, quality, simhash, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,5 +61,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: DuckDB SQL per query, where SQL can tell the method.
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL per query, where SQL can tell what the method gives.
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_normaliser": oracle.WARC,
+    "op4_itq_near_dup": oracle.VECTORS,
+    "op5_url_automaton": oracle.URLS,
+    "op10_hash_mix": oracle.MIX,
+}

@@ -274,5 +274,5 @@ def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Per page ``page_id, payload_bytes, payload_digest, record_type, refers_to`` and its place in the archives."""
-    return archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset", "length")
+    """Per page ``page_id, payload_bytes, payload_digest, record_type, refers_to`` from the sidecar of its archives."""
+    return archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
