@@ -22,7 +22,8 @@ BUCKETS = 1 << 16
 #: Added to the count of every bucket.
 SMOOTHING = 1.0
 #: A document goes if its n-grams are, on average, less likely than this under the trusted documents.
-LEAST_RATIO = -0.15
+#: Texts in a language that few trusted documents have stay above it.
+LEAST_RATIO = -0.3
 #: Base rules.
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
