@@ -44,7 +44,7 @@ def expected(texts):
     ids = sorted(texts)
     links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 2]
     component = brute_components(ids, links)
-    return sorted((i, f"{prints[i]:016x}", component[i]) for i in ids)
+    return sorted(((i, f"{prints[i]:016x}", component[i]) for i in ids), key=repr)
 
 
 @settings(max_examples=150, deadline=None)
