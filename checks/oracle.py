@@ -7,6 +7,8 @@ sides do not share their way of finding them.
 
 import re
 
+from checks import uneven
+
 VIEWS = {
     "machine_events": """
         SELECT datediff('microsecond', TIMESTAMP '2024-01-01', ts) AS time,
@@ -202,6 +204,13 @@ def _against_capacity(seconds: int) -> str:
         FROM utilization u LEFT JOIN machines_latest m ON u.machine_id = m.machine_id"""
 
 
+_ATTRIBUTE_LINES = """
+    SELECT concat_ws(',', CAST(datediff('microsecond', TIMESTAMP '2024-01-01', ts) AS VARCHAR),
+                     CAST(user_id AS VARCHAR), event_type, props) AS line FROM events"""
+
+# Task events without those whose lines are damaged.
+_GOOD_TASKS = {"task_events": "SELECT * FROM base_task_events WHERE time % 97 <> 0 AND time % 89 <> 0"}
+
 QUERIES = {
     # machines
     "machines_latest": "SELECT * FROM machines_latest",
@@ -348,9 +357,9 @@ QUERIES = {
                 WHERE machine_id NOT IN (SELECT machine_id FROM task_usage)) AS absent_count""",
     # readers and writers
     **{f"src_{name}": f"SELECT * FROM {name}" for name in ("machine_events", "job_events", "task_events", "task_usage")},
-    "src_raw_lines": """
-        SELECT concat_ws(',', CAST(datediff('microsecond', TIMESTAMP '2024-01-01', ts) AS VARCHAR),
-                         CAST(user_id AS VARCHAR), event_type, props) AS line FROM events""",
+    "src_raw_lines": _ATTRIBUTE_LINES,
+    "attribute_lines": _ATTRIBUTE_LINES,
+    "attribute_line_count": "SELECT count(*) AS row_count FROM events",
     "src_raw_line_count": "SELECT count(*) AS row_count FROM events",
     "src_machine_utilization": "SELECT machine_id, machine_utilization AS utilization FROM utilization",
     "src_glob": "SELECT * FROM job_events",
@@ -372,25 +381,42 @@ QUERIES = {
                     THEN 'x' || concat_ws(',', time, machine_id, event_type, platform_id, cpu, memory)
                     WHEN cut THEN concat_ws(',', time, machine_id, event_type) END AS bad_line
         FROM (SELECT *, time % 97 <> 0 AND time % 89 = 0 AS cut FROM machine_events)""",
+    "quarantine_bad_lines": """
+        SELECT CASE WHEN time % 97 = 0 THEN 'x' || concat_ws(',', time, missing_info, job_id, task_index,
+                      coalesce(CAST(machine_id AS VARCHAR), ''), event_type, "user", scheduling_class, priority, cpu_request,
+                      memory_request, disk_space_request, CAST(different_machine_restrictions AS INTEGER))
+                    ELSE concat_ws(',', time, missing_info, job_id) END AS line
+        FROM task_events WHERE time % 97 = 0 OR time % 89 = 0""",
+    "sql_event_types": 'SELECT event_type, count(*) AS "count" FROM task_events GROUP BY event_type',
     "parse_lines_roundtrip": "SELECT * FROM job_events",
     "sink_csv_roundtrip": "SELECT * FROM life_cycle",
     "sink_csv_repartition": "SELECT * FROM utilization",
 }
 
 
-def with_views(query: str) -> str:
-    """The query behind the views that it needs, in the order of ``VIEWS``."""
+def with_views(query: str, views: dict[str, str] = VIEWS) -> str:
+    """The query behind the views that it needs, in the order of ``views``."""
     needed, open_texts = set(), [query]
     while open_texts:
         words = set(re.findall(r"\w+", open_texts.pop()))
-        for name in (words & VIEWS.keys()) - needed:
+        for name in (words & views.keys()) - needed:
             needed.add(name)
-            open_texts.append(VIEWS[name])
+            open_texts.append(views[name])
     if not needed:
         return query.strip()
-    views = ",\n".join(f"{name} AS ({body})" for name, body in VIEWS.items() if name in needed)
-    return f"WITH {views}\n{query.strip()}"
+    bodies = ",\n".join(f"{name} AS ({body})" for name, body in views.items() if name in needed)
+    return f"WITH {bodies}\n{query.strip()}"
+
+
+def over_other_tables(tables: dict[str, str]) -> dict[str, str]:
+    """``VIEWS`` with other tables; those find the plain ones under the names base_<table>."""
+    base = {f"base_{name}": VIEWS[name] for name in tables if name in VIEWS}
+    return {**base, **tables, **{name: body for name, body in VIEWS.items() if name not in tables}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_views(query) for name, query in QUERIES.items()}
+    plain = {name: with_views(query) for name, query in QUERIES.items()}
+    views = over_other_tables(uneven.VIEWS)
+    others = {f"{name}_uneven": with_views(QUERIES[name], views) for name in uneven.NAMES}
+    good = over_other_tables(_GOOD_TASKS)
+    return {**plain, **others, "quarantine_life_cycle": with_views(QUERIES["task_life_cycle"], good)}

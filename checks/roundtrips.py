@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from tracemill.operators.aggregates import row_count
 from tracemill.plans import tasks, usage
+from tracemill.plans.catalog import ANALYSES
 from tracemill.session import scratch_folder
 from tracemill.sources.files import parse_lines, read_lines, read_table, read_utilization, table_lines
 from tracemill.sources.output import write_csv
 from tracemill.sources.schemas import JOB_EVENTS, MACHINE_EVENTS, TABLES, TASK_EVENTS
-from tracemill.sources.trace import Trace
+from tracemill.sources.trace import CsvTrace, Trace
 
 
 def _write_lines(lines: DataFrame, folder: str) -> str:
@@ -70,6 +71,21 @@ def _quarantine(t: Trace) -> DataFrame:
     return parse_lines(lines.select(damaged.alias("line")), MACHINE_EVENTS, mode="quarantine")
 
 
+def _damaged_tasks(t: Trace) -> CsvTrace:
+    """A trace whose task lines have, in places, letters in the time or are cut short."""
+    folder = scratch_folder(t.spark, "damaged")
+    lines = table_lines(t.task_events, TASK_EVENTS)
+    time = F.split("line", ",")[0].cast("bigint")
+    damaged = F.when(time % 97 == 0, F.concat(F.lit("x"), "line")).when(time % 89 == 0, F.substring_index("line", ",", 3))
+    _write_lines(lines.select(damaged.otherwise(F.col("line")).alias("line")), f"{folder}/task_events")
+    return CsvTrace(t.spark, folder, mode="quarantine")
+
+
+def _sql(t: Trace) -> DataFrame:
+    t.register_views()
+    return t.spark.sql("SELECT event_type, count(*) AS count FROM task_events GROUP BY event_type")
+
+
 def _utilization(t: Trace) -> DataFrame:
     utilization = usage.machine_utilization(t.task_usage).withColumnRenamed("machine_utilization", "utilization")
     return read_utilization(t.spark, write_csv(utilization, scratch_folder(t.spark, "out"), "machine_utilization"))
@@ -89,6 +105,9 @@ ROUND_TRIPS: dict[str, Callable[[Trace], DataFrame]] = {
     "parse_defaults": _defaults,
     "parse_presence_flag": _presence_flag,
     "parse_quarantine": _quarantine,
+    "quarantine_life_cycle": lambda t: ANALYSES["task_life_cycle"](_damaged_tasks(t)),
+    "quarantine_bad_lines": lambda t: _damaged_tasks(t).bad_lines("task_events"),
+    "sql_event_types": _sql,
     "parse_lines_roundtrip": lambda t: parse_lines(table_lines(t.job_events, JOB_EVENTS), JOB_EVENTS),
     "sink_csv_roundtrip": lambda t: _sink(t, tasks.task_life_cycle(t.task_events), "task_life_cycle", False),
     "sink_csv_repartition": lambda t: _sink(t, usage.machine_utilization(t.task_usage), "utilization", True),

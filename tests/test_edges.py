@@ -89,7 +89,7 @@ def test_empty_tables(spark):
     assert rows(report.job_task_totals(tasks.tasks_per_job(t))) == [(0, 0, None)]
     assert rows(report.tasks_per_job_summary(tasks.tasks_per_job(t))) == [(None,) * 6]
     assert rows(report.mean_removal_gap(m)) == [(None,)]
-    histogram = usage.consumption_histogram(usage.resource_requested_used(t, u))
+    histogram = usage.consumption_histogram(t, u)
     assert rows(histogram.agg(F.sum("cpu_count"), F.sum("memory_count"))) == [(0, 0)]
 
 

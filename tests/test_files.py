@@ -12,8 +12,8 @@ from tracemill.plans.catalog import ANALYSES
 from tracemill.session import scratch_folder
 from tracemill.sources.files import parse_lines, read_lines, read_table, read_utilization, table_lines
 from tracemill.sources.output import write_csv
-from tracemill.sources.schemas import JOB_EVENTS, MACHINE_EVENTS, TABLES, TASK_EVENTS
-from tracemill.sources.trace import CsvTrace, SampleTrace
+from tracemill.sources.schemas import CLOCK, JOB_EVENTS, MACHINE_EVENTS, TABLES, TASK_EVENTS
+from tracemill.sources.trace import CsvTrace, ParquetTrace, SampleTrace
 
 SAMPLE = "/root/testdata/sf0.001"
 
@@ -66,8 +66,25 @@ def test_strict_mode_does_not_depend_on_the_ansi_setting(spark, lines):
         spark.conf.unset("spark.sql.ansi.enabled")
 
 
+@pytest.mark.parametrize("bad", ["1,2,0,P,0.5", "1,2,0,P,half,1", "1,2,0,P,1.5d,1", "1,2,0,P,0.5,2f"])
+def test_strict_mode_does_not_depend_on_the_columns_read(lines, bad):
+    both = lines("1,2,0,P,0.5,1", bad)
+    for read in (lambda df: df.select("time").collect(), lambda df: df.count()):
+        with pytest.raises(PySparkException, match="cannot be read from"):
+            read(parse_lines(both, MACHINE_EVENTS))
+    lazy = parse_lines(both, MACHINE_EVENTS, mode="lazy")
+    assert lazy.count() == 2 and rows(lazy.select("time")) == [(1,), (1,)]
+    with pytest.raises(PySparkException, match="cannot be read from"):
+        lazy.collect()
+
+
+@pytest.mark.parametrize("text, value", [("inf", float("inf")), ("-Infinity", float("-inf")), ("1e3", 1000.0), (".5", 0.5)])
+def test_numbers(lines, text, value):
+    assert rows(parse_lines(lines(f"1,2,0,P,{text},1"), MACHINE_EVENTS).select("cpu")) == [(value,)]
+
+
 def test_unread_columns_are_not_parsed(lines):
-    plan = parse_lines(lines("1,2,0,P,0.5,1"), MACHINE_EVENTS).select("machine_id")
+    plan = parse_lines(lines("1,2,0,P,0.5,1"), MACHINE_EVENTS, mode="lazy").select("machine_id")
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "machine_events.machine_id" in text and "machine_events.cpu" not in text
 
@@ -100,7 +117,9 @@ def test_results_have_folders_of_their_own(spark):
     one = write_csv(df, out, "one", one_file=True)
     assert len(files(one)) == 1
     assert len(files(write_csv(df, out, "moved", one_file=True, shuffle=True))) == 1
-    assert len(files(write_csv(df, out, "large", one_file=True, one_file_rows=99))) == 4
+    large = spark.range(1_000_001, numPartitions=4)
+    assert len(files(write_csv(large, out, "large", one_file=True))) == 1
+    assert len(files(write_csv(large, out, "parts"))) == 4
     write_csv(df, out, "one", one_file=True)
     assert spark.read.option("header", True).csv(one).count() == 100
     write_csv(df, out, "one", mode="append")
@@ -153,6 +172,35 @@ def test_conversion_keeps_the_tables(spark, by_day):
         assert before.schema.names == after.schema.names
         assert sorted(map(repr, before.collect())) == sorted(map(repr, after.collect()))
     assert ("day" in spark.read.parquet(f"{folder}/task_events").columns) == by_day
+    start, end = 9 * DAY + 5_000_000, 20 * DAY + 1
+    days = ParquetTrace(spark, folder, start, end)
+    for name in TABLES:
+        inside = getattr(trace, name).where((F.col(CLOCK[name]) >= start) & (F.col(CLOCK[name]) < end))
+        assert sorted(map(repr, getattr(days, name).collect())) == sorted(map(repr, inside.collect()))
+        plan = getattr(days, name)._jdf.queryExecution().executedPlan().toString()
+        assert ("PartitionFilters: []" not in plan) == by_day
+    assert days.task_events.count() > 0
+
+
+def test_bad_lines_stay_out_of_analyses_and_conversions(spark):
+    good, bad = "5,0,1,2,3,1,u,0,7,0.5,0.5,0,1", ["x,0,1,2,3,1,u,0,7,0.5,0.5,0,1", "6,0,1", "7,0,1,2,3,1,u,0,7,1.5d,0.5,0,1"]
+    folder = scratch_folder(spark, "bad")
+    for name in TABLES:
+        texts = [good, *bad] if name == "task_events" else ["broken"]
+        spark.createDataFrame([(t,) for t in texts], "line string").write.text(f"{folder}/{name}")
+    trace = CsvTrace(spark, folder, mode="quarantine")
+    parquet = trace.convert(scratch_folder(spark, "parquet"))
+    for t in (trace, parquet):
+        assert rows(ANALYSES["row_count"](t)) == [(1,)]
+        assert rows(ANALYSES["task_event_totals"](t)) == [(1, 0, 0)]
+        assert rows(ANALYSES["tasks_per_job"](t)) == [(1, 1)]
+        assert t.task_events.columns == TASK_EVENTS.columns and t.job_events.count() == 0
+        assert sorted(r[0] for r in rows(t.bad_lines("task_events"))) == sorted(bad)
+        assert rows(t.bad_lines("machine_events")) == [("broken",)]
+    with pytest.raises(ValueError):
+        CsvTrace(spark, folder).bad_lines("task_events")
+    with pytest.raises(PySparkException, match="cannot be read from"):
+        ANALYSES["row_count"](CsvTrace(spark, folder)).collect()
 
 
 def test_csv_trace_has_all_rows(spark, csv_trace):
@@ -182,6 +230,43 @@ def test_command_line(spark, csv_trace):
     assert [(float(cpu), int(n)) for cpu, n in rows(written)] == rows(expected)
 
 
+def test_command_line_options(spark, csv_trace):
+    out, parquet = scratch_folder(spark, "out"), scratch_folder(spark, "parquet")
+    read = lambda name: rows(spark.read.option("header", True).csv(f"{out}/{name}"))
+    source = ["--trace", csv_trace.folder, "--out", out]
+    runner.main([*source, "--only", "row_count", "--glob", "part-*.gz"])
+    count = csv_trace.task_events.count()
+    assert read("row_count") == [(str(count),)]
+    runner.main([*source, "--only", "row_count", "--glob", "other-*", "--mode", "lazy"])
+    assert read("row_count") == [("0",)]
+    runner.main([*source, "--only", "task_schedule_pairs", "--zero-machine-id", "--mode", "quarantine"])
+    assert any(r[0] == "0" for r in read("task_schedule_pairs"))
+    runner.main([*source, "--only", "task_schedule_events", "--presence-flags"])
+    assert {r[-1] for r in read("task_schedule_events")} <= {"true"}
+    runner.main([*source, "--only", "attribute_line_count", "--attributes", "--machine", "7"])
+    assert read("attribute_line_count") == [(str(csv_trace.machine_attributes.count()),)]
+    history = SampleTrace(spark, SAMPLE).machine_events.where("machine_id = 7").count()
+    assert len(read("machine_history")) == history > 0
+    days = FirstDays(spark, SAMPLE).convert(parquet, by_day=True, attributes=True)
+    half = ["--trace", parquet, "--format", "parquet", "--out", out, "--only", "row_count"]
+    runner.main([*half, "--start", str(10 * DAY), "--end", str(20 * DAY)])
+    inside = days.task_events.where(F.col("time").between(10 * DAY, 20 * DAY - 1)).count()
+    assert read("row_count") == [(str(inside),)]
+
+
+def test_every_analysis_is_written_and_shared_results_are_released(spark, csv_trace):
+    trace = FirstDays(spark, SAMPLE).convert(scratch_folder(spark, "parquet"), attributes=True)
+    names = ["machine_count", "machine_dist_cpu", "job_task_totals", "life_cycle_percent", "tasks_by_priority"]
+    shared = []
+    with trace.sharing():
+        for name in names:
+            ANALYSES[name](trace).collect()
+        shared = list(trace._kept.values())
+        assert len(shared) == 4 and all(df.is_cached for df in shared)
+    assert not any(df.is_cached for df in shared)
+    assert "attribute_lines" not in runner.run(trace, scratch_folder(spark, "out"), ["machine_count"])
+
+
 def test_attribute_lines_are_converted(spark):
     trace = FirstDays(spark, SAMPLE)
     parquet = trace.convert(scratch_folder(spark, "parquet"), attributes=True)

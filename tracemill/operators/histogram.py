@@ -7,18 +7,25 @@ from pyspark.sql import DataFrame, functions as F
 from tracemill.functions.columns import bucket_of, centred_bin
 
 
-def bucket_histogram(df: DataFrame, measures: Mapping[str, str], edges: Sequence[float]) -> DataFrame:
+def bucket_histogram(
+    df: DataFrame, measures: Mapping[str, str], edges: Sequence[float], weight: str | None = None
+) -> DataFrame:
     """Rows per bucket for each measure (output name -> input column), empty buckets as 0.
 
-    Both measures are counted in one aggregation; see :func:`bucket_of` for the bucket limits.
+    With ``weight``, that column is added up instead of counting rows. Rows are counted by the
+    buckets of all measures together, and only those counts, a few hundred, are told apart by measure; see
+    :func:`bucket_of` for the bucket limits.
     """
-    labelled = df.select(*[F.col(source).alias(name) for name, source in measures.items()])
-    values = labelled.unpivot([], list(measures), "_measure", "_value")
+    bucketed = df.select(
+        *[bucket_of(F.col(source), edges).alias(name) for name, source in measures.items()],
+        (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_weight"),
+    )
+    cells = bucketed.groupBy(*measures).agg(F.sum("_weight").alias("_weight"))
     counts = (
-        values.select("_measure", bucket_of(F.col("_value"), edges).alias("bucket"))
+        cells.unpivot(["_weight"], list(measures), "_measure", "bucket")
         .where(F.col("bucket").isNotNull())
         .groupBy("bucket")
-        .agg(*[F.count_if(F.col("_measure") == name).alias(name) for name in measures])
+        .agg(*[F.sum(F.when(F.col("_measure") == name, F.col("_weight"))).alias(name) for name in measures])
     )
     middles = F.array(*[F.lit((low + high) / 2) for low, high in zip(edges, edges[1:])])
     buckets = df.sparkSession.range(len(edges) - 1, numPartitions=1).withColumnRenamed("id", "bucket")

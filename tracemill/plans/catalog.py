@@ -17,7 +17,7 @@ FINISHED_COUNT = "finished_task_count"
 
 def _machine_analyses() -> dict[str, Analysis]:
     over_events = [
-        machines.machines_latest, machines.machines_latest_capacity, machines.distinct_machines,
+        machines.machines_latest_capacity, machines.distinct_machines,
         machines.machine_events_ordered, machines.machine_remove_events, machines.machine_removals_by_time,
         machines.machines_last_event, machines.machines_removed_for_good, machines.machine_update_configs,
         machines.machine_update_counts, machines.top_updated_machines, machines.machine_events_by_type,
@@ -32,18 +32,23 @@ def _machine_analyses() -> dict[str, Analysis]:
     ]
     return {
         **{f.__name__: lambda t, f=f: f(t.machine_events) for f in over_events},
-        **{f.__name__: lambda t, f=f: f(machines.machines_latest(t.machine_events)) for f in over_latest},
+        "machines_latest": _latest,
+        **{f.__name__: lambda t, f=f: f(_latest(t)) for f in over_latest},
         "removed_for_good_count": lambda t: report.removed_for_good_count(
             machines.machines_removed_for_good(t.machine_events)),
     }
 
 
+def _latest(t: Trace) -> DataFrame:
+    return t.shared("machines_latest", lambda: machines.machines_latest(t.machine_events))
+
+
 def _task_analyses() -> dict[str, Analysis]:
-    def life_cycle(t: Trace, **options) -> DataFrame:
-        return tasks.task_life_cycle(t.tasks(*TASK, "event_type", "priority"), **options)
+    def life_cycle(t: Trace) -> DataFrame:
+        return t.shared("life_cycle", lambda: tasks.task_life_cycle(t.tasks(*TASK, "event_type", "priority")))
 
     def per_job(t: Trace) -> DataFrame:
-        return tasks.tasks_per_job(t.tasks(*TASK))
+        return t.shared("tasks_per_job", lambda: tasks.tasks_per_job(t.tasks(*TASK)))
 
     def job_totals(t: Trace) -> DataFrame:
         return tasks.job_event_totals(t.job_events)
@@ -59,7 +64,8 @@ def _task_analyses() -> dict[str, Analysis]:
         "task_event_totals": task_totals,
         "event_totals_table": lambda t: report.event_totals_table(job_totals(t), task_totals(t)),
         "task_life_cycle": life_cycle,
-        "task_life_cycle_joined_ids": lambda t: life_cycle(t, distinct="joined"),
+        "task_life_cycle_joined_ids": lambda t: tasks.task_life_cycle(
+            t.tasks(*TASK, "event_type", "priority"), distinct="joined"),
         "task_life_cycle_events": lambda t: tasks.task_life_cycle_events(t.tasks("event_type", "priority")),
         "life_cycle_percent": lambda t: report.life_cycle_percent(life_cycle(t)),
         "job_task_totals": lambda t: report.job_task_totals(per_job(t)),
@@ -80,7 +86,7 @@ def _task_analyses() -> dict[str, Analysis]:
 
 def _placement_analyses() -> dict[str, Analysis]:
     over_both = [
-        placement.priority_capacity, placement.priority_machine_pairs, placement.priority_cpu_pairs,
+        placement.priority_machine_pairs, placement.priority_cpu_pairs,
         placement.priority_memory_pairs, placement.priority_capacity_pairs,
     ]
 
@@ -88,16 +94,18 @@ def _placement_analyses() -> dict[str, Analysis]:
         return t.tasks("machine_id", "priority", "event_type")
 
     def relation(t: Trace) -> DataFrame:
-        return placement.priority_capacity(scheduled(t), t.machine_events)
+        return t.shared("priority_capacity", lambda: placement.priority_capacity(scheduled(t), t.machine_events))
 
     def per_machine(t: Trace, event_type: int = SCHEDULED, name: str = "scheduled_task_count") -> DataFrame:
-        return placement.machine_task_counts(t.machine_events, t.tasks("machine_id", "event_type"), event_type, name)
+        return t.shared(name, lambda: placement.machine_task_counts(
+            t.machine_events, t.tasks("machine_id", "event_type"), event_type, name))
 
     def finished(t: Trace) -> DataFrame:
         return per_machine(t, FINISHED, FINISHED_COUNT)
 
     return {
         **{f.__name__: lambda t, f=f: f(scheduled(t), t.machine_events) for f in over_both},
+        "priority_capacity": relation,
         "tasks_by_priority": lambda t: report.tasks_by_priority(relation(t)),
         "priority_capacity_share": lambda t: report.priority_capacity_share(relation(t)),
         "task_counts_by_machine": lambda t: placement.task_counts_by_machine(
@@ -122,9 +130,12 @@ def _usage_analyses() -> dict[str, Analysis]:
     def below_request(t: Trace, grain: str = "event") -> DataFrame:
         return usage.resource_requested_used(t.tasks(*TASK, "cpu_request", "memory_request"), t.task_usage, grain)
 
+    def histogram(t: Trace, grain: str = "event") -> DataFrame:
+        return usage.consumption_histogram(t.tasks(*TASK, "cpu_request", "memory_request"), t.task_usage, grain)
+
     def against_capacity(t: Trace, **options) -> DataFrame:
         utilization = usage.machine_utilization(t.task_usage).withColumnRenamed("machine_utilization", "utilization")
-        return usage.utilization_vs_capacity(utilization, machines.machines_latest(t.machine_events), **options)
+        return usage.utilization_vs_capacity(utilization, _latest(t), **options)
 
     return {
         "max_resource_use": lambda t: usage.max_resource_use(t.task_usage),
@@ -132,19 +143,25 @@ def _usage_analyses() -> dict[str, Analysis]:
         "machine_utilization": lambda t: usage.machine_utilization(t.task_usage),
         "resource_requested_used": below_request,
         "resource_requested_used_per_task": lambda t: below_request(t, "task"),
-        "consumption_histogram": lambda t: usage.consumption_histogram(below_request(t)),
-        "consumption_histogram_per_task": lambda t: usage.consumption_histogram(below_request(t, "task")),
+        "consumption_histogram": histogram,
+        "consumption_histogram_per_task": lambda t: histogram(t, "task"),
         "usage_with_request": lambda t: usage.usage_with_request(
             t.tasks(*TASK, "event_type", "priority", "cpu_request", "memory_request"), t.task_usage),
         "utilization_vs_capacity": against_capacity,
         "utilization_vs_capacity_full_days": lambda t: against_capacity(t, seconds=usage.FULL_DAYS),
         "unutilized_machine_count": lambda t: report.unutilized_machine_count(
-            usage.machine_utilization(t.task_usage), machines.machines_latest(t.machine_events)),
+            usage.machine_utilization(t.task_usage), _latest(t)),
     }
 
 
+# They need the lines of machine_attributes, which a trace may lack.
+ATTRIBUTE_ANALYSES: dict[str, Analysis] = {
+    "attribute_lines": lambda t: t.machine_attributes,
+    "attribute_line_count": lambda t: row_count(t.machine_attributes),
+}
+
 ANALYSES: dict[str, Analysis] = {
-    **_machine_analyses(), **_task_analyses(), **_placement_analyses(), **_usage_analyses(),
+    **_machine_analyses(), **_task_analyses(), **_placement_analyses(), **_usage_analyses(), **ATTRIBUTE_ANALYSES,
 }
 
 # Results with a row per event, task, job or usage row; the others are small tables.
@@ -153,5 +170,5 @@ ROW_GRAIN = {
     "tasks_per_job", "task_schedule_events", "task_schedule_pairs", "task_durations", "task_duration_anomalies",
     "requested_resources", "task_attributes", "task_attribute_rows", "broadcast_machine_lookup",
     "task_attribute_lookup", "max_resource_use", "task_usage_max", "resource_requested_used",
-    "resource_requested_used_per_task", "usage_with_request",
+    "resource_requested_used_per_task", "usage_with_request", "attribute_lines",
 }

@@ -37,21 +37,17 @@ def machine_utilization(usage: DataFrame) -> DataFrame:
     return usage.groupBy("machine_id").agg(F.sum(used).alias("machine_utilization"))
 
 
-def resource_requested_used(tasks: DataFrame, usage: DataFrame, grain: str = "event") -> DataFrame:
-    """Tasks whose largest cpu and memory use both stay below the request, with the used percentages.
-
-    ``grain`` "event" compares every task event's request, so a task comes once per event, which
-    matches published counts; "task" compares the largest request of each task once.
-    """
+def _check_grain(grain: str) -> None:
     if grain not in ("event", "task"):
         raise ValueError(f"unknown grain {grain!r}")
-    used = max_resource_use(usage)
-    requests = requested_resources(tasks)
-    if grain == "event":
-        joined = lookup_join(requests, used, TASK)
-    else:
-        largest = requests.groupBy(*TASK).agg(*[F.max(c).alias(c) for c in ("cpu_request", "memory_request")])
-        joined = largest.join(used, TASK)
+
+
+def _largest_requests(requests: DataFrame) -> DataFrame:
+    return requests.groupBy(*TASK).agg(*[F.max(c).alias(c) for c in ("cpu_request", "memory_request")])
+
+
+def _below_request(joined: DataFrame, *more: str) -> DataFrame:
+    """Rows whose use stays below both requests, with the used percentages."""
     below = joined.where(
         (F.col("cpu_request") > F.col("maximum_CPU_usage"))
         & (F.col("memory_request") > F.col("maximum_memory_usage"))
@@ -60,13 +56,40 @@ def resource_requested_used(tasks: DataFrame, usage: DataFrame, grain: str = "ev
         *TASK, "cpu_request", "memory_request", "maximum_CPU_usage", "maximum_memory_usage",
         percent(F.col("maximum_CPU_usage"), F.col("cpu_request"), 1).alias("used_cpu_percent"),
         percent(F.col("maximum_memory_usage"), F.col("memory_request"), 1).alias("used_memory_percent"),
+        *more,
     )
 
 
-def consumption_histogram(requested_used: DataFrame, edges: Sequence[float] = PERCENT_EDGES) -> DataFrame:
-    """Rows of :func:`resource_requested_used` per bucket of used cpu and memory percent."""
+def resource_requested_used(tasks: DataFrame, usage: DataFrame, grain: str = "event") -> DataFrame:
+    """Tasks whose largest cpu and memory use both stay below the request, with the used percentages.
+
+    ``grain`` "event" compares every task event's request, so a task comes once per event, which
+    matches published counts; "task" compares the largest request of each task once.
+    """
+    _check_grain(grain)
+    used, requests = max_resource_use(usage), requested_resources(tasks)
+    if grain == "event":
+        return _below_request(lookup_join(requests, used, TASK))
+    return _below_request(_largest_requests(requests).join(used, TASK))
+
+
+def consumption_histogram(
+    tasks: DataFrame, usage: DataFrame, grain: str = "event", edges: Sequence[float] = PERCENT_EDGES
+) -> DataFrame:
+    """Rows of :func:`resource_requested_used` per bucket of used cpu and memory percent.
+
+    Equal requests of a task are counted before they meet its use, so a task with very many events is
+    a few rows in the join.
+    """
+    _check_grain(grain)
+    requests = requested_resources(tasks)
+    if grain == "event":
+        requests = requests.groupBy(*TASK, "cpu_request", "memory_request").agg(F.count("*").alias("_rows"))
+    else:
+        requests = _largest_requests(requests).withColumn("_rows", F.lit(1))
+    below = _below_request(requests.join(max_resource_use(usage), TASK), "_rows")
     measures = {"cpu_count": "used_cpu_percent", "memory_count": "used_memory_percent"}
-    return bucket_histogram(requested_used, measures, edges)
+    return bucket_histogram(below, measures, edges, "_rows")
 
 
 def usage_with_request(tasks: DataFrame, usage: DataFrame, ordered: bool = True) -> DataFrame:

@@ -9,17 +9,38 @@ from collections.abc import Iterable
 from pyspark.sql import SparkSession
 
 from tracemill.operators.cache import cached
-from tracemill.plans.catalog import ANALYSES, ROW_GRAIN
+from tracemill.plans import machines
+from tracemill.plans.catalog import ANALYSES, ATTRIBUTE_ANALYSES, ROW_GRAIN
 from tracemill.sources.output import write_csv
 from tracemill.sources.trace import CsvTrace, ParquetTrace, Trace
 
+HISTORY = "machine_history"
 
-def run(trace: Trace, out: str, names: Iterable[str] | None = None, show: int = 0) -> dict[str, str]:
-    """Write each analysis to a folder of its name and return the paths; ``show`` prints first rows."""
+
+def run(
+    trace: Trace,
+    out: str,
+    names: Iterable[str] | None = None,
+    show: int = 0,
+    attributes: bool = False,
+    machine: int | None = None,
+) -> dict[str, str]:
+    """Write each analysis to a folder of its name and return the paths; ``show`` prints first rows.
+
+    Without ``names`` all are written, those over machine_attributes only with ``attributes``. With
+    ``machine``, the history of that machine as well. What several analyses share is computed once.
+    """
+    analyses = dict(ANALYSES)
+    if machine is not None:
+        analyses[HISTORY] = lambda t: machines.machine_history(t.machine_events, machine)
+    if names is None:
+        names = [name for name in analyses if attributes or name not in ATTRIBUTE_ANALYSES]
+    elif machine is not None:
+        names = [*names, HISTORY]
     paths = {}
-    with cached(trace.machine_events):
-        for name in names or ANALYSES:
-            result = ANALYSES[name](trace)
+    with cached(trace.machine_events), trace.sharing():
+        for name in names:
+            result = analyses[name](trace)
             if show:
                 result.show(show, truncate=False)
             paths[name] = write_csv(result, out, name, one_file=name not in ROW_GRAIN)
@@ -32,15 +53,32 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--out", required=True)
     parser.add_argument("--format", choices=("csv", "parquet"), default="csv")
     parser.add_argument("--only", nargs="*", choices=sorted(ANALYSES))
+    parser.add_argument("--machine", type=int, help="also write the history of this machine")
+    parser.add_argument("--attributes", action="store_true", help="also use the lines of machine_attributes")
     parser.add_argument("--show", type=int, default=0)
     parser.add_argument("--convert", action="store_true", help="only write the tables as Parquet to --out")
+    parser.add_argument("--by-day", action="store_true", help="with --convert: a sub-folder per day")
+    csv = parser.add_argument_group("CSV only")
+    csv.add_argument("--glob", help="names of the part files to read")
+    csv.add_argument("--mode", choices=("strict", "lazy", "quarantine"), default="strict", help="what bad lines do")
+    csv.add_argument("--presence-flags", action="store_true", help="any text makes a flag true")
+    csv.add_argument("--zero-machine-id", action="store_true", help="read a missing machine as 0")
+    parquet = parser.add_argument_group("Parquet only")
+    parquet.add_argument("--start", type=int, help="first microsecond to read")
+    parquet.add_argument("--end", type=int, help="microsecond to stop before")
     args = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("tracemill").getOrCreate()
-    trace = (CsvTrace if args.format == "csv" else ParquetTrace)(spark, args.trace)
+    if args.format == "csv":
+        trace = CsvTrace(
+            spark, args.trace, args.glob, mode=args.mode, presence_flags=args.presence_flags,
+            zero_machine_id=args.zero_machine_id,
+        )
+    else:
+        trace = ParquetTrace(spark, args.trace, args.start, args.end)
     if args.convert:
-        trace.convert(args.out)
+        trace.convert(args.out, args.by_day, args.attributes)
     else:
-        run(trace, args.out, args.only, args.show)
+        run(trace, args.out, args.only, args.show, args.attributes, args.machine)
 
 
 if __name__ == "__main__":

@@ -1,7 +1,7 @@
 """Readers for trace files: text lines to typed columns, all in built-in expressions.
 
-One parser serves files and text columns. Unread columns are pruned from the parse, and a bad
-line fails the job in strict mode or is kept beside its fields in quarantine mode.
+One parser serves files and text columns. A bad line fails the job in strict mode, whatever columns
+are read, or is kept beside its fields in quarantine mode.
 """
 
 from functools import reduce
@@ -52,13 +52,15 @@ def parse_lines(
     """Split a text column at the commas (quotes have no meaning) and type the fields.
 
     Fields past the last column are ignored. A short line, an empty key or a text that is no
-    number is bad: "strict" fails the job when the field is read, "quarantine" adds a column
-    ``bad_line`` with the whole text, null for good lines, and leaves what cannot be read null.
+    number is bad. "strict" checks every line as a whole and fails the job at a bad one, also if
+    only some or no columns are read. "lazy" fails only where a bad field is read, and
+    does not parse the others. "quarantine" adds a column ``bad_line`` with the whole text, null for
+    good lines, and leaves what cannot be read null.
 
     ``presence_flags`` makes any non-empty flag true; otherwise '1' is true, other text false and
     an empty field null. ``zero_machine_id`` reads a missing machine as 0 instead of null.
     """
-    if mode not in ("strict", "quarantine"):
+    if mode not in ("strict", "lazy", "quarantine"):
         raise ValueError(f"unknown mode {mode!r}")
     fields = [
         Field(f.name, f.type, "zero") if zero_machine_id and f.missing == "null" and f.type == "long" else f
@@ -67,11 +69,16 @@ def parse_lines(
     split = lines.select(F.col(column).alias("_line"), F.split(F.col(column), SEPARATOR, -1).alias("_parts"))
     parts = [F.get("_parts", i) for i in range(len(fields))]
     typed = [_typed(f, p, presence_flags) for f, p in zip(fields, parts)]
-    if mode == "strict":
+    if mode == "lazy":
         return split.select(*[
             _or_fail(table, f, p, v).alias(f.name) for f, p, v in zip(fields, parts, typed)
         ])
     bad = reduce(or_, [_is_bad(f, p, v) for f, p, v in zip(fields, parts, typed)])
+    if mode == "strict":
+        # A filter stays whatever columns are read above it.
+        message = F.concat(F.lit(f"{table.name} cannot be read from: "), F.col("_line"))
+        checked = split.where(F.when(bad, F.raise_error(message).cast("boolean")).otherwise(True))
+        return checked.select(*[v.alias(f.name) for f, v in zip(fields, typed)])
     return split.select(
         *[v.alias(f.name) for f, v in zip(fields, typed)],
         F.when(bad, F.col("_line")).alias("bad_line"),
@@ -84,6 +91,9 @@ def _typed(field: Field, part: Column, presence_flags: bool) -> Column:
     if field.type == "flag":
         return part != "" if presence_flags else F.when(part != "", part == "1")
     value = part.try_cast(SPARK_TYPES[field.type])
+    if field.type == "double":
+        # The cast also takes Java's type suffixes, as in 1.5d.
+        value = F.when(~part.rlike(r"[dDfF]\s*$") | part.rlike(r"(?i)inf\s*$"), value)
     if field.missing != "zero":
         return value
     zero = F.lit(0).cast(SPARK_TYPES[field.type])

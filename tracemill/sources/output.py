@@ -1,39 +1,21 @@
 """Writers: every result has a folder of its own name."""
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-ONE_FILE_ROWS = 1_000_000
-
 
 def write_csv(
-    df: DataFrame,
-    folder: str,
-    name: str,
-    mode: str = "overwrite",
-    one_file: bool = False,
-    shuffle: bool = False,
-    one_file_rows: int = ONE_FILE_ROWS,
+    df: DataFrame, folder: str, name: str, mode: str = "overwrite", one_file: bool = False, shuffle: bool = False
 ) -> str:
     """Write ``df`` with a header to ``folder/name`` and return that path.
 
-    ``one_file`` asks for a single part file. It is granted up to ``one_file_rows`` rows; a larger
-    result stays one file per partition, since a single task would have to write all of it. With
-    ``shuffle`` the rows are moved to that task, so the stage before keeps its parallelism (their
-    order is then not kept).
+    ``one_file`` gives a single part file, written by a single task, whatever the size: ask for it
+    where the result is small. With ``shuffle`` the rows are moved to that task, so the stage
+    before keeps its parallelism (their order is then not kept).
     """
     path = f"{folder.rstrip('/')}/{name}"
-    if not one_file:
-        df.write.mode(mode).option("header", True).csv(path)
-        return path
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        out = kept
-        if kept.count() <= one_file_rows:
-            out = kept.repartition(1) if shuffle else kept.coalesce(1)
-        out.write.mode(mode).option("header", True).csv(path)
-    finally:
-        kept.unpersist()
+    if one_file:
+        df = df.repartition(1) if shuffle else df.coalesce(1)
+    df.write.mode(mode).option("header", True).csv(path)
     return path
 
 

@@ -93,6 +93,8 @@ MACHINE_UTILIZATION = Table(
 )
 
 TABLES = {t.name: t for t in (MACHINE_EVENTS, JOB_EVENTS, TASK_EVENTS, TASK_USAGE)}
+# The column by which a table is put in days.
+CLOCK = {name: "start_time" if name == "task_usage" else "time" for name in TABLES}
 
 # Event codes of jobs and tasks.
 SUBMITTED, SCHEDULED, EVICTED, FAILED, FINISHED, KILLED, LOST, UPDATE_PENDING, UPDATE_RUNNING = range(9)

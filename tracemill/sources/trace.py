@@ -1,14 +1,17 @@
 """A trace is five tables; here from CSV files, from Parquet, or derived from star-schema sample tables."""
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracemill.functions.columns import DAY, SECOND
 from tracemill.operators.joins import BROADCAST_BYTES, lookup_join
 from tracemill.sources.files import read_lines, read_table
 from tracemill.sources.output import write_parquet
-from tracemill.sources.schemas import JOB_EVENTS, MACHINE_EVENTS, TABLES, TASK_EVENTS, TASK_USAGE
+from tracemill.sources.schemas import CLOCK, JOB_EVENTS, MACHINE_EVENTS, TABLES, TASK_EVENTS, TASK_USAGE, Table
 
 
 class Trace:
@@ -16,22 +19,45 @@ class Trace:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        self._kept: dict[str, DataFrame] | None = None
+
+    @contextmanager
+    def sharing(self) -> Iterator[None]:
+        """Within the block, what analyses share is kept, in memory or on disk, and computed once."""
+        self._kept = {}
+        try:
+            yield
+        finally:
+            kept, self._kept = self._kept, None
+            for df in kept.values():
+                df.unpersist()
+
+    def shared(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The result of ``make``; while sharing, the one that was made first under that name."""
+        if self._kept is None:
+            return make()
+        if name not in self._kept:
+            self._kept[name] = make().persist(StorageLevel.MEMORY_AND_DISK)
+        return self._kept[name]
+
+    def _table(self, table: Table) -> DataFrame:
+        raise NotImplementedError
 
-    @property
+    @cached_property
     def machine_events(self) -> DataFrame:
-        raise NotImplementedError
+        return self._table(MACHINE_EVENTS)
 
-    @property
+    @cached_property
     def job_events(self) -> DataFrame:
-        raise NotImplementedError
+        return self._table(JOB_EVENTS)
 
-    @property
+    @cached_property
     def task_events(self) -> DataFrame:
-        raise NotImplementedError
+        return self._table(TASK_EVENTS)
 
-    @property
+    @cached_property
     def task_usage(self) -> DataFrame:
-        raise NotImplementedError
+        return self._table(TASK_USAGE)
 
     @property
     def machine_attributes(self) -> DataFrame:
@@ -50,83 +76,89 @@ class Trace:
     def convert(self, folder: str, by_day: bool = False, attributes: bool = False) -> "ParquetTrace":
         """Write the four typed tables as Parquet once, so that later scans prune columns and row groups.
 
-        ``by_day`` puts the job, task and usage tables in one sub-folder per day. ``attributes`` also
-        writes the lines of machine_attributes.
+        ``by_day`` puts every table in one sub-folder per day, so that a range of time reads its days
+        only. ``attributes`` also writes the lines of machine_attributes.
         """
-        clock = {"job_events": "time", "task_events": "time", "task_usage": "start_time"}
         for name in TABLES:
             table = getattr(self, name)
-            if by_day and name in clock:
-                table = table.withColumn("day", F.floor(F.col(clock[name]) / DAY))
-                write_parquet(table, folder, name, partition_by="day")
-            else:
-                write_parquet(table, folder, name)
+            if by_day:
+                table = table.withColumn("day", F.floor(F.col(CLOCK[name]) / DAY))
+            write_parquet(table, folder, name, partition_by="day" if by_day else None)
         if attributes:
             write_parquet(self.machine_attributes, folder, "machine_attributes")
         return ParquetTrace(self.spark, folder)
 
 
 class CsvTrace(Trace):
-    """Headerless CSV parts, gzip or plain, in one sub-folder per table."""
+    """Headerless CSV parts, gzip or plain, in one sub-folder per table; options as in :func:`parse_lines`.
+
+    With ``mode="quarantine"`` the tables hold the good lines only; :meth:`bad_lines` has the others.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, name_glob: str | None = None, **options):
         super().__init__(spark)
         self.folder, self.name_glob, self.options = folder.rstrip("/"), name_glob, options
 
-    def _table(self, table):
+    def _parsed(self, table: Table) -> DataFrame:
         return read_table(self.spark, table, f"{self.folder}/{table.name}", self.name_glob, **self.options)
 
-    @cached_property
-    def machine_events(self):
-        return self._table(MACHINE_EVENTS)
+    def _table(self, table: Table) -> DataFrame:
+        parsed = self._parsed(table)
+        return parsed.where("bad_line IS NULL").select(*table.columns) if self._quarantined else parsed
 
-    @cached_property
-    def job_events(self):
-        return self._table(JOB_EVENTS)
+    @property
+    def _quarantined(self) -> bool:
+        return self.options.get("mode") == "quarantine"
 
-    @cached_property
-    def task_events(self):
-        return self._table(TASK_EVENTS)
+    def bad_lines(self, name: str) -> DataFrame:
+        """Lines of a table that cannot be read, in a column ``line``; only with ``mode="quarantine"``."""
+        if not self._quarantined:
+            raise ValueError("bad lines are kept in quarantine mode only")
+        return self._parsed(TABLES[name]).where("bad_line IS NOT NULL").select(F.col("bad_line").alias("line"))
 
-    @cached_property
-    def task_usage(self):
-        return self._table(TASK_USAGE)
+    def convert(self, folder: str, by_day: bool = False, attributes: bool = False) -> "ParquetTrace":
+        """As for every trace; in quarantine mode the bad lines go to ``bad_lines/<table>`` as well."""
+        written = super().convert(folder, by_day, attributes)
+        if self._quarantined:
+            for name in TABLES:
+                write_parquet(self.bad_lines(name), f"{folder.rstrip('/')}/bad_lines", name)
+        return written
 
     @cached_property
-    def machine_attributes(self):
-        return read_lines(self.spark, f"{self.folder}/machine_attributes")
+    def machine_attributes(self) -> DataFrame:
+        return read_lines(self.spark, f"{self.folder}/machine_attributes", self.name_glob)
 
 
 class ParquetTrace(Trace):
-    """The tables as :meth:`Trace.convert` wrote them."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        super().__init__(spark)
-        self.folder = folder.rstrip("/")
+    """The tables as :meth:`Trace.convert` wrote them.
 
-    def _table(self, table):
-        return self.spark.read.parquet(f"{self.folder}/{table.name}").select(*table.columns)
-
-    @cached_property
-    def machine_events(self):
-        return self._table(MACHINE_EVENTS)
+    With ``start`` or ``end`` (microseconds, the end not included), only rows of that range of time;
+    of tables that lie in a folder per day, only those days are read.
+    """
 
-    @cached_property
-    def job_events(self):
-        return self._table(JOB_EVENTS)
-
-    @cached_property
-    def task_events(self):
-        return self._table(TASK_EVENTS)
-
-    @cached_property
-    def task_usage(self):
-        return self._table(TASK_USAGE)
+    def __init__(self, spark: SparkSession, folder: str, start: int | None = None, end: int | None = None):
+        super().__init__(spark)
+        self.folder, self.start, self.end = folder.rstrip("/"), start, end
+
+    def _table(self, table: Table) -> DataFrame:
+        df = self.spark.read.parquet(f"{self.folder}/{table.name}")
+        time, by_day = F.col(CLOCK[table.name]), "day" in df.columns
+        if self.start is not None:
+            df = df.where(time >= self.start)
+            df = df.where(F.col("day") >= self.start // DAY) if by_day else df
+        if self.end is not None:
+            df = df.where(time < self.end)
+            df = df.where(F.col("day") <= (self.end - 1) // DAY) if by_day else df
+        return df.select(*table.columns)
 
     @cached_property
-    def machine_attributes(self):
+    def machine_attributes(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/machine_attributes")
 
+    def bad_lines(self, name: str) -> DataFrame:
+        """Lines that a quarantine trace kept apart when it was converted."""
+        return self.spark.read.parquet(f"{self.folder}/bad_lines/{name}")
+
 
 def _days(timestamp: str, first: str = "1995-01-01") -> Column:
     day = F.datediff(F.col(timestamp).cast("date"), F.lit(first).cast("date"))
