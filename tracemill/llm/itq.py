@@ -9,6 +9,7 @@ bits than that are equal in some part. Vectors that share a part are compared by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ ROTATIONS, TABLES = 2, 12
 SAMPLE, ROUNDS = 10_000, 30
 SEED = 20_110_620
 #: Vectors of one bucket that are compared as one block; a larger bucket is split into pairs of blocks.
-BLOCK = 1024
+BLOCK = 256
+_BLOCK_COLUMNS = ["label", "dimensions", "at", "key", "low", "high"]
 
 
 def learn_rotation(sample: np.ndarray, seed: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -117,28 +119,59 @@ def _blocks(coded: DataFrame) -> DataFrame:
     return rows.join(coded.select("node", "keys", "size", "embedding"), "node")
 
 
+@dataclass
+class _Rows:
+    """Rows of one block, or of a part of it that lies in one batch."""
+
+    at: int
+    cut: bool
+    node: np.ndarray
+    size: np.ndarray
+    part: np.ndarray
+    keys: np.ndarray
+    vectors: np.ndarray
+
+    @staticmethod
+    def joined(rows: list[_Rows]) -> _Rows:
+        columns = [np.concatenate([getattr(r, c) for r in rows]) for c in ("node", "size", "part", "keys", "vectors")]
+        return _Rows(rows[0].at, rows[0].cut, *columns)
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, _Rows]]:
+    """Names and rows of the blocks in a batch, which are sorted by block."""
+    names = [batch[c].to_numpy(zero_copy_only=False) for c in _BLOCK_COLUMNS]
+    node, size, part = (batch[c].to_numpy() for c in ("node", "size", "part"))
+    keys = batch["keys"].flatten().to_numpy().reshape(len(node), -1)
+    vectors = batch["embedding"].flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(batch["embedding"].value_lengths().to_numpy())
+    opens = np.zeros(len(node), bool)
+    opens[0] = True
+    for column in names:
+        opens[1:] |= column[1:] != column[:-1]
+    starts = np.flatnonzero(opens).tolist()
+    for a, b in zip(starts, [*starts[1:], len(node)], strict=True):
+        name = tuple(column[a] for column in names)
+        flat = vectors[(ends[a - 1] if a else 0) : ends[b - 1]]
+        yield name, _Rows(name[2], name[4] != name[5], node[a:b], size[a:b], part[a:b], keys[a:b], flat.reshape(b - a, -1))
+
+
 def _compare(least: float):
     """Per block and vector with a link: its node, the smallest node it is connected with inside, and its links.
 
     A pair that shares several parts of the code is counted where the first of them is.
     """
 
-    def block(rows: list[tuple]) -> list[tuple]:
-        at = rows[0]["at"]
-        cut = rows[0]["low"] != rows[0]["high"]
-        unit = _unit(np.array([r["embedding"] for r in rows], np.float64))
-        keys = np.array([r["keys"] for r in rows], np.int64)
-        node = np.array([r["node"] for r in rows], np.int64)
-        size = np.array([r["size"] for r in rows], np.int64)
-        part = np.array([r["part"] for r in rows], np.int64)
+    def block(rows: _Rows) -> list[np.ndarray]:
+        node = rows.node
+        unit = _unit(rows.vectors.astype(np.float64))
         a, b = np.nonzero(np.triu(unit @ unit.T >= least, 1))
-        if cut:
-            across = part[a] != part[b]
+        if rows.cut:
+            across = rows.part[a] != rows.part[b]
             a, b = a[across], b[across]
         if not len(a):
-            return []
-        first = ~(keys[a, :at] == keys[b, :at]).any(axis=1)
-        links = np.bincount(a, size[b] * first, len(rows)) + np.bincount(b, size[a] * first, len(rows))
+            return [node[:0]] * 3
+        first = ~(rows.keys[a, : rows.at] == rows.keys[b, : rows.at]).any(axis=1)
+        links = np.bincount(a, rows.size[b] * first, len(node)) + np.bincount(b, rows.size[a] * first, len(node))
         lowest = node.copy()
         while True:
             before = lowest.copy()
@@ -147,28 +180,30 @@ def _compare(least: float):
             if (before == lowest).all():
                 break
         linked = np.unique(np.concatenate([a, b]))
-        return list(zip(node[linked].tolist(), lowest[linked].tolist(), links[linked].astype(np.int64).tolist(), strict=True))
+        return [node[linked], lowest[linked], links[linked].astype(np.int64)]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[_Rows] = []
         now = None
         for batch in batches:
-            found: list[tuple] = []
-            for row in batch.to_pylist():
-                name = tuple(row[c] for c in ("label", "dimensions", "at", "key", "low", "high"))
+            found = []
+            for name, rows in _runs(batch) if batch.num_rows else ():
                 if name != now:
-                    found += block(held) if len(held) > 1 else []
+                    found += _closed(held)
                     held, now = [], name
-                held.append(row)
-            yield _linked(found)
-        yield _linked(block(held) if len(held) > 1 else [])
+                held.append(rows)
+            yield from _linked(found)
+        yield from _linked(_closed(held))
+
+    def _closed(held: list[_Rows]) -> list[list[np.ndarray]]:
+        return [block(_Rows.joined(held))] if sum(len(r.node) for r in held) > 1 else []
 
     return compare
 
 
-def _linked(found: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*found, strict=True) if found else [()] * 3
-    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["node", "lowest", "links"])
+def _linked(found: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["node", "lowest", "links"])
 
 
 def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
@@ -180,13 +215,12 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFram
     own; a null id is never the smallest. Every link that is reported has the cosine; of all
     pairs with it a small part may be missed.
     """
-    block = ["label", "dimensions", "at", "key", "low", "high"]
     good = vectors.select("vec_id", "embedding", "label").where(usable(F.col("embedding"), F.col("label")))
     classes = good.groupBy("label", "embedding").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"))
     classes = classes.select("*", F.size("embedding").alias("dimensions"), F.monotonically_increasing_id().alias("node"))
     classes = stored(classes, "classes")
     coded = stored(_coded(classes), "codes")
-    dealt = _blocks(coded).repartition(*block).sortWithinPartitions(*block)
+    dealt = _blocks(coded).repartition(*_BLOCK_COLUMNS).sortWithinPartitions(*_BLOCK_COLUMNS)
     found = stored(dealt.mapInArrow(_compare(least), "node long, lowest long, links long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     component = connected_components(found.select("node", "lowest"))
