@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from tests.tables import machine_events, rows
-from tracemill.operators import fits_broadcast, lookup_join
+from tracemill.operators import fits_broadcast, lookup_join, six_number_summary
 from tracemill.plans import placement, tasks, usage
 from tracemill.plans.catalog import ANALYSES
 from tracemill.sources.trace import SampleTrace
@@ -173,6 +173,27 @@ def test_distinct_counts_of_a_hot_job_spread_by_task(spark, many_tasks):
     assert re.search(r"Exchange hashpartitioning\(job_id#\d+L?, task_index#\d+L?", plan)
 
 
+def test_quantiles_of_as_many_values_as_rows(spark, many_tasks):
+    """No task gets more than a small part of the distinct values."""
+    n = 200_000
+    df = spark.range(n, numPartitions=16).select((F.col("id") * 7919 % n * 1_000_003 - 5_000_000).alias("v"))
+    low, q1, median, mean, q3, high = rows(six_number_summary(df, "v"))[0]
+    value = lambda rank: rank * 1_000_003 - 5_000_000
+    assert (low, high) == (value(0), value(n - 1)) and mean == value((n - 1) / 2)
+    assert [q1, median, q3] == [value((n - 1) * p) for p in (0.25, 0.5, 0.75)]
+    plan = physical(df.groupBy("v").count())
+    assert "hashpartitioning(v" in plan and "percentile" not in physical(six_number_summary(df, "v"))
+
+
+def test_orders_are_counted_once_per_trace(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr("tracemill.sources.trace.fits_broadcast", lambda *a: calls.append(a) or True)
+    t = SampleTrace(spark, FOLDER)
+    for _ in range(3):
+        t.tasks("priority")
+    assert len(calls) == 1
+
+
 def test_broadcast_only_below_a_checked_size(spark, conf):
     conf(autoBroadcastJoinThreshold="-1")
     facts = spark.range(1000).select((F.col("id") % 10).alias("k"))

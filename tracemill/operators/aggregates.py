@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tracemill.functions.columns import SECOND, percent
+from tracemill.operators.cache import cached
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str] | None = None) -> DataFrame:
@@ -75,30 +76,72 @@ def mean_gap(df: DataFrame, time: str, name: str) -> DataFrame:
 def six_number_summary(df: DataFrame, column: str, error: float | None = None) -> DataFrame:
     """min, q1, median, mean, q3 and max of a column of whole numbers, nulls left out.
 
-    The quantiles interpolate linearly. They are taken over the distinct values with their counts,
-    so what the last task holds grows with the number of different values, not with the rows. With
-    ``error``, the quantiles are estimates instead, off by at most that share of the ranks.
+    The quantiles interpolate linearly. They are found by counting (see :func:`_at_ranks`), which
+    runs two to seven jobs over the distinct values; no task has to hold them all. With ``error``,
+    the quantiles are estimates instead, off by at most that share of the ranks, and nothing runs
+    until the result is used.
     """
     q = [0.25, 0.5, 0.75]
-    if error is None:
-        counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-        stats = counts.agg(
-            F.min(column).alias("min"),
-            F.percentile(column, q, F.col("_n")).alias("_q"),
-            F.try_divide(F.sum(F.col(column) * F.col("_n")), F.sum("_n")).alias("mean"),
-            F.max(column).alias("max"),
-        )
-    else:
+    if error is not None:
         stats = df.agg(
             F.min(column).alias("min"),
             F.percentile_approx(column, q, round(1 / error)).cast("array<double>").alias("_q"),
             F.avg(column).alias("mean"),
             F.max(column).alias("max"),
         )
-    return stats.select(
-        "min", F.get("_q", 0).alias("q1"), F.get("_q", 1).alias("median"), "mean",
-        F.get("_q", 2).alias("q3"), "max",
-    )
+        return stats.select(
+            "min", F.get("_q", 0).alias("q1"), F.get("_q", 1).alias("median"), "mean",
+            F.get("_q", 2).alias("q3"), "max",
+        )
+    value = F.col(column).cast("bigint")
+    counts = df.where(value.isNotNull()).groupBy(value.alias("_v")).agg(F.count("*").alias("_n"))
+    with cached(counts) as kept:
+        low, high, n, total = kept.agg(F.min("_v"), F.max("_v"), F.sum("_n"), F.sum(F.col("_v") * F.col("_n"))).first()
+        quartiles: list[float | None] = [None] * 3
+        if n:
+            places = [(n - 1) * p for p in q]
+            at = _at_ranks(kept, low, high, sorted({int(p) for p in places} | {min(int(p) + 1, n - 1) for p in places}))
+            quartiles = [
+                at[int(p)] + (p - int(p)) * (at[min(int(p) + 1, n - 1)] - at[int(p)]) for p in places
+            ]
+    row = [low, *quartiles[:2], total / n if n else None, quartiles[2], high]
+    kind = df.schema[column].dataType.simpleString()
+    kinds = {"min": kind, "q1": "double", "median": "double", "mean": "double", "q3": "double", "max": kind}
+    one = df.sparkSession.range(1, numPartitions=1)
+    return one.select(*[F.lit(v).cast(k).alias(name) for v, (name, k) in zip(row, kinds.items())])
+
+
+_CELLS = 1024
+
+
+def _at_ranks(counts: DataFrame, low: int, high: int, ranks: Sequence[int]) -> dict[int, int]:
+    """The values at ``ranks`` (from 0) of the values ``_v``, each ``_n`` times, all between ``low`` and ``high``.
+
+    Each rank has an interval that its value lies in. One job counts the values of all intervals in
+    cells of equal width; the cell that holds the rank is its next interval, until it is one value.
+    """
+    intervals = {rank: (low, high, rank) for rank in ranks}  # and the rank inside the interval
+    while open_ := sorted({(a, b) for a, b, _ in intervals.values() if b > a}):
+        width = {(a, b): -(-(b - a + 1) // _CELLS) for a, b in open_}
+        v = F.col("_v")
+        cells = [
+            F.when(v.between(a, b), F.struct(F.lit(k).alias("k"), F.floor((v - a) / width[a, b]).alias("cell")))
+            for k, (a, b) in enumerate(open_)
+        ]
+        found = counts.select("_n", F.explode(F.array_compact(F.array(*cells))).alias("c")).groupBy("c.k", "c.cell")
+        sums: dict[int, list[tuple[int, int]]] = {}
+        for k, cell, n in found.agg(F.sum("_n")).collect():
+            sums.setdefault(k, []).append((cell, n))
+        for rank, (a, b, inside) in intervals.items():
+            if b == a:
+                continue
+            for cell, n in sorted(sums[open_.index((a, b))]):
+                if inside < n:
+                    start = a + cell * width[a, b]
+                    intervals[rank] = (start, min(start + width[a, b] - 1, b), inside)
+                    break
+                inside -= n
+    return {rank: a for rank, (a, _, _) in intervals.items()}
 
 
 def row_count(df: DataFrame) -> DataFrame:

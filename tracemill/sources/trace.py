@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracemill.functions.columns import DAY, SECOND
-from tracemill.operators.joins import BROADCAST_BYTES, lookup_join
+from tracemill.operators.joins import BROADCAST_BYTES, fits_broadcast, lookup_join
 from tracemill.sources.files import read_lines, read_table
 from tracemill.sources.output import write_parquet
 from tracemill.sources.schemas import CLOCK, JOB_EVENTS, MACHINE_EVENTS, TABLES, TASK_EVENTS, TASK_USAGE, Table
@@ -223,16 +223,27 @@ class SampleTrace(Trace):
         """Without the join with ``orders`` when no asked column comes from it."""
         return self._task_events(with_orders="user" in columns or "priority" in columns).select(*columns)
 
+    @cached_property
+    def _orders(self) -> DataFrame:
+        return self._parquet("orders").select(
+            F.col("o_orderkey").alias("l_orderkey"),
+            "o_custkey",
+            F.substring("o_orderpriority", 1, 1).cast("bigint").alias("priority"),
+        )
+
+    @cached_property
+    def _orders_fit(self) -> bool:
+        """Counted once per trace, by a job."""
+        return BROADCAST_BYTES > 0 and fits_broadcast(self._orders, BROADCAST_BYTES)
+
     def _task_events(self, with_orders: bool) -> DataFrame:
         order, part, line = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber").cast("bigint")
         source = self._parquet("lineitem")
         if with_orders:
-            orders = self._parquet("orders").select(
-                F.col("o_orderkey").alias("l_orderkey"),
-                "o_custkey",
-                F.substring("o_orderpriority", 1, 1).cast("bigint").alias("priority"),
-            )
-            source = lookup_join(source, orders, ["l_orderkey"], "left", BROADCAST_BYTES)
+            if self._orders_fit:
+                source = source.join(F.broadcast(self._orders), "l_orderkey", "left")
+            else:
+                source = lookup_join(source, self._orders, ["l_orderkey"], "left")
         columns = {
             "time": _days("l_shipdate") + line * 1_000_000 + part,
             "missing_info": F.lit(0).cast("bigint"),
