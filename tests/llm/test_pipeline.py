@@ -12,7 +12,7 @@ def test_every_stage_acts_on_what_the_one_before_kept(spark, tmp_path):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     docs, expected = documents, {
         "quality rules": lambda d: Counter(r.doc_id for r in quality.judge(d, labels).where("kept").collect()),
-        "language ID": lambda d: Counter(r.doc_id for r in language.identify(d).where("lang_pred <> 'und' AND score >= 0.1").collect()),
+        "language ID": lambda d: Counter(r.doc_id for r in language.identify(d).where("lang_pred <> 'und' AND score >= 0.05").collect()),
         "SimHash near-dedup": lambda d: Counter({r.component_id for r in simhash.near_duplicates(d).collect()}),
         "mixing sources to target weights": lambda d: Counter({r.doc_id: r.taken // r.size for r in mixing.mix(d).where("size > 0").collect()}),
         "byte-level BPE encoding and decoding": lambda d: Counter(r.doc_id for r in d.collect()),

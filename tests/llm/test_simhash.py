@@ -98,11 +98,11 @@ def test_runs_may_cross_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_components(spark, seed):
     rng = random.Random(seed)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)]  # random
-    edges += [(500 + i, 501 + i) for i in range(70)]  # a path
+    edges += [(500 + i, 501 + i) for i in range(25)]  # a path
     edges += [(rng.randrange(700, 900), 650) for _ in range(150)]  # a star
     edges += [(1000 + rng.randrange(40), 1000 + i) for i in range(40) for _ in range(3)] + [(7, 7), (None, 3), (5, None)]
     found = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())

@@ -20,7 +20,7 @@ DIMENSIONS = 1024
 SEED = 20_080_601
 UNKNOWN = "und"
 #: Below this cosine a text is in none of the languages; used by the filter only.
-LEAST_SCORE = 0.1
+LEAST_SCORE = 0.05
 #: More languages than this are refused: the prototypes are held by the driver and every task.
 MOST_LANGUAGES = 4096
 #: Trigram vectors that a worker keeps, and trigrams that are multiplied at once.
