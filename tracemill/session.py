@@ -24,14 +24,20 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 
 
 def scratch_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder that all executors can reach.
+    """A path for a new folder that all executors can reach; it is deleted when the session's JVM ends.
 
     It lies under ``spark.checkpoint.dir``. Where that is unset, a temporary folder of this
     machine serves, but only for a local master: on a cluster its files would be lost.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
+        parent = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    elif spark.sparkContext.master.startswith("local"):
+        parent = tempfile.mkdtemp(prefix=f"{label}-")
+    else:
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return tempfile.mkdtemp(prefix=f"{label}-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{parent}/data"
