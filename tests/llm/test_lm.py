@@ -29,10 +29,11 @@ def brute_base(texts, held):
     }
 
 
-@pytest.mark.parametrize("head", [lm.HEAD_WORDS, 500, 0])
-def test_base(spark, monkeypatch, head):
-    """However many words are broadcast, the base score is that of all counts."""
+@pytest.mark.parametrize(("head", "length"), [(lm.HEAD_WORDS, lm.HEAD_BYTES), (500, 3), (0, 64)])
+def test_base(spark, monkeypatch, head, length):
+    """However many and whatever words are broadcast, the base score is that of all counts."""
     monkeypatch.setattr(lm, "HEAD_WORDS", head)
+    monkeypatch.setattr(lm, "HEAD_BYTES", length)
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     found = {r.doc_id: r for r in op6_log_bilinear(spark, SMALL).collect()}
     expected = brute_base(texts, {i: found[i].held_out for i in texts})

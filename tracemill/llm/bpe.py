@@ -32,6 +32,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 KEPT = 300_000
 #: Bytes of a window or a half that is short: kept, and merged by looking at all pairs in turn.
 SHORT, NO_RANK = 16, 1 << 60
+#: What is longer is encoded anew each time.
+LONG_KEY = 64
 #: A part of so many bytes is a leaf of the tree: it is merged as a whole.
 LEAF_BYTES = 4
 #: Parts that a leaf of the tree over a text joins at once.
@@ -50,7 +52,7 @@ def parse_ranks(content: bytes) -> dict[bytes, int]:
 
 
 class _Kept(dict):
-    """Values of a function by key; emptied when it is full."""
+    """Values of a function by key; emptied when it is full. Long keys are not kept, so the size is bounded."""
 
     def __init__(self, function: Callable, limit: int = KEPT):
         super().__init__()
@@ -58,6 +60,8 @@ class _Kept(dict):
 
     def __missing__(self, key):
         value = self.function(key)
+        if len(key) > LONG_KEY:
+            return value
         if len(self) >= self.limit:
             self.clear()
         self[key] = value

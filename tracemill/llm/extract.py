@@ -41,7 +41,7 @@ ASIDE = frozenset("nav footer aside form button menu dialog head".split())
 ARTICLE = frozenset(("article", "main"))
 #: Words in the names of other elements that are not the article's text.
 ASIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar widget widgets "
+    "ad ads adv adbox adslot adsbygoogle advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar widget widgets "
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead copyright toolbar "
     "comment comments commentlist respond reply replies disqus cookie cookies consent gdpr notice notices alert "
     "newsletter subscribe subscription signup login popup modal overlay related recommended recommendations share "

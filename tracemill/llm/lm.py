@@ -27,6 +27,8 @@ CLASS_WORDS = 1022
 DIMENSIONS = 16
 #: Words that are broadcast with their counts, at most; all others meet their counts in a join.
 HEAD_WORDS = 100_000
+#: Longer words are never broadcast, so that the head has a size.
+HEAD_BYTES = 64
 #: Rows that one task adds up before it sends them on.
 HELD_WORDS = 200_000
 #: Training: tokens and shared noise tokens per step, and the step size of AdaGrad.
@@ -79,7 +81,7 @@ class Vocabulary:
 
     head: list[bytes]
     counts: np.ndarray
-    least: int  # every word with this count or more is in the head
+    least: int  # every word with this count or more is in the head, unless it is too long
     tokens: int
     distinct: int
     ends: int
@@ -117,7 +119,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         if room < 0:
             break
         least = row.c
-    head = [] if least is None else counts.where((F.col("c") >= least) & (F.col("word") != END_WORD)).collect()
+    head = [] if least is None else counts.where(_in_head(least) & (F.col("word") != END_WORD)).collect()
     head = sorted(((r.word.encode(), r.c) for r in head), key=lambda x: (-x[1], x[0]))
     return Vocabulary(
         [w for w, _ in head], np.array([c for _, c in head], np.int64), least or 1 << 62,
@@ -125,6 +127,10 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     )
 
 
+def _in_head(least: int) -> Column:
+    return (F.col("c") >= least) & (F.octet_length("word") <= HEAD_BYTES)
+
+
 class Reader:
     """Texts as places in the head, and as classes."""
 
@@ -346,7 +352,7 @@ def score(docs: DataFrame) -> DataFrame:
     # The row number depends on how files are dealt to tasks, so number and result are kept together.
     scored = stored(_scores(numbered, shared, flat, class_counts), "scores")
     tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.n")
-    met = lookup_join(tail, counts.where(F.col("c") < known.least), ["word"])
+    met = lookup_join(tail, counts.where(~_in_head(known.least)), ["word"])
     found = met.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("logs"))
     both = scored.drop("tail").join(found, "row", "left").withColumns({
         "more": F.coalesce("more", F.lit(0)), "logs": F.coalesce("logs", F.lit(0.0)),
