@@ -32,8 +32,10 @@ HEAD_BYTES = 64
 #: Rows that one task adds up before it sends them on.
 HELD_WORDS = 200_000
 #: Training: tokens and shared noise tokens per step, and the step size of AdaGrad.
-BATCH, NOISE, RATE = 2048, 32, 0.1
+BATCH, NOISE, RATE = 512, 32, 0.3
 SEED = 20_120_626
+#: Tokens that a task gathers before it trains on them.
+HELD_TOKENS = 1 << 15
 END, END_WORD = 0, "\n"  # no word has a line feed
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Classes of frequency per doubling of a count, by which the head is chosen.
@@ -256,7 +258,7 @@ def train(docs: DataFrame, shared, class_counts: np.ndarray) -> np.ndarray:
                 for text in piece:
                     held.append(reader.classes(reader.places(words(text))))
                     size += len(held[-1])
-                    if size >= 16 * BATCH:
+                    if size >= HELD_TOKENS:
                         trained += _epoch(model, held, rng)
                         held, size = [], 0
         if held:
