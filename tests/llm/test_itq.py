@@ -70,6 +70,42 @@ def test_recall_near_the_threshold(spark):
     assert linked <= expected and len(linked) >= 0.9 * len(expected) > 200
 
 
+@pytest.mark.parametrize(("dimensions", "common"), [(128, 0), (256, 0), (768, 0), (64, 0.7), (384, 0.5)])
+def test_recall_in_many_dimensions_and_with_a_common_mean(spark, monkeypatch, dimensions, common):
+    """Pairs just above the threshold among vectors that share a direction (squared part ``common``)."""
+    monkeypatch.setattr(itq, "ROUNDS", 3)
+    monkeypatch.setattr(itq, "BUCKET", 4)
+    monkeypatch.setattr(itq, "BLOCK", 8)  # so that parts of several bits are worth while
+    rng = np.random.default_rng(3)
+    mean = np.eye(1, dimensions)[0] * np.sqrt(common)
+    a = mean + rng.normal(size=(300, dimensions)) * np.sqrt((1 - common) / dimensions)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    table = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([a, 0.931 * a + np.sqrt(1 - 0.931**2) * b]))]
+    expected = {r[0] for r in brute(table) if r[1]}
+    linked = {r[0] for r in found(itq.near_duplicates(spark.createDataFrame(table, SCHEMA))) if r[1]}
+    assert linked <= expected and len(linked) >= 0.9 * len(expected) >= 0.9 * 600
+
+
+def test_tables_for_many_vectors():
+    """For many vectors parts have many bits, and pairs that nothing was learnt from still meet."""
+    rng = np.random.default_rng(4)
+    for dimensions, common in ((64, 0.7), (256, 0)):
+        draw = lambda n: itq._unit(rng.normal(size=(n, dimensions)) * np.sqrt((1 - common) / dimensions) + np.eye(1, dimensions)[0] * np.sqrt(common))  # noqa: E731, B023
+        tables = itq.choose_tables(draw(2000), dimensions, 1_000_000, 0.93)
+        for a, b in itq.probes(draw(1000), 0.93):
+            assert (tables.keys(a) == tables.keys(b)).any(axis=1).mean() >= 0.95
+        assert tables.bits >= 10
+
+
+def test_vectors_of_several_dimensions(spark):
+    table = [*clusters(5, 60, lambda g: g % 4), *[(1000 + i, v, n) for i, v, n in clusters(6, 60, lambda g: 1 + g % 6, 8)]]
+    df = spark.createDataFrame(table, SCHEMA).repartition(3)
+    assert found(itq.near_duplicates(df)) == brute(table)
+
+
 @pytest.mark.parametrize("folder", [FOLDER, "/root/testdata/sf0.1"])
 def test_equals_duckdb(spark, folder):
     assert spark_rows(op4_itq_near_dup(spark, folder)) == duckdb_rows(duckdb_over(folder), ORACLE_SQL["op4_itq_near_dup"])

@@ -1,13 +1,15 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
 A rotation is learnt that turns centred vectors so that their signs lose as little as possible: the
-signs are the code. Two rotations, learnt from different starts, give codes of twice as many bits as a vector has
-dimensions. The code is cut into as many parts as there are tables, so two codes that differ in fewer
-bits than that are equal in some part. Vectors that share a part are compared by their original values.
+signs are the code. Rotations learnt from different starts give as many bits as are needed. The code is
+cut into parts, one per table; vectors that share a part are compared by their original values. How many bits
+a part has follows from the number of vectors, and how many parts there are from pairs at the threshold,
+made from sampled vectors: so many that nearly all of them share one. Few vectors are all compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,9 +22,14 @@ from tracemill.llm.components import connected_components
 from tracemill.operators.joins import lookup_join
 
 LEAST_COSINE = 0.93
-ROTATIONS, TABLES = 2, 12
+#: Share of made pairs at the threshold that must meet in some table, and pairs made of either kind.
+RECALL, PROBES = 0.99, 1000
+#: Vectors per bucket that the bits of a part are chosen for, and tables, at most: with more, parts get shorter.
+BUCKET, MOST_TABLES = 64, 128
 #: Vectors that the rotations are learnt from, about, at most, and the rounds of learning.
 SAMPLE, ROUNDS = 10_000, 30
+#: Fewer sampled vectors tell no mean: rotations are then random and nothing is centred.
+LEAST_SAMPLE = 50
 SEED = 20_110_620
 #: Vectors of one bucket that are compared as one block; a larger bucket is split into pairs of blocks.
 BLOCK = 256
@@ -44,11 +51,97 @@ def learn_rotation(sample: np.ndarray, seed: int, rounds: int = ROUNDS) -> np.nd
     return rotation
 
 
-def table_keys(vectors: np.ndarray, mean: np.ndarray, rotations: list[np.ndarray], tables: int = TABLES) -> np.ndarray:
-    """Parts of the code of each vector (of length 1) as numbers, one column per table; parts of at most 62 bits."""
-    bits = np.concatenate([(vectors - mean) @ r >= 0 for r in rotations], axis=1)
-    parts = np.array_split(np.arange(bits.shape[1]), tables)
-    return np.stack([bits[:, p[:62]] @ (1 << np.arange(len(p[:62]), dtype=np.int64)) for p in parts], axis=1)
+@dataclass
+class Tables:
+    """How vectors of one number of dimensions are coded: ``tables`` parts of ``bits`` bits each."""
+
+    mean: np.ndarray
+    rotations: list[np.ndarray]
+    bits: int
+    tables: int
+
+    def keys(self, vectors: np.ndarray) -> np.ndarray:
+        """Parts of the code of each vector (of length 1) as numbers, one column per table."""
+        if not self.bits:
+            return np.zeros((len(vectors), self.tables), np.int64)
+        code = _code(vectors - self.mean, self.rotations)[:, : self.bits * self.tables]
+        return code.reshape(len(vectors), self.tables, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
+
+
+def _code(centred: np.ndarray, rotations: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([centred @ r >= 0 for r in rotations], axis=1)
+
+
+def probes(sample: np.ndarray, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of vectors with the cosine ``least``: from sampled vectors in any direction, and in those in which they differ."""
+    rng = np.random.default_rng(SEED)
+    draw = lambda: sample[rng.integers(0, len(sample), PROBES)]
+    made = []
+    for away in (rng.normal(size=(PROBES, sample.shape[1])), draw() - draw()):
+        a = draw()
+        away = away - (away * a).sum(1, keepdims=True) * a
+        length = np.linalg.norm(away, axis=1, keepdims=True)
+        apart = length[:, 0] > 1e-6
+        if apart.any():
+            a, away = a[apart], away[apart] / length[apart]
+            made.append((a, least * a + math.sqrt(max(0.0, 1 - least * least)) * away))
+    return made
+
+
+def choose_tables(sample: np.ndarray, dimensions: int, most: int, least: float) -> Tables:
+    """Rotations, bits and tables for up to ``most`` vectors that are compared with each other.
+
+    From how many bits of the made pairs agree, the bits of a part are chosen for which the fewest rows are
+    dealt to blocks. Tables are then added until the made pairs are really found. A part of no bits compares all.
+    """
+    everything = Tables(np.zeros(dimensions), [], 0, 1)
+    if most <= BUCKET:
+        return everything
+    top = min(62, math.ceil(math.log2(most / BUCKET)))
+    if len(sample) >= LEAST_SAMPLE:
+        # Pairs are made from vectors that nothing is learnt from: those fit the rotations better than others do.
+        sample = np.random.default_rng(SEED).permutation(sample)
+        apart = min(PROBES, len(sample) // 4)
+        tried, sample = sample[:apart], sample[apart:]
+        mean, rounds = sample.mean(axis=0), ROUNDS
+    else:
+        tried = sample = _unit(np.random.default_rng(SEED).normal(size=(PROBES, dimensions)))
+        mean, rounds = np.zeros(dimensions), 0
+    pairs = probes(tried, least)
+    if not pairs:
+        return everything
+    rotations: list[np.ndarray] = []
+    codes = [np.zeros((len(a), 0), bool) for a, _ in pairs]  # whether the bits of a pair agree
+
+    def need(bits: int) -> None:
+        while codes[0].shape[1] < bits:
+            rotations.append(learn_rotation(sample - mean, SEED + len(rotations), rounds))
+            for i, (a, b) in enumerate(pairs):
+                agree = _code(a - mean, rotations[-1:]) == _code(b - mean, rotations[-1:])
+                codes[i] = np.concatenate([codes[i], agree], axis=1)
+
+    need(2 * dimensions)
+    agreeing = [c.mean(axis=1) for c in codes]
+
+    def expected(bits: int) -> float:
+        """Tables for parts of so many bits, if bits agree independently."""
+        missed = lambda t: max(((1 - a**bits) ** t).mean() for a in agreeing)
+        return next((t for t in range(1, MOST_TABLES + 1) if missed(t) <= 1 - RECALL), math.inf)
+
+    dealt = {bits: expected(bits) * max(1.0, most / 2**bits / BLOCK) for bits in range(1, top + 1)}
+    bits = min(dealt, key=lambda b: (dealt[b], -b))
+    if most / BLOCK <= dealt[bits]:
+        return everything
+    while bits:
+        missed = [np.ones(len(c), bool) for c in codes]
+        for tables in range(1, MOST_TABLES + 1):
+            need(bits * tables)
+            for m, c in zip(missed, codes, strict=True):
+                m &= ~c[:, bits * (tables - 1) : bits * tables].all(axis=1)
+            if max(m.mean() for m in missed) <= 1 - RECALL:
+                return Tables(mean, rotations[: -(-bits * tables // dimensions)], bits, tables)
+        bits -= 1
+    return everything
 
 
 def usable(embedding: Column, label: Column) -> Column:
@@ -63,19 +156,20 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _rotations(classes: DataFrame) -> dict[int, tuple[np.ndarray, list[np.ndarray]]]:
-    """Mean and rotations per number of dimensions, learnt from about ``SAMPLE`` different vectors."""
-    sizes = [r.dimensions for r in classes.select("dimensions").distinct().limit(1025).collect()]
+def _tables(classes: DataFrame, least: float) -> dict[int, Tables]:
+    """Tables per number of dimensions, learnt from about ``SAMPLE`` different vectors."""
+    groups = classes.groupBy("dimensions", "label").agg(F.count("*").alias("n"))
+    sizes = groups.groupBy("dimensions").agg(F.max("n").alias("most"), F.sum("n").alias("n")).limit(1025).collect()
     if len(sizes) > 1024:
         raise ValueError("vectors of more than 1,024 different numbers of dimensions")
-    share = SAMPLE / max(SAMPLE, classes.count())
+    share = SAMPLE / max(SAMPLE, sum(r.n for r in sizes))
     taken = classes.where(F.pmod(F.xxhash64("embedding"), F.lit(1 << 30)) < int(share * (1 << 30))).select("embedding").collect()
     learnt = {}
-    for d in sizes:
-        rows = [r.embedding for r in taken if len(r.embedding) == d]
+    for r in sizes:
+        d = r.dimensions
+        rows = [t.embedding for t in taken if len(t.embedding) == d]
         sample = _unit(np.array(rows, np.float64)) if rows else np.zeros((0, d))
-        mean = sample.mean(axis=0) if rows else np.zeros(d)
-        learnt[d] = mean, [learn_rotation(sample - mean, SEED + i) for i in range(ROTATIONS)]
+        learnt[d] = choose_tables(sample, d, r.most, least)
     return learnt
 
 
@@ -85,9 +179,9 @@ def _vectors(column: pa.Array) -> list[np.ndarray]:
     return np.split(flat, ends[:-1])
 
 
-def _coded(classes: DataFrame) -> DataFrame:
+def _coded(classes: DataFrame, least: float) -> DataFrame:
     """``classes`` with ``keys``, the part of every table."""
-    learnt = classes.sparkSession.sparkContext.broadcast(_rotations(classes))
+    learnt = classes.sparkSession.sparkContext.broadcast(_tables(classes, least))
 
     @F.arrow_udf("array<long>")
     def keys(embeddings: pa.Array) -> pa.Array:
@@ -95,8 +189,7 @@ def _coded(classes: DataFrame) -> DataFrame:
         out: list = [None] * len(rows)
         for d in {len(r) for r in rows}:
             at = [i for i, r in enumerate(rows) if len(r) == d]
-            mean, rotations = learnt.value[d]
-            for i, k in zip(at, table_keys(_unit(np.stack([rows[i] for i in at])), mean, rotations).tolist(), strict=True):
+            for i, k in zip(at, learnt.value[d].keys(_unit(np.stack([rows[i] for i in at]))).tolist(), strict=True):
                 out[i] = k
         return pa.array(out, pa.list_(pa.int64()))
 
@@ -141,7 +234,8 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, _Rows]]:
     """Names and rows of the blocks in a batch, which are sorted by block."""
     names = [batch[c].to_numpy(zero_copy_only=False) for c in _BLOCK_COLUMNS]
     node, size, part = (batch[c].to_numpy() for c in ("node", "size", "part"))
-    keys = batch["keys"].flatten().to_numpy().reshape(len(node), -1)
+    keys = batch["keys"].flatten().to_numpy()
+    tables = np.cumsum(batch["keys"].value_lengths().to_numpy())
     vectors = batch["embedding"].flatten().to_numpy(zero_copy_only=False)
     ends = np.cumsum(batch["embedding"].value_lengths().to_numpy())
     opens = np.zeros(len(node), bool)
@@ -152,7 +246,8 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, _Rows]]:
     for a, b in zip(starts, [*starts[1:], len(node)], strict=True):
         name = tuple(column[a] for column in names)
         flat = vectors[(ends[a - 1] if a else 0) : ends[b - 1]]
-        yield name, _Rows(name[2], name[4] != name[5], node[a:b], size[a:b], part[a:b], keys[a:b], flat.reshape(b - a, -1))
+        key = keys[(tables[a - 1] if a else 0) : tables[b - 1]]
+        yield name, _Rows(name[2], name[4] != name[5], node[a:b], size[a:b], part[a:b], key.reshape(b - a, -1), flat.reshape(b - a, -1))
 
 
 def _compare(least: float):
@@ -219,7 +314,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFram
     classes = good.groupBy("label", "embedding").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"))
     classes = classes.select("*", F.size("embedding").alias("dimensions"), F.monotonically_increasing_id().alias("node"))
     classes = stored(classes, "classes")
-    coded = stored(_coded(classes), "codes")
+    coded = stored(_coded(classes, least), "codes")
     dealt = _blocks(coded).repartition(*_BLOCK_COLUMNS).sortWithinPartitions(*_BLOCK_COLUMNS)
     found = stored(dealt.mapInArrow(_compare(least), "node long, lowest long, links long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
