@@ -45,6 +45,27 @@ def test_hand_made_pages(page, text):
     assert extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<div class='site has-sidebar'><div><p>{LONG}</p></div><div class='sidebar'>Half as long as all of the article is</div></div>", LONG),
+    (f"<div class='content-with-sidebar'><p>{LONG}</p></div><div class='no-comments'><p>{LONG}</p></div>", f"{LONG}\n{LONG}"),
+    (f"<div id='post-social-policy'><p>{LONG}</p></div><div><p>Other.</p></div>", f"{LONG}\nOther."),
+    (f"<div data-id='share'><p>{LONG}</p></div><p>{LONG} {LONG}</p>", f"{LONG}\n{LONG} {LONG}"),
+    (f"<div class='post-and-comments'><article><p>{LONG}</p></article></div><p>Other.</p>", LONG),
+    (f"<form id='aspnetForm'><div><p>{LONG}</p></div></form>", LONG),
+    (f"<div><p class=ad>Buy this<p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}\n{LONG}"),
+    (f"<div><p class=ad>Buy this</div><p>{LONG}</p>", LONG),
+    (f"<ul><li class=share>Share<li>{LONG}</ul><p>End</p>", f"{LONG}\nEnd"),
+    (f"<ul><li class=share>Share<ul><li>all</ul>that</ul><p>{LONG}</p>", LONG),
+    (f"<head><meta charset=utf-8><body><p>{LONG}</p>", LONG),
+])
+def test_elements_whose_names_mislead(page, text):
+    assert extract.main_text(page) == text
+
+
+def test_deep_pages_end():
+    assert extract.main_text("<div><table>" + "<b>" * 50_000 + "</div>" * 50_000 + f"<p>{LONG}") == LONG
+
+
 def test_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", f"<p>{LONG}</p>"), (1, None, None), (2, "", "<p>" + "word " * 100_000)], "page_id long, url string, html string").selectExpr("*", "'clash' AS text", "1 AS n_chars")
     found = sorted((r.page_id or 0, r.n_chars) for r in extract.extract(pages).collect())

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -27,8 +28,10 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: The slash after an unquoted value belongs to it and does not close the element.
+_UNQUOTED = re.compile(r"=\s*[^\s\"'=]*/\s*\Z")
 
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter output progress q "
@@ -37,7 +40,9 @@ INLINE = frozenset(
 SPACED = frozenset(("br", "wbr", "img"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold the article's text; a header does if it stands inside the article.
-ASIDE = frozenset("nav footer aside form button menu dialog head".split())
+SURE = frozenset("nav footer aside button head".split())
+#: Elements that do not hold it, unless most of the page's text is in them.
+ASIDE = frozenset("form menu dialog".split())
 ARTICLE = frozenset(("article", "main"))
 #: Words in the names of other elements that are not the article's text.
 ASIDE_WORDS = frozenset(
@@ -48,6 +53,30 @@ ASIDE_WORDS = frozenset(
     "sharing social complementary contentinfo search skip".split()
 )
 HEADER_WORDS = frozenset(("header", "head"))
+#: In a name, what stands after one of these tells how the page is laid out, as in ``has-sidebar``.
+LAYOUT_WORDS = frozenset("has have with no not non without hide hides hidden disable disabled".split())
+#: Elements that end an open paragraph before them, by starting.
+_ENDS_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hgroup hr li main menu nav ol p pre search section summary table ul".split()
+)
+#: Elements that an element of the same kind ends, up to the element that holds both.
+_SIBLINGS = {
+    tag: (frozenset(ends), frozenset(bounds))
+    for tags, ends, bounds in (
+        (("li",), ("li",), ("ul", "ol", "menu")), (("dt", "dd"), ("dt", "dd"), ("dl",)), (("option", "optgroup"), ("option",), ("datalist",)),
+        (("td", "th"), ("td", "th"), ("tr", "table")), (("tr",), ("tr", "td", "th"), ("table",)),
+        (("tbody", "tfoot", "thead"), ("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)), (("a",), ("a",), ()),
+    )
+    for tag in tags
+}
+#: An end tag inside one of these does not end what stands around it.
+_CLOSED = frozenset("table td th caption".split())
+_IN_HEAD = frozenset("base basefont bgsound link meta head".split())
+_P = frozenset("p")
+_LISTS = frozenset("ul ol menu".split()) | _CLOSED
+#: Elements inside each other; a deeper one stands beside the last.
+_DEPTH = 512
 
 
 @dataclass(slots=True)
@@ -57,69 +86,160 @@ class Line:
     article: bool
 
 
+@dataclass(slots=True)
+class _Aside:
+    """An element whose tag or names say that it is not the article's, or the page itself."""
+
+    outer: _Aside | None
+    sure: bool
+    articles: int  # open article elements around it
+    plain: int = 0
+    marked: int = 0  # plain characters in article elements inside it
+    dropped: bool = False
+
+
+@dataclass(slots=True)
+class _Block:
+    text: str
+    plain: int
+    articles: int
+    aside: _Aside
+    opens: bool  # stands for the start of its aside
+
+
+def _named(attributes: str) -> set[str]:
+    """Words of an element's names, without those that tell how the page is laid out."""
+    found = set()
+    for names in _NAMES.findall(attributes):
+        for name in "".join(names).split():
+            for w in _WORDS.findall(name):
+                w = w.lower()
+                if w in LAYOUT_WORDS:
+                    break
+                found.add(w)
+    return found
+
+
 def _aside(tag: str, attributes: str, article: bool) -> bool:
-    if tag in ASIDE or (tag == "header" and not article):
+    if tag in SURE or tag in ASIDE or (tag == "header" and not article):
         return True
     if not attributes or tag in ("html", "body") or tag in ARTICLE:
         return False
-    words = {
-        w.lower() for names in _NAMES.findall(attributes) for w in _WORDS.findall("".join(names))
-    }
+    words = _named(attributes)
     return bool(words & ASIDE_WORDS) or (not article and bool(words & HEADER_WORDS))
 
 
+def _judge(blocks: list[_Block], asides: list[_Aside]) -> None:
+    """Tells which asides are dropped: all but those with most of the page's plain text, or most of that in articles."""
+    page = asides[0]
+    for block in blocks:
+        within, sure = [], False
+        a = block.aside
+        while a is not None:
+            within.append(a)
+            sure |= a.sure
+            a = a.outer
+        for a in within if block.plain and not sure else ():
+            a.plain += block.plain
+            a.marked += block.plain * (block.articles > a.articles)
+    for a in asides[1:]:
+        held = 2 * a.plain > page.plain or 2 * a.marked > page.marked
+        a.dropped = a.outer.dropped or a.sure or not held
+
+
 def lines(page: str) -> list[Line]:
     """Blocks of a page in order; those of menus and the like are empty."""
-    found: list[Line] = []
+    blocks: list[_Block] = []
     held: list[str] = []
     linked: list[str] = []
-    skipped, depth = "", 0  # the element whose text is left out, and how often it is open
-    article = in_link = 0
+    asides = [_Aside(None, False, 0)]
+    now = asides[0]  # the innermost that is open
+    stack: list[tuple[str, _Aside | None]] = []
+    count: Counter[str] = Counter()  # open elements by tag
+    articles = 0
     at = 0
 
     def end_block() -> None:
         text = " ".join(html.unescape("".join(held)).split())
         links = " ".join(html.unescape("".join(linked)).split())
-        if text or (found and found[-1].text):
-            found.append(Line(text, len(text) - len(links), article > 0))
+        blocks.append(_Block(text, len(text) - len(links), articles, now, False))
         held.clear()
         linked.clear()
 
     def take(text: str) -> None:
-        if text and not skipped:
+        if text:
             held.append(text)
-            if in_link:
+            if count["a"]:
                 linked.append(text)
 
+    def pop_to(depth: int) -> None:
+        nonlocal now, articles
+        while len(stack) > depth:
+            tag, aside = stack[-1]
+            if aside is not None:
+                end_block()
+                now = aside.outer
+            stack.pop()
+            count[tag] -= 1
+            articles -= tag in ARTICLE
+
+    def depth_of(tags: frozenset[str], bounds: frozenset[str] | None) -> int:
+        """Place of the innermost open element of ``tags``, or the depth if a bound (None: any block) comes first."""
+        if any(count[t] > 0 for t in tags):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in tags:
+                    return k
+                if stack[k][0] in bounds if bounds is not None else stack[k][0] not in INLINE:
+                    break
+        return len(stack)
+
     for token in _TOKEN.finditer(page):
         take(page[at : token.start()])
         at = token.end()
-        closing, tag, attributes = token.group(2), (token.group(3) or "").lower(), token.group(4)
+        closing, tag, attributes = token.group(2), (token.group(3) or "").lower(), token.group(4) or ""
         if not tag:
             continue
-        void = tag in VOID or (attributes or "").rstrip().endswith("/")
-        if skipped:
-            if tag == skipped and not void:
-                depth += -1 if closing else 1
-                if depth == 0:
-                    skipped = ""
-                    end_block()
-            continue
-        if not closing and not void and _aside(tag, attributes, article > 0):
+        inline = tag in INLINE
+        if not inline:
             end_block()
-            skipped, depth = tag, 1
-            found.append(Line("", 0, article > 0))
-            continue
-        if tag not in INLINE:
-            end_block()
-            if tag in ARTICLE:
-                article = max(0, article + (-1 if closing else 1))
-        elif tag == "a":
-            in_link = 0 if closing else 1
         elif tag in SPACED:
             take(" ")
+        if closing:
+            if inline:  # ends nothing but what is open in the same block
+                k = depth_of(frozenset((tag,)), None)
+            else:
+                k = depth_of(frozenset((tag,)), _LISTS if tag == "li" else frozenset() if tag in _CLOSED else _CLOSED)
+            pop_to(k)
+            continue
+        if count["head"] and stack[-1][0] == "head" and tag not in _IN_HEAD:
+            pop_to(len(stack) - 1)
+        if tag in _ENDS_P:
+            pop_to(depth_of(_P, None))
+        if tag in _SIBLINGS:
+            pop_to(depth_of(*_SIBLINGS[tag]))
+        if tag in VOID or (attributes.rstrip().endswith("/") and not _UNQUOTED.search(attributes)):
+            continue
+        if len(stack) >= _DEPTH:
+            pop_to(len(stack) - 1)
+        aside = None
+        if _aside(tag, attributes, articles > 0):
+            end_block()
+            aside = now = _Aside(now, tag in SURE, articles)
+            asides.append(aside)
+            blocks.append(_Block("", 0, articles, aside, True))
+        stack.append((tag, aside))
+        count[tag] += 1
+        articles += tag in ARTICLE
     take(page[at:])
     end_block()
+    _judge(blocks, asides)
+    found: list[Line] = []
+    for b in blocks:
+        if b.opens:
+            if b.aside.dropped and not b.aside.outer.dropped:
+                found.append(Line("", 0, b.articles > 0))
+        elif not b.aside.dropped and (b.text or (found and found[-1].text)):
+            found.append(Line(b.text, b.plain, b.articles > 0))
     return found
 
 
