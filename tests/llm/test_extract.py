@@ -62,6 +62,19 @@ def test_elements_whose_names_mislead(page, text):
     assert extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<div><p>{LONG}</p><p>{LONG} {LONG}</p></div><article class='teaser'><p>Read on here.</p></article>", f"{LONG}\n{LONG} {LONG}\nRead on here."),
+    (f"<div><p>{LONG} {LONG}</p></div><nav></nav><nav></nav><nav></nav><article class='teaser'><p>Read on here.</p></article>", f"{LONG} {LONG}"),
+    (f"<div class='related'><article><p>{LONG}</p></article></div><p>{LONG} {LONG} y</p>", f"{LONG}\n{LONG} {LONG} y"),
+    (f"<p>Site name</p><article><p>{LONG}</p><p>Read <a href='/'>all about it here</a></p></article><p>{LONG[:50]}</p>", f"{LONG}\nRead all about it here"),
+    (f"<article><p>{LONG}</p><nav></nav><nav></nav><nav></nav><p>3 min read</p><nav></nav><nav></nav><nav></nav><p>A short last word of it.</p></article>", f"{LONG}\nA short last word of it."),
+    ("<article><a href='/'>Only a link</a></article>", "Only a link"),
+])
+def test_the_window_decides(page, text):
+    """Article elements with little of the text do not blank the rest, and lines of theirs that no surge holds are left out."""
+    assert extract.main_text(page) == text
+
+
 def test_deep_pages_end():
     assert extract.main_text("<div><table>" + "<b>" * 50_000 + "</div>" * 50_000 + f"<p>{LONG}") == LONG
 

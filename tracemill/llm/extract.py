@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tracemill.llm.common import per_text
 
-#: Lines in the window, and the sum that a surge must reach on pages that do not mark their article.
+#: Lines in the window, the sum that a surge must reach, and how often a character counts where the article is marked.
 WINDOW = 3
 LEAST_SURGE = 80
+ARTICLE_WEIGHT = 4
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -246,15 +247,17 @@ def lines(page: str) -> list[Line]:
 def main_text(page: str | None) -> str:
     """The article of a page, one line per block; empty if there is none.
 
-    On a page that marks its article, all other lines are empty. On any other a line that is mostly
-    links counts as empty, and only text whose window reaches ``LEAST_SURGE`` somewhere is kept, or,
-    if none does, the longest.
+    A line that is mostly links counts as empty. Only text whose window reaches ``LEAST_SURGE``
+    somewhere is kept, or, if none does, the longest. If article elements hold at least half of the
+    text outside links, all other lines are empty, and their own count by ``ARTICLE_WEIGHT``, links included.
     """
     blocks = lines(page or "")
-    marked = any(b.article and b.text for b in blocks)
+    inside = sum(b.plain for b in blocks if b.article)
+    marked = any(b.article and b.text for b in blocks) and 2 * inside >= sum(b.plain for b in blocks)
     if marked:
-        blocks = [b if b.article else Line("", 0, False) for b in blocks]
-    lengths = [len(b.text) if marked or 2 * b.plain > len(b.text) else 0 for b in blocks]
+        lengths = [ARTICLE_WEIGHT * len(b.text) if b.article else 0 for b in blocks]
+    else:
+        lengths = [len(b.text) if 2 * b.plain > len(b.text) else 0 for b in blocks]
     sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
     spans: list[tuple[int, int, int]] = []  # first and last line with text, and the largest sum
     i = 0
@@ -271,10 +274,9 @@ def main_text(page: str | None) -> str:
         i = j
     if not spans:
         return ""
-    if not marked:
-        surging = [s for s in spans if s[2] >= LEAST_SURGE]
-        spans = surging or [max(spans, key=lambda s: s[2])]
-    return "\n".join(b.text for first, last, _ in spans for b in blocks[first : last + 1] if b.text)
+    surging = [s for s in spans if s[2] >= LEAST_SURGE]
+    spans = surging or [max(spans, key=lambda s: s[2])]
+    return "\n".join(b.text for first, last, _ in spans for b in blocks[first : last + 1] if b.text and (b.article or not marked))
 
 
 _KIND = pa.struct([("text", pa.string()), ("n_chars", pa.int64())])
