@@ -101,6 +101,57 @@ def test_words_of_many_held_out_texts_only(spark):
     assert row.held_out and (row.n_tokens, row.n_known) == (7, 2)
 
 
+def known_words(spark, texts, monkeypatch, own=2):
+    monkeypatch.setattr(lm, "CLASS_WORDS", own)
+    return lm.vocabulary(lm.token_counts(documents(spark, list(enumerate(texts)))))
+
+
+def test_bins_grow_with_the_words_and_are_normalised(spark, monkeypatch):
+    """Over all words, one not known in each bin included, the probabilities add up to 1 in every context."""
+    few, many = (known_words(spark, [" ".join(f"w{i % n}" for i in range(k, k + 9)) for k in range(400)], monkeypatch) for n in (30, 300))
+    assert few.bins < many.bins
+    model, reader = lm.Model(many), lm.Reader(many)
+    model.load(np.random.default_rng(5).normal(0, 0.5, len(model.flat())))
+    own, rare = many.head[:2], many.head[2:]
+    counts = dict(zip(many.head, many.counts.tolist(), strict=True))
+    for context in ([b"w5", b"w7"], [b"w5", many.head[0]]):
+        total = 0.0
+        for word in own + rare:
+            found = [*context, word]
+            log = model.log_probability([reader.classes(found, reader.places(found))])[2]
+            total += np.exp(log) * (counts[word] + 1 if word in rare else 1)
+        found = context
+        total += np.exp(model.log_probability([reader.classes(found, reader.places(found))])[2])  # the end
+        one = {}
+        for i in range(100_000):
+            one.setdefault(zlib.crc32(b"new%d" % i) % many.bins, b"new%d" % i)
+        assert len(one) == many.bins
+        for word in one.values():
+            found = [*context, word]
+            total += np.exp(model.log_probability([reader.classes(found, reader.places(found))])[2])
+        assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_rare_words_are_told_by_their_context(spark, monkeypatch):
+    """Among words without a class of their own the one that always follows is likelier than by its count."""
+    monkeypatch.setattr(lm, "BIN_SHARE", 4)
+    texts = ["a b " + " ".join(f"x{(7 * k + j) % 40} y{(7 * k + j) % 40}" for j in range(30)) for k in range(300)]
+    known = known_words(spark, texts, monkeypatch)
+    model, reader, rng = lm.Model(known), lm.Reader(known), np.random.default_rng(1)
+    coded = [reader.classes(w, reader.places(w)) for w in map(lm.words, texts)]
+    for _ in range(10):
+        model.learn(coded, rng)
+    log = lambda a, b: model.log_probability([reader.classes([a, b], reader.places([a, b]))])[1]
+    right = [log(b"x%d" % i, b"y%d" % i) > log(b"x%d" % (i + 11), b"y%d" % i) for i in range(25)]
+    assert sum(right) >= 22
+
+
+def test_words_keep_their_classes_where_the_head_overflows(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD_WORDS", 10)
+    known = known_words(spark, [" ".join(f"w{i}" for i in range(50))] * 3, monkeypatch, 5)
+    assert known.classes == 7 and known.head == sorted(b"w%d" % i for i in range(50))[:5]
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     found = lm.score(docs).collect()

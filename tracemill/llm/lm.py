@@ -5,12 +5,16 @@ token's vector. A token's score is the product of both plus a bias. Training tel
 tokens drawn by frequency, so it needs no sum over the vocabulary. Scoring normalises: per
 pair of context words one row of a matrix product gives the scores of all classes.
 
-The classes are the end of a text, the most frequent words, and one class for all rarer words; in it a
-word has the probability of its smoothed count. So every text has a probability, whatever its words.
+The classes are the end of a text, the most frequent words, and one class for all rarer words. Those are
+dealt by hash into bins, more of them the more words there are. A second model of the same kind predicts the
+bin of a rare word, and there bins are context words, too; in its bin a word has the probability of its
+smoothed count. So every text has a probability, whatever its words.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,6 +29,8 @@ from tracemill.operators.joins import lookup_join
 #: Words that have a class of their own, at most.
 CLASS_WORDS = 1022
 DIMENSIONS = 16
+#: Bins of rare words: this many times the root of the number of words.
+BIN_SHARE = 0.5
 #: Words that are broadcast with their counts, at most; all others meet their counts in a join.
 HEAD_WORDS = 100_000
 #: Longer words are never broadcast, so that the head has a size.
@@ -87,6 +93,8 @@ class Vocabulary:
     tokens: int
     distinct: int
     ends: int
+    bin_tokens: np.ndarray | None = None  # per bin of rare words: tokens, and different words
+    bin_words: np.ndarray | None = None
 
     @property
     def classes(self) -> int:
@@ -102,16 +110,20 @@ class Vocabulary:
         return np.concatenate([[self.ends], own, [self.tokens - self.ends - own.sum()]])
 
     @property
-    def rare_total(self) -> float:
-        """Tokens and words of the rare class, and one word that is not known."""
-        own = self.classes - 2
-        return float(self.class_counts()[-1]) + max(0, self.distinct - own - (self.ends > 0)) + 1.0
+    def bins(self) -> int:
+        return len(self.bin_tokens)
+
+    @property
+    def bin_totals(self) -> np.ndarray:
+        """Tokens and words of every bin, and one word that is not known."""
+        return self.bin_tokens + self.bin_words + 1.0
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """The totals of ``counts``, and as many frequent words as ``HEAD_WORDS`` allows.
 
-    A histogram over classes of frequency, a few hundred rows, tells the least count, so no word is ranked.
+    A histogram over classes of frequency, a few hundred rows, tells the least count, so only the words
+    with a class of their own are ranked, and only if the head has too few of them.
     """
     totals = counts.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("word") == END_WORD, F.col("c")))).first()
     step = F.floor(F.log2("c") * _STEPS)
@@ -122,11 +134,24 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
             break
         least = row.c
     head = [] if least is None else counts.where(_in_head(least) & (F.col("word") != END_WORD)).collect()
+    if len(head) < CLASS_WORDS:
+        short = counts.where(_in_head(0) & (F.col("word") != END_WORD))
+        head += short.where(~_in_head(least or 1 << 62)).orderBy(F.desc("c"), "word").limit(CLASS_WORDS - len(head)).collect()
     head = sorted(((r.word.encode(), r.c) for r in head), key=lambda x: (-x[1], x[0]))
-    return Vocabulary(
+    found = Vocabulary(
         [w for w, _ in head], np.array([c for _, c in head], np.int64), least or 1 << 62,
         totals[0] or 0, totals[1], totals[2] or 0,
     )
+    own = found.classes - 2
+    n = max(1, round(BIN_SHARE * math.sqrt(max(0, found.distinct - own))))
+    found.bin_tokens, found.bin_words = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    at = (F.crc32(F.col("word").cast("binary")) % n).alias("at")
+    for r in counts.where(F.col("word") != END_WORD).groupBy(at).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+        found.bin_tokens[r["at"]], found.bin_words[r["at"]] = r.c, r.n
+    for word, c in zip(found.head[:own], found.counts[:own].tolist(), strict=True):
+        found.bin_tokens[zlib.crc32(word) % n] -= c
+        found.bin_words[zlib.crc32(word) % n] -= 1
+    return found
 
 
 def _in_head(least: int) -> Column:
@@ -145,27 +170,29 @@ class Reader:
         get = self.place.get
         return np.array([get(w, -1) for w in found], np.int64)
 
-    def classes(self, places: np.ndarray) -> np.ndarray:
-        """Class of every word, then of the end."""
-        rare = self.vocabulary.rare
-        inside = (places >= 0) & (places < rare - 1)
-        return np.append(np.where(inside, places + 1, rare), END)
+    def classes(self, found: list[bytes], places: np.ndarray) -> np.ndarray:
+        """Class of every word, then of the end; a rare word has the rare class plus its bin."""
+        rare, bins = self.vocabulary.rare, self.vocabulary.bins
+        out = np.append(places + 1, END)
+        outside = np.flatnonzero((places < 0) | (places >= rare - 1))
+        out[outside] = [rare + zlib.crc32(found[i]) % bins for i in outside.tolist()]
+        return out
 
 
 class LogBilinear:
     """Parameters of the model, its training and its scores."""
 
-    def __init__(self, class_counts: np.ndarray, dimensions: int = DIMENSIONS):
+    def __init__(self, class_counts: np.ndarray, dimensions: int = DIMENSIONS, contexts: int | None = None):
         smoothed = class_counts + 1.0
         self.noise = np.log(smoothed / smoothed.sum())
         rng = np.random.default_rng(SEED)
         n = len(class_counts)
-        self.context = rng.normal(0, 0.1, (n, dimensions))
+        self.context = rng.normal(0, 0.1, (contexts or n, dimensions))
         self.target = rng.normal(0, 0.1, (n, dimensions))
         self.position = np.ones((2, dimensions))
         self.bias = self.noise.copy()
         self.squares = [np.full_like(p, 1e-2) for p in self.parameters]
-        self.norms = np.full((n, n), np.nan)  # of contexts that were seen
+        self.norms = None if contexts else np.full((n, n), np.nan)  # of contexts that were seen
 
     @property
     def parameters(self) -> list[np.ndarray]:
@@ -195,7 +222,7 @@ class LogBilinear:
         d_target = _scattered(token, true[:, None] * q, n)
         np.add.at(d_target, noise, false.T @ q)
         d_bias = np.bincount(token, true, n) + np.bincount(noise, false.sum(0), n)
-        d_context = _scattered(first, dq * self.position[0], n) + _scattered(second, dq * self.position[1], n)
+        d_context = sum(_scattered(c, dq * p, len(self.context)) for c, p in zip((first, second), self.position, strict=True))
         d_position = np.stack([(dq * self.context[first]).sum(0), (dq * self.context[second]).sum(0)])
         for p, square, d in zip(self.parameters, self.squares, (d_context, d_target, d_position, d_bias), strict=True):
             d /= len(token)
@@ -210,6 +237,8 @@ class LogBilinear:
     def log_probability(self, first: np.ndarray, second: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Natural logarithm of the normalised probability of every token in its context."""
         n = len(self.bias)
+        if self.norms is None:
+            return self._each(first, second, token)
         pairs = np.flatnonzero(np.bincount(first * n + second, minlength=n * n))
         pairs = pairs[np.isnan(self.norms.ravel()[pairs])]
         for start in range(0, len(pairs), _ROWS):
@@ -220,6 +249,57 @@ class LogBilinear:
         score = (self.predicted(first, second) * self.target[token]).sum(1) + self.bias[token]
         return score - self.norms[first, second]
 
+    def _each(self, first: np.ndarray, second: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The same token by token: there are too many contexts to keep their sums."""
+        out = np.zeros(len(token))
+        target, bias = self.target.T.astype(np.float32), self.bias.astype(np.float32)
+        for start in range(0, len(token), _ROWS):
+            part = slice(start, start + _ROWS)
+            scores = self.predicted(first[part], second[part]).astype(np.float32) @ target + bias
+            scores -= scores.max(axis=1, keepdims=True)
+            own = scores[np.arange(len(scores)), token[part]]
+            out[part] = own - np.log(np.exp(scores).sum(axis=1, dtype=np.float64))
+        return out
+
+
+class Model:
+    """The model of classes, and that of the bins of rare words."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.rare = vocabulary.rare
+        self.classes = LogBilinear(vocabulary.class_counts())
+        self.bins = LogBilinear(vocabulary.bin_tokens, contexts=self.rare + vocabulary.bins)
+        self.spread = np.log(vocabulary.bin_totals)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.classes.flat(), self.bins.flat()])
+
+    def load(self, flat: np.ndarray) -> None:
+        size = len(self.classes.flat())
+        self.classes.load(flat[:size])
+        self.bins.load(flat[size:])
+
+    def _split(self, texts: list[np.ndarray]) -> tuple[tuple, tuple, np.ndarray]:
+        """Contexts and tokens as classes; those of rare tokens as classes and bins, and which tokens these are."""
+        fine = contexts(texts)
+        at = np.flatnonzero(fine[2] >= self.rare)
+        first, second, token = (c[at] for c in fine)
+        return tuple(np.minimum(c, self.rare) for c in fine), (first, second, token - self.rare), at
+
+    def learn(self, texts: list[np.ndarray], rng: np.random.Generator) -> int:
+        coarse, fine, _ = self._split(texts)
+        for model, columns in ((self.classes, coarse), (self.bins, fine)):
+            for start in range(0, len(columns[0]), BATCH):
+                model.step(*(c[start : start + BATCH] for c in columns), rng)
+        return len(coarse[0])
+
+    def log_probability(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Natural logarithm per token; of a rare one without its smoothed count, which is a factor."""
+        coarse, fine, at = self._split(texts)
+        out = self.classes.log_probability(*coarse)
+        out[at] += self.bins.log_probability(*fine) - self.spread[fine[2]]
+        return out
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
@@ -243,46 +323,39 @@ def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return first, second, token
 
 
-def train(docs: DataFrame, shared, class_counts: np.ndarray) -> np.ndarray:
+def train(docs: DataFrame, shared) -> np.ndarray:
     """Parameters of the model over all ``docs``.
 
     Every task trains on its texts from the same start, and the results are averaged by their tokens.
-    A task sends one row per parameter, some 35,000.
+    A task sends one row per parameter: some 35,000, 17 more per bin for the target and 16 per bin as context.
     """
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, reader = LogBilinear(class_counts), _reader(shared)
+        model, reader = Model(shared.value), _reader(shared)
         rng, trained, held, size = np.random.default_rng(SEED), 0, [], 0
         for batch in batches:
             for piece in pieces(batch["text"]):
                 for text in piece:
-                    held.append(reader.classes(reader.places(words(text))))
+                    found = words(text)
+                    held.append(reader.classes(found, reader.places(found)))
                     size += len(held[-1])
                     if size >= HELD_TOKENS:
-                        trained += _epoch(model, held, rng)
+                        trained += model.learn(held, rng)
                         held, size = [], 0
         if held:
-            trained += _epoch(model, held, rng)
+            trained += model.learn(held, rng)
         if trained:
             flat = model.flat()
             columns = [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * trained), pa.array(np.full(len(flat), trained, np.int64))]
             yield pa.RecordBatch.from_arrays(columns, ["at", "value", "tokens"])
 
     parts = docs.select("text").mapInArrow(fit, "at int, value double, tokens long")
-    means = parts.groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value")).collect()
-    flat = LogBilinear(class_counts).flat()
-    for row in means:
-        flat[row.at] = row.value
+    means = parts.groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value")).toArrow()
+    flat = Model(shared.value).flat()
+    flat[means["at"].to_numpy()] = means["value"].to_numpy()
     return flat
 
 
-def _epoch(model: LogBilinear, held: list[np.ndarray], rng: np.random.Generator) -> int:
-    columns = contexts(held)
-    for start in range(0, len(columns[0]), BATCH):
-        model.step(*(c[start : start + BATCH] for c in columns), rng)
-    return len(columns[0])
-
-
 _readers: dict[int, Reader] = {}
 
 
@@ -294,16 +367,16 @@ def _reader(shared) -> Reader:
     return _readers[shared.value.tokens]
 
 
-_SCORED = "doc_id {id}, row long, n_tokens long, known long, base double, rare double, rare_tokens long, model double, tail array<struct<word:string,n:long>>"
+_SCORED = "doc_id {id}, row long, n_tokens long, known long, base double, rare double, model double, tail array<struct<word:string,n:long>>"
 _TAIL = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 
 
-def _scores(docs: DataFrame, shared, flat: np.ndarray, class_counts: np.ndarray) -> DataFrame:
+def _scores(docs: DataFrame, shared, flat: np.ndarray) -> DataFrame:
     """Per ``row`` what its words in the head give: tokens known, sums of log10(c + 1), the model's log10, and the other words."""
     parameters = docs.sparkSession.sparkContext.broadcast(flat)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, model = _reader(shared), LogBilinear(class_counts)
+        reader, model = _reader(shared), Model(shared.value)
         model.load(parameters.value)
         v = reader.vocabulary
         logs = np.log10(np.append(v.counts, 0) + 1.0)
@@ -313,21 +386,20 @@ def _scores(docs: DataFrame, shared, flat: np.ndarray, class_counts: np.ndarray)
             for piece in pieces(batch["text"]):
                 found = [words(text) for text in piece]
                 places = [reader.places(w) for w in found]
-                texts = [reader.classes(p) for p in places]
-                first, second, token = contexts(texts)
+                texts = [reader.classes(w, p) for w, p in zip(found, places, strict=True)]
                 starts = np.cumsum([0, *map(len, texts[:-1])])
-                model_log = np.add.reduceat(model.log_probability(first, second, token), starts) / np.log(10)
+                model_log = np.add.reduceat(model.log_probability(texts), starts) / np.log(10)
                 out = []
                 for row, w, p, t, m in zip(rows[at : at + len(piece)], found, places, texts, model_log.tolist(), strict=True):
-                    head, rare = p >= 0, t[:-1] == v.rare
+                    head, rare = p >= 0, t[:-1] >= v.rare
                     tail = Counter([w[i] for i in np.flatnonzero(~head).tolist()])
                     out.append((
                         row, len(w) + 1, int(head.sum()) + (v.ends > 0), float(logs[p[head]].sum()) + end,
-                        float(logs[p[head & rare]].sum()), int(rare.sum()), m,
+                        float(logs[p[head & rare]].sum()), m,
                         [{"word": word.decode(), "n": n} for word, n in tail.items()],
                     ))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), _TAIL]
-                names = ["doc_id", "row", "n_tokens", "known", "base", "rare", "rare_tokens", "model", "tail"]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), _TAIL]
+                names = ["doc_id", "row", "n_tokens", "known", "base", "rare", "model", "tail"]
                 columns = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(piece)), *columns], names)
                 at += len(piece)
@@ -340,7 +412,7 @@ def score(docs: DataFrame) -> DataFrame:
     """Per document ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     A null text is empty and has its end as only token. A null id is not held out. If nothing can be
-    learnt, every token is unknown: all counts are 0, and the model has two classes of equal weight. Rows that
+    learnt, every token is unknown: all counts are 0, and the model has two classes of equal weight and one bin. Rows that
     repeat are scored each; other columns are not read. Texts are read three times and not shuffled;
     shuffled are counts of words, and, of every document, its words outside the head.
     """
@@ -348,11 +420,10 @@ def score(docs: DataFrame) -> DataFrame:
     counts = stored(token_counts(taught), "counts")
     known = vocabulary(counts)
     shared = docs.sparkSession.sparkContext.broadcast(known)
-    class_counts = known.class_counts()
-    flat = train(taught, shared, class_counts)
+    flat = train(taught, shared)
     numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     # The row number depends on how files are dealt to tasks, so number and result are kept together.
-    scored = stored(_scores(numbered, shared, flat, class_counts), "scores")
+    scored = stored(_scores(numbered, shared, flat), "scores")
     tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.n")
     met = lookup_join(tail, counts.where(~_in_head(known.least)), ["word"])
     found = met.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("logs"))
@@ -360,7 +431,7 @@ def score(docs: DataFrame) -> DataFrame:
         "more": F.coalesce("more", F.lit(0)), "logs": F.coalesce("logs", F.lit(0.0)),
     })
     whole = float(known.tokens + known.distinct + 1)
-    rare = F.col("rare") + F.col("logs") - F.col("rare_tokens") * F.lit(float(np.log10(known.rare_total)))
+    rare = F.col("rare") + F.col("logs")
     return both.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("known") + F.col("more")).alias("n_known"),
         F.lit(known.tokens).cast("long").alias("train_tokens"),
