@@ -233,3 +233,9 @@ def test_results_do_not_depend_on_the_session_time_zone(spark, conf, zone):
 
 def test_all_survey_queries_are_registered():
     assert len(contract.queries()) >= 90
+
+
+def test_six_number_summary_refuses_fractions(spark):
+    with pytest.raises(TypeError, match="whole numbers"):
+        six_number_summary(spark.sql("SELECT 1.5D AS v"), "v")
+    assert six_number_summary(spark.sql("SELECT 1.5D AS v"), "v", 0.01).first()["mean"] == 1.5

@@ -6,7 +6,7 @@ reaches its reducer as one row per map task.
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tracemill.functions.columns import SECOND, percent
 from tracemill.operators.cache import cached
@@ -79,7 +79,7 @@ def six_number_summary(df: DataFrame, column: str, error: float | None = None) -
     The quantiles interpolate linearly. They are found by counting (see :func:`_at_ranks`), which
     runs two to seven jobs over the distinct values; no task has to hold them all. With ``error``,
     the quantiles are estimates instead, off by at most that share of the ranks, and nothing runs
-    until the result is used.
+    until the result is used. Without it, a column of another type is refused.
     """
     q = [0.25, 0.5, 0.75]
     if error is not None:
@@ -93,6 +93,9 @@ def six_number_summary(df: DataFrame, column: str, error: float | None = None) -
             "min", F.get("_q", 0).alias("q1"), F.get("_q", 1).alias("median"), "mean",
             F.get("_q", 2).alias("q3"), "max",
         )
+    kind = df.schema[column].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{column} is {kind.simpleString()}: exact quantiles need a column of whole numbers")
     value = F.col(column).cast("bigint")
     counts = df.where(value.isNotNull()).groupBy(value.alias("_v")).agg(F.count("*").alias("_n"))
     with cached(counts) as kept:
@@ -105,7 +108,6 @@ def six_number_summary(df: DataFrame, column: str, error: float | None = None) -
                 at[int(p)] + (p - int(p)) * (at[min(int(p) + 1, n - 1)] - at[int(p)]) for p in places
             ]
     row = [low, *quartiles[:2], total / n if n else None, quartiles[2], high]
-    kind = df.schema[column].dataType.simpleString()
     kinds = {"min": kind, "q1": "double", "median": "double", "mean": "double", "q3": "double", "max": kind}
     one = df.sparkSession.range(1, numPartitions=1)
     return one.select(*[F.lit(v).cast(k).alias(name) for v, (name, k) in zip(row, kinds.items())])
