@@ -92,3 +92,54 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, b.source_size, b.target,
     CAST(size * (turns + CASE WHEN place <= coalesce(last, -1) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source
 """
+
+TRIE = r"""
+WITH ids AS (
+  SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), bytes AS (
+  SELECT conv_id, n, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])) AS b
+  FROM ids
+), plan AS (  -- a byte is folded in, then eight bits are shifted out
+  SELECT conv_id, conv_id - conv_id % 20 AS base, n,
+    xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda a, x: CASE
+      WHEN x >= 0 THEN xor(a, x::BIGINT) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT) % 4 AS skip
+  FROM bytes
+), turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+    md5(concat(octet_length(encode(coalesce(role, ''))), ':', coalesce(role, ''), coalesce(text, '')))
+  ) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), rebuilt AS (
+  SELECT p.conv_id, t.place, t.role, t.text FROM plan p JOIN turns t ON t.conv_id = p.base AND t.place < p.skip
+  UNION ALL
+  SELECT p.conv_id, t.place, t.role, t.text FROM plan p JOIN turns t ON t.conv_id = p.conv_id AND t.place >= p.skip
+), numbered AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS depth, md5(concat(length(role), ':', role, text)) AS content,
+    len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+  FROM rebuilt
+), members AS (
+  SELECT conv_id, 0 AS depth, '' AS node, 0 AS words FROM ids
+  UNION ALL
+  SELECT conv_id, depth, string_agg(content, '/') OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING), words FROM numbered
+), lengths AS (
+  SELECT conv_id, max(depth) AS longest FROM members GROUP BY conv_id
+), nodes AS (
+  SELECT node, depth, min(m.conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    coalesce(string_agg(CAST(m.conv_id AS VARCHAR), ',' ORDER BY m.conv_id) FILTER (depth = longest), '') AS ends
+  FROM members m JOIN lengths l ON l.conv_id = m.conv_id GROUP BY node, depth
+), above AS (  -- every node with every node of its subtree
+  SELECT DISTINCT a.node AS node, b.node AS under FROM members a JOIN members b ON a.conv_id = b.conv_id AND a.depth <= b.depth
+), parents AS (
+  SELECT DISTINCT a.node AS node, b.node AS child FROM members a JOIN members b ON a.conv_id = b.conv_id AND a.depth + 1 = b.depth
+), children AS (
+  SELECT node, count(*) AS n FROM parents GROUP BY node
+), sums AS (
+  SELECT a.node, sum(CASE WHEN c.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((u.n_convs - 1) * u.words) AS saved_tokens
+  FROM above a JOIN nodes u ON u.node = a.under LEFT JOIN children c ON c.node = a.under GROUP BY a.node
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children,
+  CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN sums s ON s.node = n.node LEFT JOIN children c ON c.node = n.node
+LEFT JOIN parents p ON p.child = n.node LEFT JOIN nodes up ON up.node = p.node
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import bpe, extract, itq, language, lm, mixing, oracle, quality, simhash, urls, warc
+from tracemill.llm import align, bpe, classifier, extract, itq, language, lm, mixing, oracle, quality, simhash, trie, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +53,24 @@ def op10_hash_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_run_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(_table(spark, sf_dir, "documents"))
+
+
+def op12_kernel_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_parentheses_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_ratio, op2_language_profiles, op3_warc_normaliser, op4_itq_near_dup, op5_url_automaton,
         op6_log_bilinear, op7_line_blocks, op8_tree_bpe, op9_simhash_balls, op10_hash_mix,
+        op11_run_alignment, op12_kernel_ridge, op13_parentheses_trie,
     )
 }
 
@@ -67,4 +80,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_itq_near_dup": oracle.VECTORS,
     "op5_url_automaton": oracle.URLS,
     "op10_hash_mix": oracle.MIX,
+    "op13_parentheses_trie": oracle.TRIE,
 }
