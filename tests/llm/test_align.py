@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+from array import array
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -92,12 +94,16 @@ def test_common_ends():
             a = [e for e in ends[:-1] if rng.random() < density] + ends[-1:]
             b = [e for e in ends[:-1] if rng.random() < density] + ends[-1:]
             both = sorted(set(a) & set(b))
-            assert align.common_ends(a, b) == ([a.index(e) + 1 for e in both], [b.index(e) + 1 for e in both])
+            left, right = align.common_ends(np.array(a), np.array(b))
+            assert (left.tolist(), right.tolist()) == ([a.index(e) + 1 for e in both], [b.index(e) + 1 for e in both])
 
 
 def test_links_of_large_groups():
     first, second = [1, 2, 1] * 50, [7, 8] * 40
-    pairs, times = align.link_counts(first, second, [150], [80])
+    large = align.Aligned(*map(np.array, (first + [3], second + [9], [150, 151], [80, 81], [1, 2])))
+    text, pairs, times = large.links()
+    assert text.tolist() == [0] * 4 + [1] and pairs[-1] == 3 << 32 | 9
+    pairs, times = pairs[:-1], times[:-1]
     assert dict(zip(pairs.tolist(), times.tolist(), strict=True)) == Counter(a << 32 | b for a in first for b in second)
     assert align._unpacked(pairs.tobytes(), align._packed(times))[1].tolist() == times.tolist()
 
@@ -109,3 +115,19 @@ def test_odd_rows(spark):
     empty = [r for r in found if r.doc_id in (2, 3)]
     assert len(empty) == 2 and all(tuple(r[c] for c in COLUMNS) == (0, 0, 0, 0, 0, 0, "") for r in empty)
     assert align.align(docs.limit(0)).count() == 0
+
+
+def test_words_apart_equal_whole_texts(spark):
+    """The kept words give what both libraries give for whole texts."""
+    aligner = align.Aligner(*align._shared(spark, None, None).value)
+    assert aligner.apart
+    texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect() if r.text]
+    texts += [t for t in TEXTS if t] + ["one\ntwo three\nfour", "a\nb", "x\u0301 \u0301y\n\u0301z", "<|endoftext|> a\n<|endoftext|>", "w" * 70 + " short"]
+    assert aligner.ranked is not None
+    ones = [array("I", aligner.first.encode(" " + t, add_special_tokens=False).ids).tobytes() for t in texts]
+    twos = [array("I", aligner.second.encode(t)).tobytes() for t in texts]
+    found = aligner.encode(texts)
+    assert len(aligner.kept) > 1000 and sum(bool(x) for x, _ in found) > len(texts) - 10
+    assert all(f in ((one, two), (b"", b"")) for f, one, two in zip(found, ones, twos, strict=True))
+    aligner.apart, aligner.ranked = False, None
+    assert aligner.encode(texts) == found

@@ -13,14 +13,18 @@ the corpus, and tells which links of a document are the best of their first id.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import sentencepiece
+import tiktoken
 import tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -37,6 +41,9 @@ HELD_PAIRS = 1 << 21
 _STEPS = 16
 #: Groups of more links than this are linked by different ids.
 _MANY = 64
+#: Words whose ids a worker keeps, and their length, at most.
+KEPT, LONGEST = 300_000, 64
+_ID = (1 << 21) - 1
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -62,96 +69,187 @@ class Aligner:
         self.second_bytes = [self._piece(i) for i in range(self.second.get_piece_size())]
         self.first_sizes = np.array([len(b) for b in self.first_bytes], np.int64)
         self.second_sizes = np.array([len(b) for b in self.second_bytes], np.int64)
+        self.strings = separated(max(len(self.first_sizes), len(self.second_sizes)))
+        pieces_ = [self.second.id_to_piece(i) for i in range(len(self.second_bytes))]
+        #: Whether pieces hold spaces at their start only and no line feed, so that words are encoded apart.
+        self.apart = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces_)
+        self.before_line = len(self.second.encode("\n")) - 1  # pieces put before a text that starts with a line feed
+        self.kept: dict[str, bytes | None] = {"": None}
+        self.ranked = self._ranked(json.loads(first))
+
+    def _ranked(self, content: dict) -> tiktoken.Encoding | None:
+        """The first vocabulary as ranks, where its merges stand in the order of their ids and the words are cut the usual way."""
+        cut = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        known, split = content["model"]["vocab"], content.get("pre_tokenizer") or {}
+        merged = [known["".join(m if isinstance(m, list) else m.split(" "))] for m in content["model"]["merges"]]
+        usual = content.get("normalizer") is None and {k: split.get(k, v) for k, v in cut.items()} == cut
+        if not usual or merged != sorted(merged) or (merged and merged[0] < 256):
+            return None
+        special = {t["id"] for t in content.get("added_tokens", [])}
+        ranks = {self.first_bytes[i]: i for i in known.values() if i not in special}
+        return tiktoken.Encoding("first", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _piece(self, i: int) -> bytes:
         piece = self.second.id_to_piece(i)
         return bytes([int(piece[1:-1], 16)]) if self.second.is_byte(i) else piece.replace(SPACE, " ").encode()
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both for each text with a space before it; none where the bytes of either differ from it."""
-        ones = self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        twos = self.second.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids of both for each text with a space before it, as 32-bit integers; none where the bytes of either differ from it."""
         out = []
-        for text, one, two in zip(texts, ones, twos, strict=True):
-            whole, ids = b" " + text.encode(), one.ids
-            same = text and whole == b"".join(map(self.first_bytes.__getitem__, ids)) == b"".join(map(self.second_bytes.__getitem__, two))
-            out.append((ids, two) if same else ([], []))
+        units = [self._units(t) for t in texts]
+        self._learn(list({u: None for found in units for u in found if u not in self.kept}))
+        for text, found in zip(texts, units, strict=True):
+            one = self._first(" " + text) if text else b""
+            two = list(map(self.kept.__getitem__, found)) if one else [b""]
+            joined = self._second([text], [" " + text])[0] if None in two else b"".join(two)
+            out.append((one, joined) if one and joined else (b"", b""))
+        if len(self.kept) > KEPT:
+            self.kept = {"": None}
         return out
 
-    def groups(self, first: list[int], second: list[int]) -> tuple[list[int], list[int]]:
-        """Indices at which the groups end, in either sequence of ids."""
-        if not first:
-            return [], []
-        return common_ends(np.cumsum(self.first_sizes[first]).tolist(), np.cumsum(self.second_sizes[second]).tolist())
+    def _first(self, text: str) -> bytes:
+        if self.ranked is None:
+            ids = self.first.encode(text, add_special_tokens=False).ids
+            same = b"".join(map(self.first_bytes.__getitem__, ids)) == text.encode()
+        else:
+            ids = self.ranked.encode_ordinary(text)
+            same = self.ranked.decode_bytes(ids) == text.encode()
+        return array("I", ids).tobytes() if same else b""
+
+    def _second(self, texts: list[str], wholes: list[str], skip: int = 0) -> list[bytes]:
+        """Ids of each text without the first ``skip``; none where their bytes are not those of its whole."""
+        out = []
+        for ids, whole in zip(self.second.encode(texts, num_threads=1) if texts else [], wholes, strict=True):
+            ids = ids[skip:]
+            same = b"".join(map(self.second_bytes.__getitem__, ids)) == whole.encode()
+            out.append(array("I", ids).tobytes() if same else b"")
+        return out
+
+    def _units(self, text: str) -> list[str]:
+        """Words that are encoded apart by the second: each with the space before it, which is left out here, or the line feed.
 
+        Where white space is single spaces and line feeds, all of them between words, no piece goes
+        across the place before one. Any other text is one unit, which is not kept.
+        """
+        words = text.split()
+        if not self.apart or words != text.replace("\n", " ").split(" ") or len(max(words, key=len, default="")) > LONGEST:
+            return [""]
+        return text.replace("\n", " \n").split(" ")
 
-def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new units; None for one whose bytes change."""
+        spaced, lines = [u for u in new if u[0] != "\n"], [u for u in new if u[0] == "\n"]
+        found = self._second(spaced, [" " + u for u in spaced]) + self._second(lines, lines, self.before_line)
+        self.kept.update(zip(spaced + lines, (ids or None for ids in found), strict=True))
+
+
+def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the increasing arrays have a value in common: indices after it in ``a`` and ``b``, which end alike."""
-    n, m, i, j = len(a), len(b), 0, 0
-    left: list[int] = []
-    right: list[int] = []
+    x, y, n, m, i, j = a.tolist(), b.tolist(), len(a), len(b), 0, 0
+    starts, shifts, lengths = array("q"), array("q"), array("q")
     while i < n and j < m:
-        if a[i] == b[j]:
-            # Equal at this shift: jump as far as doubled steps stay equal, then halve them.
-            end, step = i + 1, 1
-            shift = j - i
-            while end + step <= n and a[end : end + step] == b[end + shift : end + shift + step]:
-                end += step
-                step *= 2
-            while step > 1:
-                step //= 2
-                if end + step <= n and a[end : end + step] == b[end + shift : end + shift + step]:
-                    end += step
-            left.extend(range(i + 1, end + 1))
-            right.extend(range(j + 1, end + shift + 1))
-            i, j = end, end + shift
-            continue
-        x, y = a[i], b[j]
-        while x != y:
-            if x < y:
+        u, v = x[i], y[j]
+        while u != v:  # an irregular group, up to the next common end
+            if u < v:
                 i += 1
-                x = a[i]
+                u = x[i]
             else:
                 j += 1
-                y = b[j]
-        i, j = i + 1, j + 1
-        left.append(i)
-        right.append(j)
-    return left, right
-
-
-def link_counts(first: list[int], second: list[int], left: list[int], right: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Different linked pairs, as ``a << 32 | b`` ascending, and how often each is linked."""
-    a, b = np.array(first, np.int64), np.array(second, np.int64)
-    l, r = np.diff(left, prepend=0), np.diff(right, prepend=0)
-    single = (l == 1) & (r == 1)
-    codes = [a[np.array(left)[single] - 1] << 32 | b[np.array(right)[single] - 1]]
-    times = [np.ones(len(codes[0]), np.int64)]
-    small = np.flatnonzero(~single & (l * r <= _MANY))
-    if len(small):  # every index of the group in ``a`` with every one in ``b``
-        n = (l * r)[small]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        wide = np.repeat(r[small], n)
-        starts_a, starts_b = (np.repeat(np.array(e)[small] - s[small], n) for e, s in ((left, l), (right, r)))
-        codes.append(a[starts_a + at // wide] << 32 | b[starts_b + at % wide])
-        times.append(np.ones(len(codes[-1]), np.int64))
-    for g in np.flatnonzero(~single & (l * r > _MANY)).tolist():
-        ids_a, times_a = np.unique(a[left[g] - l[g] : left[g]], return_counts=True)
-        ids_b, times_b = np.unique(b[right[g] - r[g] : right[g]], return_counts=True)
-        codes.append((ids_a[:, None] << 32 | ids_b).ravel())
-        times.append((times_a[:, None] * times_b).ravel())
-    pairs, at = np.unique(np.concatenate(codes), return_inverse=True)
-    return pairs, np.bincount(at, np.concatenate(times), len(pairs)).astype(np.int64)
-
-
-def groups_text(first: list[int], second: list[int], left: list[int], right: list[int]) -> str:
-    """The groups as ``a1,a2|b1;a3|b2,b3``."""
-    a, b = list(map(str, first)), list(map(str, second))
-    out, i, j = [], 0, 0
-    for k, m in zip(left, right, strict=True):
-        out.append(f"{a[i]}|{b[j]}" if k - i == 1 == m - j else f"{','.join(a[i:k])}|{','.join(b[j:m])}")
-        i, j = k, m
-    return ";".join(out)
+                v = y[j]
+        # Equal at this shift: jump as far as doubled steps stay equal, then halve them.
+        start, shift = i, j - i
+        i += 1
+        j += 1
+        if i < n and j < m and x[i] == y[j]:
+            step = 1
+            while i + step <= n and x[i : i + step] == y[j : j + step]:
+                i += step
+                j += step
+                step *= 2
+            while step > 1:
+                step //= 2
+                if i + step <= n and x[i : i + step] == y[j : j + step]:
+                    i += step
+                    j += step
+        starts.append(start)
+        shifts.append(shift)
+        lengths.append(i - start)
+    starts, shifts, lengths = (np.array(c, np.int64) for c in (starts, shifts, lengths))
+    before = np.cumsum(lengths) - lengths
+    left = np.arange(lengths.sum()) + np.repeat(starts + 1 - before, lengths)
+    return left, left + np.repeat(shifts, lengths)
+
+
+@dataclass
+class Aligned:
+    """Tokens of several texts, one after the other, and the groups they share."""
+
+    a: np.ndarray
+    b: np.ndarray
+    left: np.ndarray  # index after the last token of each group
+    right: np.ndarray
+    ends: np.ndarray  # groups up to the end of each text
+
+    @staticmethod
+    def of(aligner: Aligner, ids: list[tuple[bytes, bytes]]) -> Aligned:
+        """Both sequences of every text span the same bytes, so a text ends where a group ends."""
+        a, b = (np.frombuffer(b"".join(x), np.uint32).astype(np.int64) for x in zip(*ids, strict=True))
+        left, right = common_ends(np.cumsum(aligner.first_sizes[a]), np.cumsum(aligner.second_sizes[b]))
+        upto = np.cumsum([len(x) // 4 for x, _ in ids])
+        return Aligned(a, b, left, right, np.searchsorted(left, upto, side="right"))
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, pair as ``a << 32 | b`` and number of links of the different linked pairs of each text, in order."""
+        l, r = np.diff(self.left, prepend=0), np.diff(self.right, prepend=0)
+        text = np.searchsorted(self.ends, np.arange(len(l)), side="right")
+        single = (l == 1) & (r == 1)
+        first, second, owner = [self.a[self.left[single] - 1]], [self.b[self.right[single] - 1]], [text[single]]
+        times = [np.ones(len(first[0]), np.int64)]
+        small = np.flatnonzero(~single & (l * r <= _MANY))
+        if len(small):  # every index of the group in ``a`` with every one in ``b``
+            n = (l * r)[small]
+            at, wide = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(r[small], n)
+            first.append(self.a[np.repeat((self.left - l)[small], n) + at // wide])
+            second.append(self.b[np.repeat((self.right - r)[small], n) + at % wide])
+            owner.append(np.repeat(text[small], n))
+            times.append(np.ones(len(at), np.int64))
+        for g in np.flatnonzero(~single & (l * r > _MANY)).tolist():  # different ids with different ids
+            ids_a, times_a = np.unique(self.a[self.left[g] - l[g] : self.left[g]], return_counts=True)
+            ids_b, times_b = np.unique(self.b[self.right[g] - r[g] : self.right[g]], return_counts=True)
+            first.append(np.repeat(ids_a, len(ids_b)))
+            second.append(np.tile(ids_b, len(ids_a)))
+            owner.append(np.full(len(first[-1]), text[g]))
+            times.append((times_a[:, None] * times_b).ravel())
+        first, second, owner, times = (np.concatenate(c) for c in (first, second, owner, times))
+        # One number to sort by: texts of a piece are few, and ids less than 21 bits.
+        key = owner << 42 | first << 21 | second
+        if (times == 1).all():
+            key = np.sort(key)
+        else:
+            order = np.argsort(key)
+            key, times = key[order], times[order]
+        opens = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        key, times = key[opens], np.add.reduceat(times, opens) if len(opens) else times
+        return key >> 42, (key >> 21 & _ID) << 32 | key & _ID, times
+
+    def told(self, strings: list[str]) -> list[str]:
+        """Groups of each text as ``a1,a2|b1;a3|b2,b3``; ``strings`` are an id after each separator, see :func:`separated`."""
+        l, r = np.diff(self.left, prepend=0), np.diff(self.right, prepend=0)
+        starts_a, starts_b, size = self.left - l, self.right - r, len(strings) // 3
+        index = np.empty(len(self.a) + len(self.b), np.int64)
+        at_a = np.arange(len(self.a)) + np.repeat(starts_b, l)
+        at_b = np.arange(len(self.b)) + np.repeat(self.left, r)
+        index[at_a], index[at_b] = self.a, self.b  # after a comma
+        index[at_a[starts_a]] += size  # after a semicolon
+        index[at_b[starts_b]] += 2 * size  # after a bar
+        parts = list(map(strings.__getitem__, index.tolist()))
+        ends = [0, *np.where(self.ends > 0, np.append(0, self.left + self.right)[self.ends], 0).tolist()]
+        return ["".join(parts[i:j])[1:] for i, j in zip(ends, ends[1:], strict=False)]
+
+
+def separated(ids: int) -> list[str]:
+    """Every id after a comma, after a semicolon and after a bar."""
+    return [f"{separator}{i}" for separator in ",;|" for i in range(ids)]
 
 
 @lru_cache(maxsize=2)
@@ -180,15 +278,16 @@ def aligned(docs: DataFrame, shared) -> DataFrame:
         for batch in batches:
             at = 0
             for piece in pieces(batch["text"]):
+                ids = aligner.encode([t or "" for t in piece])
+                found = Aligned.of(aligner, ids)
+                text, pairs, times = found.links()
+                told, groups = found.told(aligner.strings), np.diff(found.ends, prepend=0).tolist()
+                starts = np.searchsorted(text, np.arange(len(ids) + 1)).tolist()
                 out = []
-                for first, second in aligner.encode([t or "" for t in piece]):
-                    left, right = aligner.groups(first, second)
-                    if not left:
-                        out.append((0, 0, 0, 0, "", b"", b""))
-                        continue
-                    pairs, times = link_counts(first, second, left, right)
-                    sha = hashlib.sha256(groups_text(first, second, left, right).encode()).hexdigest()
-                    out.append((len(first), len(second), len(left), int(times.sum()), sha, pairs.tobytes(), _packed(times)))
+                for k, (first, second) in enumerate(ids):
+                    mine = slice(starts[k], starts[k + 1])
+                    sha = hashlib.sha256(told[k].encode()).hexdigest() if groups[k] else ""
+                    out.append((len(first) // 4, len(second) // 4, groups[k], int(times[mine].sum()), sha, pairs[mine].tobytes(), _packed(times[mine])))
                 kinds = [*[pa.int64()] * 4, pa.string(), pa.binary(), pa.binary()]
                 columns = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
                 names = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"]
