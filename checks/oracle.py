@@ -8,6 +8,7 @@ sides do not share their way of finding them.
 import re
 
 from checks import uneven
+from checks.roundtrips import BY_TASK
 
 VIEWS = {
     "machine_events": """
@@ -418,5 +419,11 @@ def oracle_sql() -> dict[str, str]:
     plain = {name: with_views(query) for name, query in QUERIES.items()}
     views = over_other_tables(uneven.VIEWS)
     others = {f"{name}_uneven": with_views(QUERIES[name], views) for name in uneven.NAMES}
+    buckets = {f"bucketed_{name}": with_views(QUERIES[name], views) for name in BY_TASK}
+    kept = {
+        "ledger_task_events": with_views("SELECT * FROM task_events"),
+        "ledger_machines_latest": plain["machines_latest"],
+        "clustered_machine_history": plain["machine_history"],
+    }
     good = over_other_tables(_GOOD_TASKS)
-    return {**plain, **others, "quarantine_life_cycle": with_views(QUERIES["task_life_cycle"], good)}
+    return {**plain, **others, **buckets, **kept, "quarantine_life_cycle": with_views(QUERIES["task_life_cycle"], good)}

@@ -4,14 +4,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from checks.uneven import UnevenTrace
 from tracemill.operators.aggregates import row_count
-from tracemill.plans import tasks, usage
+from tracemill.plans import machines, tasks, usage
 from tracemill.plans.catalog import ANALYSES
 from tracemill.session import scratch_folder
+from tracemill.sources.buckets import write_bucketed
 from tracemill.sources.files import parse_lines, read_lines, read_table, read_utilization, table_lines
-from tracemill.sources.output import write_csv
+from tracemill.sources.ledger import LedgerTrace, convert_new
+from tracemill.sources.output import write_csv, write_parquet
 from tracemill.sources.schemas import JOB_EVENTS, MACHINE_EVENTS, TABLES, TASK_EVENTS
-from tracemill.sources.trace import CsvTrace, Trace
+from tracemill.sources.trace import CsvTrace, ParquetTrace, Trace
+
+
+#: Analyses that join or add up by task.
+BY_TASK = ["resource_requested_used", "consumption_histogram", "task_attribute_lookup", "usage_with_request", "task_durations"]
+
+
+#: Whose history is looked up.
+MACHINE = 7
 
 
 def _write_lines(lines: DataFrame, folder: str) -> str:
@@ -81,6 +92,48 @@ def _damaged_tasks(t: Trace) -> CsvTrace:
     return CsvTrace(t.spark, folder, mode="quarantine")
 
 
+#: A task of the sample tables has a few rows; with more than this it is hot here, so both parts have tasks.
+_HOT_ROWS = 1
+
+
+def _bucketed(name: str) -> Callable[[Trace], DataFrame]:
+    """An analysis over task tables written in buckets, the rows of hot tasks apart."""
+    def query(t: Trace) -> DataFrame:
+        trace = UnevenTrace(t.spark, t.folder)
+        return ANALYSES[name](write_bucketed(trace, scratch_folder(t.spark, "bucketed"), 8, _HOT_ROWS))
+
+    return query
+
+
+def _ledger(t: Trace) -> LedgerTrace:
+    """Task and machine events that came in three deliveries; the second brings a file anew, with other rows."""
+    source, folder = scratch_folder(t.spark, "deliveries"), scratch_folder(t.spark, "ledger")
+    names = {"task_events": "job_id", "machine_events": "machine_id"}
+    for name in TABLES:
+        if name not in names:
+            _write_lines(table_lines(getattr(t, name), TABLES[name]).limit(0), f"{source}/{name}")
+
+    def deliver(name: str, third: int, rows: DataFrame) -> None:
+        # Each third of the keys is a folder of files; the glob of the source takes all of them.
+        _write_lines(table_lines(rows, TABLES[name]), f"{source}/{name}/third={third}")
+
+    for step in range(3):
+        for name, key in names.items():
+            table = getattr(t, name)
+            deliver(name, step, table.where(F.col(key) % 3 == step))
+            if step == 0:  # the last third is wrong at first, and is delivered again in the last step
+                deliver(name, 2, table.where(F.col(key) % 3 == 1))
+        convert_new(t.spark, source, folder, recursive=True)
+    return LedgerTrace(t.spark, folder)
+
+
+def _clustered(t: Trace) -> ParquetTrace:
+    """Machine events written with the rows of a machine next to each other."""
+    folder = scratch_folder(t.spark, "clustered")
+    write_parquet(t.machine_events, folder, "machine_events", cluster_by="machine_id")
+    return ParquetTrace(t.spark, folder)
+
+
 def _sql(t: Trace) -> DataFrame:
     t.register_views()
     return t.spark.sql("SELECT event_type, count(*) AS count FROM task_events GROUP BY event_type")
@@ -108,6 +161,10 @@ ROUND_TRIPS: dict[str, Callable[[Trace], DataFrame]] = {
     "quarantine_life_cycle": lambda t: ANALYSES["task_life_cycle"](_damaged_tasks(t)),
     "quarantine_bad_lines": lambda t: _damaged_tasks(t).bad_lines("task_events"),
     "sql_event_types": _sql,
+    "ledger_task_events": lambda t: _ledger(t).task_events,
+    "ledger_machines_latest": lambda t: ANALYSES["machines_latest"](_ledger(t)),
+    "clustered_machine_history": lambda t: machines.machine_history(_clustered(t).machine_events, MACHINE),
+    **{f"bucketed_{name}": _bucketed(name) for name in BY_TASK},
     "parse_lines_roundtrip": lambda t: parse_lines(table_lines(t.job_events, JOB_EVENTS), JOB_EVENTS),
     "sink_csv_roundtrip": lambda t: _sink(t, tasks.task_life_cycle(t.task_events), "task_life_cycle", False),
     "sink_csv_repartition": lambda t: _sink(t, usage.machine_utilization(t.task_usage), "utilization", True),

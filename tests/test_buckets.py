@@ -1,0 +1,114 @@
+"""Task tables in buckets: the same results, joins by task without a shuffle, hot tasks apart."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from checks.uneven import UnevenTrace
+from tests.tables import rows as in_order
+from tests.test_scale import conf, largest_task_share, many_tasks, physical, split_tasks  # noqa: F401
+from tracemill.plans import usage
+from tracemill.plans.catalog import ANALYSES
+from tracemill.session import scratch_folder
+from tracemill.sources.buckets import BucketedTrace, hot_tasks, write_bucketed
+from tracemill.sources.schemas import TABLES
+from tracemill.sources.trace import SampleTrace
+
+FOLDER = "/root/testdata/sf0.001"
+BY_TASK = ["resource_requested_used", "consumption_histogram", "task_attribute_lookup", "usage_with_request"]
+
+
+def rows(df):
+    return sorted(in_order(df), key=repr)
+
+
+class HotTrace(UnevenTrace):
+    """Two tasks come 3,000 times more in one table each."""
+
+    def _hot(self, df, job):
+        many = df.where(F.col("job_id") == job).orderBy(*df.columns).limit(1).withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("_n")
+        return df.unionByName(many)
+
+    @property
+    def task_events(self):
+        return self._hot(super().task_events, 1)
+
+    @property
+    def task_usage(self):
+        return self._hot(super().task_usage, 2)
+
+
+@pytest.fixture(scope="module")
+def bucketed(spark):
+    return write_bucketed(UnevenTrace(spark, FOLDER), scratch_folder(spark, "bucketed"), 4)
+
+
+@pytest.fixture(scope="module")
+def hot(spark):
+    return write_bucketed(HotTrace(spark, FOLDER), scratch_folder(spark, "hot"), 4, hot_rows=1000)
+
+
+@pytest.mark.parametrize("name", [*BY_TASK, "task_durations", "task_usage_max", "max_resource_use", "task_attributes"])
+def test_results_are_those_of_the_plain_tables(spark, bucketed, hot, name):
+    for laid_out, plain in ((bucketed, UnevenTrace(spark, FOLDER)), (hot, HotTrace(spark, FOLDER))):
+        assert rows(ANALYSES[name](laid_out)) == rows(ANALYSES[name](plain))
+
+
+def test_tables_are_kept_whole(spark, hot):
+    plain = HotTrace(spark, FOLDER)
+    for name in TABLES:
+        assert rows(getattr(hot, name)) == rows(getattr(plain, name))
+    again = BucketedTrace(spark, hot.folder, start=plain.task_events.agg(F.percentile_approx("time", 0.5)).first()[0])
+    assert rows(again.task_events) == rows(plain.task_events.where(F.col("time") >= again.start))
+
+
+@pytest.mark.parametrize("name", BY_TASK)
+def test_joins_by_task_need_no_shuffle(bucketed, conf, name):  # noqa: F811
+    conf(autoBroadcastJoinThreshold="-1")
+    part = bucketed.task_parts[0]
+    assert len(bucketed.task_parts) == 1 and part.colocated
+    joins = {
+        "usage_with_request": lambda: usage.usage_with_request(part.task_events, part.task_usage, ordered=False),
+        "consumption_histogram": lambda: usage.weighted_below_request(part.task_events, part.task_usage),
+    }
+    df = joins.get(name, lambda: ANALYSES[name](bucketed))()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("SortMergeJoin"):]
+    assert "Exchange" not in below and len(re.findall(r"Bucketed: true", below)) == 2
+
+
+def test_only_the_rows_of_hot_tasks_lie_apart(spark, hot):
+    keys = {(r.job_id, r.task_index) for r in hot_tasks(HotTrace(spark, FOLDER), 1000).collect()}
+    cold, apart = hot.task_parts
+    assert {k[0] for k in keys} == {1, 2} and len(keys) == 2
+    for name in ("task_events", "task_usage"):
+        tasks = lambda part: {(r.job_id, r.task_index) for r in getattr(part, name).select("job_id", "task_index").distinct().collect()}
+        assert tasks(apart) <= keys and not tasks(cold) & keys
+    assert not apart.colocated
+
+
+def test_a_hot_task_is_split(spark, split_tasks, conf):  # noqa: F811
+    """A third of all usage rows are one task's: no task of the join has them all."""
+    conf(files__maxPartitionBytes="100k", files__openCostInBytes="100k")  # every file is a task, as large ones are
+    plain = SampleTrace(spark, "/root/testdata/sf0.01")
+    all_usage = plain.task_usage
+
+    class Skewed(SampleTrace):
+        @property
+        def task_usage(self):
+            one = all_usage.orderBy("job_id", "task_index").limit(1)
+            many = one.crossJoin(spark.range(30_000)).withColumn("start_time", F.abs(F.xxhash64("id"))).drop("id")
+            return all_usage.unionByName(many).repartition(8)
+
+    laid_out = write_bucketed(Skewed(spark, plain.folder), scratch_folder(spark, "skewed"), 16, hot_rows=10_000)
+    assert len(laid_out.task_parts) == 2
+    assert largest_task_share(ANALYSES["task_attribute_lookup"](laid_out)) < 0.3
+
+
+def test_order_scans_each_source_once(spark, bucketed):
+    """The sorted result reads one stored file, not the tables."""
+    plan = physical(ANALYSES["usage_with_request"](bucketed))
+    assert len(re.findall("FileScan", plan)) == 1 and "Join" not in plan
+    found = [(r.job_id, r.task_index) for r in ANALYSES["usage_with_request"](bucketed).collect()]
+    assert found == sorted(found) and len(found) > 100

@@ -1,6 +1,7 @@
 """Every named analysis as a function of a trace."""
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 
@@ -15,6 +16,11 @@ Analysis = Callable[[Trace], DataFrame]
 FINISHED_COUNT = "finished_task_count"
 
 
+def _by_task(analysis: Analysis) -> Analysis:
+    """An analysis that works on each task alone, over the parts of a trace."""
+    return lambda t: reduce(DataFrame.unionByName, map(analysis, t.task_parts))
+
+
 def _machine_analyses() -> dict[str, Analysis]:
     over_events = [
         machines.machines_latest_capacity, machines.distinct_machines,
@@ -74,11 +80,12 @@ def _task_analyses() -> dict[str, Analysis]:
         "daily_task_schedule": lambda t: tasks.daily_task_schedule(t.tasks("time", "event_type")),
         "task_schedule_events": lambda t: tasks.task_schedule_events(t.task_events),
         "task_schedule_pairs": lambda t: tasks.task_schedule_pairs(t.tasks("machine_id", "priority", "event_type")),
-        "task_durations": lambda t: tasks.task_durations(t.tasks("time", *TASK, "event_type", *requests)),
-        "task_duration_anomalies": lambda t: tasks.task_duration_anomalies(
-            t.tasks("time", *TASK, "event_type", *requests)),
+        "task_durations": _by_task(lambda t: tasks.task_durations(t.tasks("time", *TASK, "event_type", *requests))),
+        "task_duration_anomalies": _by_task(lambda t: tasks.task_duration_anomalies(
+            t.tasks("time", *TASK, "event_type", *requests))),
         "requested_resources": lambda t: tasks.requested_resources(t.tasks(*TASK, *requests[:2])),
-        "task_attributes": lambda t: tasks.task_attributes(t.tasks(*TASK, "event_type", "priority", *requests[:2])),
+        "task_attributes": _by_task(lambda t: tasks.task_attributes(
+            t.tasks(*TASK, "event_type", "priority", *requests[:2]))),
         "task_attribute_rows": lambda t: tasks.task_attribute_rows(t.tasks(*tasks.ATTRIBUTES)),
         "task_attribute_row_count": lambda t: tasks.task_attribute_row_count(t.tasks(*tasks.ATTRIBUTES)),
     }
@@ -121,32 +128,37 @@ def _placement_analyses() -> dict[str, Analysis]:
         "tasks_per_machine_summary_finished": lambda t: report.tasks_per_machine_summary(finished(t), FINISHED_COUNT),
         "broadcast_machine_lookup": lambda t: placement.machine_lookup(
             t.tasks("time", *TASK, "machine_id"), t.machine_events),
-        "task_attribute_lookup": lambda t: placement.task_attribute_lookup(
-            t.tasks("time", *tasks.ATTRIBUTES), t.task_usage),
+        "task_attribute_lookup": _by_task(lambda t: placement.task_attribute_lookup(
+            t.tasks("time", *tasks.ATTRIBUTES), t.task_usage, t.colocated)),
     }
 
 
 def _usage_analyses() -> dict[str, Analysis]:
     def below_request(t: Trace, grain: str = "event") -> DataFrame:
-        return usage.resource_requested_used(t.tasks(*TASK, "cpu_request", "memory_request"), t.task_usage, grain)
+        return _by_task(lambda p: usage.resource_requested_used(
+            p.tasks(*TASK, "cpu_request", "memory_request"), p.task_usage, grain, p.colocated))(t)
 
     def histogram(t: Trace, grain: str = "event") -> DataFrame:
-        return usage.consumption_histogram(t.tasks(*TASK, "cpu_request", "memory_request"), t.task_usage, grain)
+        return usage.percent_histogram(_by_task(lambda p: usage.weighted_below_request(
+            p.tasks(*TASK, "cpu_request", "memory_request"), p.task_usage, grain))(t))
+
+    def with_request(t: Trace) -> DataFrame:
+        return usage.in_task_order(_by_task(lambda p: usage.usage_with_request(
+            p.tasks(*TASK, "event_type", "priority", "cpu_request", "memory_request"), p.task_usage, ordered=False))(t))
 
     def against_capacity(t: Trace, **options) -> DataFrame:
         utilization = usage.machine_utilization(t.task_usage).withColumnRenamed("machine_utilization", "utilization")
         return usage.utilization_vs_capacity(utilization, _latest(t), **options)
 
     return {
-        "max_resource_use": lambda t: usage.max_resource_use(t.task_usage),
-        "task_usage_max": lambda t: usage.task_usage_max(t.task_usage),
+        "max_resource_use": _by_task(lambda t: usage.max_resource_use(t.task_usage)),
+        "task_usage_max": _by_task(lambda t: usage.task_usage_max(t.task_usage)),
         "machine_utilization": lambda t: usage.machine_utilization(t.task_usage),
         "resource_requested_used": below_request,
         "resource_requested_used_per_task": lambda t: below_request(t, "task"),
         "consumption_histogram": histogram,
         "consumption_histogram_per_task": lambda t: histogram(t, "task"),
-        "usage_with_request": lambda t: usage.usage_with_request(
-            t.tasks(*TASK, "event_type", "priority", "cpu_request", "memory_request"), t.task_usage),
+        "usage_with_request": with_request,
         "utilization_vs_capacity": against_capacity,
         "utilization_vs_capacity_full_days": lambda t: against_capacity(t, seconds=usage.FULL_DAYS),
         "unutilized_machine_count": lambda t: report.unutilized_machine_count(

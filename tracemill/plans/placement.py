@@ -67,9 +67,13 @@ def machine_lookup(tasks: DataFrame, events: DataFrame, broadcast_bytes: int = B
     return joined.select("time", *TASK, "machine_id", "cpu", "memory")
 
 
-def task_attribute_lookup(tasks: DataFrame, usage: DataFrame) -> DataFrame:
-    """Every usage row with the attributes in the last event of its task, null where the task is unknown."""
+def task_attribute_lookup(tasks: DataFrame, usage: DataFrame, colocated: bool = False) -> DataFrame:
+    """Every usage row with the attributes in the last event of its task, null where the task is unknown.
+
+    ``colocated`` says that both tables are bucketed by task and no task is hot.
+    """
     names = ["machine_id", "priority", "cpu_request", "memory_request"]
     latest = latest_by(tasks, TASK, ["time"], names)
-    joined = lookup_join(usage.select("start_time", *TASK), latest, TASK, "left")
+    rows = usage.select("start_time", *TASK)
+    joined = rows.join(latest, TASK, "left") if colocated else lookup_join(rows, latest, TASK, "left")
     return joined.select("start_time", *TASK, *names)

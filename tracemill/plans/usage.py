@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from tracemill.functions.columns import SECOND, percent
 from tracemill.operators.histogram import bucket_histogram
 from tracemill.operators.joins import lookup_join
+from tracemill.operators.order import stored_order
 from tracemill.plans.tasks import TASK, requested_resources, task_attributes
 
 PERCENT_EDGES = list(range(0, 101, 5))
@@ -60,26 +61,24 @@ def _below_request(joined: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def resource_requested_used(tasks: DataFrame, usage: DataFrame, grain: str = "event") -> DataFrame:
+def resource_requested_used(tasks: DataFrame, usage: DataFrame, grain: str = "event", colocated: bool = False) -> DataFrame:
     """Tasks whose largest cpu and memory use both stay below the request, with the used percentages.
 
     ``grain`` "event" compares every task event's request, so a task comes once per event, which
-    matches published counts; "task" compares the largest request of each task once.
+    matches published counts; "task" compares the largest request of each task once. ``colocated``
+    says that both tables are bucketed by task and no task is hot.
     """
     _check_grain(grain)
     used, requests = max_resource_use(usage), requested_resources(tasks)
     if grain == "event":
-        return _below_request(lookup_join(requests, used, TASK))
+        return _below_request(requests.join(used, TASK) if colocated else lookup_join(requests, used, TASK))
     return _below_request(_largest_requests(requests).join(used, TASK))
 
 
-def consumption_histogram(
-    tasks: DataFrame, usage: DataFrame, grain: str = "event", edges: Sequence[float] = PERCENT_EDGES
-) -> DataFrame:
-    """Rows of :func:`resource_requested_used` per bucket of used cpu and memory percent.
+def weighted_below_request(tasks: DataFrame, usage: DataFrame, grain: str = "event") -> DataFrame:
+    """Rows of :func:`resource_requested_used`, equal requests of a task as one row, with their number in ``_rows``.
 
-    Equal requests of a task are counted before they meet its use, so a task with very many events is
-    a few rows in the join.
+    They are counted before they meet the task's use, so a task with very many events is a few rows in the join.
     """
     _check_grain(grain)
     requests = requested_resources(tasks)
@@ -87,18 +86,33 @@ def consumption_histogram(
         requests = requests.groupBy(*TASK, "cpu_request", "memory_request").agg(F.count("*").alias("_rows"))
     else:
         requests = _largest_requests(requests).withColumn("_rows", F.lit(1))
-    below = _below_request(requests.join(max_resource_use(usage), TASK), "_rows")
+    return _below_request(requests.join(max_resource_use(usage), TASK), "_rows")
+
+
+def percent_histogram(below: DataFrame, edges: Sequence[float] = PERCENT_EDGES) -> DataFrame:
+    """Rows of :func:`weighted_below_request` per bucket of used cpu and memory percent."""
     measures = {"cpu_count": "used_cpu_percent", "memory_count": "used_memory_percent"}
     return bucket_histogram(below, measures, edges, "_rows")
 
 
+def consumption_histogram(
+    tasks: DataFrame, usage: DataFrame, grain: str = "event", edges: Sequence[float] = PERCENT_EDGES
+) -> DataFrame:
+    """Rows of :func:`resource_requested_used` per bucket of used cpu and memory percent."""
+    return percent_histogram(weighted_below_request(tasks, usage, grain), edges)
+
+
 def usage_with_request(tasks: DataFrame, usage: DataFrame, ordered: bool = True) -> DataFrame:
     """Usage maxima beside the attributes of each scheduled task, in task order.
 
-    The order costs a second run of the join, to find the limits of the ranges, and one more shuffle.
+    For the order the result is written once and sorted from there (see :func:`stored_order`).
     """
     joined = task_usage_max(usage).join(task_attributes(tasks), TASK)
-    return joined.orderBy(*TASK) if ordered else joined
+    return in_task_order(joined) if ordered else joined
+
+
+def in_task_order(joined: DataFrame) -> DataFrame:
+    return stored_order(joined, TASK, "usage_with_request")
 
 
 def utilization_vs_capacity(

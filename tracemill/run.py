@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 from tracemill.operators.cache import cached
 from tracemill.plans import machines
 from tracemill.plans.catalog import ANALYSES, ATTRIBUTE_ANALYSES, ROW_GRAIN
+from tracemill.sources.buckets import BucketedTrace, write_bucketed
+from tracemill.sources.ledger import LedgerTrace, convert_new
 from tracemill.sources.output import write_csv
 from tracemill.sources.trace import CsvTrace, ParquetTrace, Trace
 
@@ -51,13 +53,16 @@ def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("--trace", required=True)
     parser.add_argument("--out", required=True)
-    parser.add_argument("--format", choices=("csv", "parquet"), default="csv")
+    parser.add_argument("--format", choices=("csv", "parquet", "bucketed", "ledger"), default="csv")
     parser.add_argument("--only", nargs="*", choices=sorted(ANALYSES))
     parser.add_argument("--machine", type=int, help="also write the history of this machine")
     parser.add_argument("--attributes", action="store_true", help="also use the lines of machine_attributes")
     parser.add_argument("--show", type=int, default=0)
     parser.add_argument("--convert", action="store_true", help="only write the tables as Parquet to --out")
     parser.add_argument("--by-day", action="store_true", help="with --convert: a sub-folder per day")
+    parser.add_argument("--by-machine", action="store_true", help="with --convert: the rows of a machine next to each other")
+    parser.add_argument("--buckets", type=int, help="with --convert: task tables in so many buckets by task, to read as bucketed")
+    parser.add_argument("--new", action="store_true", help="with --convert: only files that --out has not yet, to read as ledger")
     csv = parser.add_argument_group("CSV only")
     csv.add_argument("--glob", help="names of the part files to read")
     csv.add_argument("--mode", choices=("strict", "lazy", "quarantine"), default="strict", help="what bad lines do")
@@ -74,9 +79,17 @@ def main(arguments: list[str] | None = None) -> None:
             zero_machine_id=args.zero_machine_id,
         )
     else:
-        trace = ParquetTrace(spark, args.trace, args.start, args.end)
-    if args.convert:
-        trace.convert(args.out, args.by_day, args.attributes)
+        kind = {"parquet": ParquetTrace, "bucketed": BucketedTrace, "ledger": LedgerTrace}[args.format]
+        trace = kind(spark, args.trace, args.start, args.end)
+    if args.convert and args.new:
+        if args.format != "csv":
+            parser.error("--new converts CSV")
+        read = convert_new(spark, args.trace, args.out, args.glob, by_day=args.by_day, **trace.options)
+        print(" ".join(f"{name}={n}" for name, n in read.items()))
+    elif args.convert and args.buckets:
+        write_bucketed(trace, args.out, args.buckets)
+    elif args.convert:
+        trace.convert(args.out, args.by_day, args.attributes, args.by_machine)
     else:
         run(trace, args.out, args.only, args.show, args.attributes, args.machine)
 

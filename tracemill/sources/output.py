@@ -19,16 +19,36 @@ def write_csv(
     return path
 
 
+#: Bytes of a row group where rows are clustered: a lookup reads one, or few.
+LOOKUP_ROW_GROUP = 8 << 20
+
+
 def write_parquet(
-    df: DataFrame, folder: str, name: str, mode: str = "overwrite", partition_by: str | None = None
+    df: DataFrame,
+    folder: str,
+    name: str,
+    mode: str = "overwrite",
+    partition_by: str | None = None,
+    cluster_by: str | None = None,
+    row_group: int = LOOKUP_ROW_GROUP,
 ) -> str:
     """Write ``df`` to ``folder/name``; with ``partition_by``, one sub-folder per value.
 
-    The rebalance gathers a value's rows in few files and splits a value that is too large.
+    The rebalance gathers a value's rows in few files and splits a value that is too large. With
+    ``cluster_by``, files and row groups (of ``row_group`` bytes) hold ranges of that column, within each sub-folder, and
+    have a Bloom filter over it, so that the rows of one value are found without reading the others.
     """
     path = f"{folder.rstrip('/')}/{name}"
-    if partition_by:
-        df.hint("rebalance", partition_by).write.mode(mode).partitionBy(partition_by).parquet(path)
-    else:
-        df.write.mode(mode).parquet(path)
+    by = [partition_by] if partition_by else []
+    if cluster_by:
+        by = [*by, cluster_by]
+        # All columns after the key, so that a value with very many rows is spread over files.
+        rest = [c for c in df.columns if c not in by]
+        df = df.repartitionByRange(*by, *rest).sortWithinPartitions(*by, *rest)
+    elif partition_by:
+        df = df.hint("rebalance", partition_by)
+    writer = df.write.mode(mode)
+    if cluster_by:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{cluster_by}", "true").option("parquet.block.size", row_group)
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return path

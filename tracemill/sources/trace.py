@@ -17,10 +17,18 @@ from tracemill.sources.schemas import CLOCK, JOB_EVENTS, MACHINE_EVENTS, TABLES,
 class Trace:
     """Base: sub-classes give each table on demand. Tables are lazy and never cached here."""
 
+    #: Whether both task tables are bucketed by task, so that joins by task need no shuffle.
+    colocated = False
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self._kept: dict[str, DataFrame] | None = None
 
+    @property
+    def task_parts(self) -> list["Trace"]:
+        """Traces whose tasks do not overlap and are together all tasks of this one."""
+        return [self]
+
     @contextmanager
     def sharing(self) -> Iterator[None]:
         """Within the block, what analyses share is kept, in memory or on disk, and computed once."""
@@ -73,17 +81,21 @@ class Trace:
             getattr(self, name).createOrReplaceTempView(name)
         self.machine_events.createOrReplaceTempView("macine_events")
 
-    def convert(self, folder: str, by_day: bool = False, attributes: bool = False) -> "ParquetTrace":
+    def convert(
+        self, folder: str, by_day: bool = False, attributes: bool = False, by_machine: bool = False
+    ) -> "ParquetTrace":
         """Write the four typed tables as Parquet once, so that later scans prune columns and row groups.
 
         ``by_day`` puts every table in one sub-folder per day, so that a range of time reads its days
-        only. ``attributes`` also writes the lines of machine_attributes.
+        only. ``by_machine`` puts the rows of a machine next to each other, within a day if there are days, so that
+        looking up one machine reads few row groups. ``attributes`` also writes the lines of machine_attributes.
         """
         for name in TABLES:
             table = getattr(self, name)
             if by_day:
                 table = table.withColumn("day", F.floor(F.col(CLOCK[name]) / DAY))
-            write_parquet(table, folder, name, partition_by="day" if by_day else None)
+            cluster = "machine_id" if by_machine and "machine_id" in table.columns else None
+            write_parquet(table, folder, name, partition_by="day" if by_day else None, cluster_by=cluster)
         if attributes:
             write_parquet(self.machine_attributes, folder, "machine_attributes")
         return ParquetTrace(self.spark, folder)
@@ -116,9 +128,11 @@ class CsvTrace(Trace):
             raise ValueError("bad lines are kept in quarantine mode only")
         return self._parsed(TABLES[name]).where("bad_line IS NOT NULL").select(F.col("bad_line").alias("line"))
 
-    def convert(self, folder: str, by_day: bool = False, attributes: bool = False) -> "ParquetTrace":
+    def convert(
+        self, folder: str, by_day: bool = False, attributes: bool = False, by_machine: bool = False
+    ) -> "ParquetTrace":
         """As for every trace; in quarantine mode the bad lines go to ``bad_lines/<table>`` as well."""
-        written = super().convert(folder, by_day, attributes)
+        written = super().convert(folder, by_day, attributes, by_machine)
         if self._quarantined:
             for name in TABLES:
                 write_parquet(self.bad_lines(name), f"{folder.rstrip('/')}/bad_lines", name)
