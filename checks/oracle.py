@@ -331,7 +331,14 @@ QUERIES = {
           SELECT * FROM task_events QUALIFY row_number() OVER (PARTITION BY job_id, task_index
             ORDER BY time DESC, machine_id DESC NULLS LAST, priority DESC, cpu_request DESC, memory_request DESC) = 1
         ) t ON u.job_id = t.job_id AND u.task_index = t.task_index""",
+    "schedules_as_of": """
+        SELECT t.time, t.job_id, t.task_index, t.machine_id, t.priority, a.platform_id, a.cpu, a.memory
+        FROM (SELECT * FROM task_events WHERE event_type = 1) t ASOF LEFT JOIN (
+          SELECT machine_id, time, platform_id, cpu, memory FROM machine_events WHERE event_type = 0
+          QUALIFY row_number() OVER (PARTITION BY machine_id, time ORDER BY platform_id DESC, cpu DESC, memory DESC) = 1
+        ) a ON t.machine_id = a.machine_id AND t.time >= a.time""",
     # usage
+    "machine_utilization_summary": _summary("utilization", "machine_utilization"),
     "max_resource_use": "SELECT * FROM max_use",
     "task_usage_max": """
         SELECT job_id, task_index, max(maximum_memory_usage) AS maximum_memory_usage,

@@ -17,7 +17,7 @@ NAMES = [
     "reconfigured_machines", "reconfigured_machine_events", "utilization_vs_capacity", "utilization_vs_capacity_full_days",
     "task_attribute_lookup", "priority_capacity", "unutilized_machine_count", "underused_machine_counts",
     "underused_machine_counts_finished", "consumption_histogram", "consumption_histogram_per_task", "machines_latest",
-    "machine_dist_capacity",
+    "machine_dist_capacity", "schedules_as_of", "machine_utilization_summary",
 ]
 
 

@@ -2,12 +2,14 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from tests.tables import machine_events, rows
-from tracemill.operators import fits_broadcast, lookup_join, six_number_summary
+from tracemill.operators import as_of_join, fits_broadcast, lookup_join, six_number_summary
+from tracemill.operators.aggregates import from_ordered_bits, ordered_bits
 from tracemill.plans import placement, tasks, usage
 from tracemill.plans.catalog import ANALYSES
 from tracemill.sources.trace import SampleTrace
@@ -235,7 +237,64 @@ def test_all_survey_queries_are_registered():
     assert len(contract.queries()) >= 90
 
 
-def test_six_number_summary_refuses_fractions(spark):
-    with pytest.raises(TypeError, match="whole numbers"):
-        six_number_summary(spark.sql("SELECT 1.5D AS v"), "v")
+def test_six_number_summary_of_doubles(spark):
+    with pytest.raises(TypeError, match="whole numbers or doubles"):
+        six_number_summary(spark.sql("SELECT '1' AS v"), "v")
+    assert tuple(six_number_summary(spark.sql("SELECT 1.5D AS v"), "v").first()) == (1.5,) * 6
     assert six_number_summary(spark.sql("SELECT 1.5D AS v"), "v", 0.01).first()["mean"] == 1.5
+    rng = np.random.default_rng(3)
+    for values in (
+        rng.normal(0, 1, 3001), rng.normal(0, 1, 3000) * 10.0 ** rng.integers(-300, 300, 3000), np.repeat([-0.0, 0.0, 5e-324, -1e300], 7),
+        np.array([1e308, -3.5, 2.5]), -rng.random(10),
+    ):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(5)
+        found = tuple(six_number_summary(df, "v").first())
+        expected = [values.min(), *np.quantile(values, [0.25, 0.5]), values.mean(), np.quantile(values, 0.75), values.max()]
+        assert found == pytest.approx(tuple(map(float, expected)), rel=1e-12)
+    infinite = spark.sql("SELECT explode(array(double('-inf'), 1D, 2D, 3D, double('inf'))) AS v")
+    assert tuple(six_number_summary(infinite, "v").first())[:3] == (-np.inf, 1.0, 2.0)
+    assert tuple(six_number_summary(infinite.limit(0), "v").first()) == (None,) * 6
+
+
+def test_ordered_bits(spark):
+    values = [-np.inf, -1e308, -1.5, -5e-324, 0.0, 5e-324, 1.5, 1e308, np.inf, np.nan]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").select(ordered_bits(F.col("v")).alias("k"))
+    keys = [r.k for r in df.collect()]
+    assert keys == sorted(keys) and len(set(keys)) == len(keys)
+    assert [from_ordered_bits(k) for k in keys[:-1]] == values[:-1]
+
+
+def as_of(facts, states):
+    out = []
+    for f in facts:
+        known = [s for s in states if None not in (f[0], f[1], s[0], s[1]) and s[0] == f[0] and s[1] <= f[1]]
+        last = max(known, key=lambda s: (s[1], s[2], s[3]), default=(None,) * 4)
+        out.append((*f, *last[2:]))
+    return out
+
+
+@pytest.mark.parametrize("slot", [1, 7, 50, 10_000])
+def test_as_of_join(spark, slot):
+    """However long a slot is, each fact meets the last state of its key by then."""
+    rng = np.random.default_rng(slot)
+    pick = lambda n, k: [None if v < 0 else v for v in rng.integers(-1, k, n).tolist()]
+    facts = list(zip(pick(400, 6), pick(400, 300), range(400), strict=True))
+    states = list(zip(pick(90, 6), pick(90, 300), rng.integers(0, 3, 90).tolist(), rng.random(90).tolist(), strict=True))
+    left = spark.createDataFrame(facts, "k long, t long, n long").repartition(4)
+    right = spark.createDataFrame(states, "k long, t long, a long, b double").repartition(3)
+    found = as_of_join(left, right, "k", "t", ["a", "b"], slot)
+    assert sorted(rows(found), key=repr) == sorted(as_of(facts, states), key=repr)
+    inner = as_of_join(left, right, "k", "t", ["a", "b"], slot, "inner")
+    assert sorted(rows(inner), key=repr) == sorted([r for r in as_of(facts, states) if r[3] is not None], key=repr)
+    assert as_of_join(left, right.limit(0), "k", "t", ["a", "b"], slot).where("a IS NULL").count() == 400
+
+
+def test_a_hot_key_of_an_as_of_join_is_split(spark, many_tasks):
+    """Half of the facts are one machine's, over 40 slots; nothing is joined pair by pair."""
+    facts = spark.range(80_000, numPartitions=8).select(
+        F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id")).alias("k"), (F.col("id") % 4000).alias("t"), "id")
+    states = spark.range(4000).select(F.lit(1).cast("long").alias("k"), F.col("id").alias("t"), F.col("id").alias("s"))
+    joined = as_of_join(facts, states, "k", "t", ["s"], 100)
+    assert largest_task_share(joined) < 0.12
+    assert "Nested" not in physical(joined) and "Cartesian" not in physical(joined)
+    assert joined.where("k = 1 AND s <> t").count() == 0

@@ -4,9 +4,10 @@ All of them aggregate partially before they shuffle, so a key that holds a large
 reaches its reducer as one row per map task.
 """
 
+import struct
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tracemill.functions.columns import SECOND, percent
 from tracemill.operators.cache import cached
@@ -74,10 +75,11 @@ def mean_gap(df: DataFrame, time: str, name: str) -> DataFrame:
 
 
 def six_number_summary(df: DataFrame, column: str, error: float | None = None) -> DataFrame:
-    """min, q1, median, mean, q3 and max of a column of whole numbers, nulls left out.
+    """min, q1, median, mean, q3 and max of a column of whole numbers or doubles, nulls left out.
 
     The quantiles interpolate linearly. They are found by counting (see :func:`_at_ranks`), which
-    runs two to seven jobs over the distinct values; no task has to hold them all. With ``error``,
+    runs two to eight jobs over the distinct values; no task has to hold them all. Doubles are counted as the whole
+    numbers that :func:`ordered_bits` makes of them; NaN is the largest. With ``error``,
     the quantiles are estimates instead, off by at most that share of the ranks, and nothing runs
     until the result is used. Without it, a column of another type is refused.
     """
@@ -94,40 +96,61 @@ def six_number_summary(df: DataFrame, column: str, error: float | None = None) -
             F.get("_q", 2).alias("q3"), "max",
         )
     kind = df.schema[column].dataType
-    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        raise TypeError(f"{column} is {kind.simpleString()}: exact quantiles need a column of whole numbers")
-    value = F.col(column).cast("bigint")
-    counts = df.where(value.isNotNull()).groupBy(value.alias("_v")).agg(F.count("*").alias("_n"))
+    whole = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    if not whole and not isinstance(kind, (T.FloatType, T.DoubleType)):
+        raise TypeError(f"{column} is {kind.simpleString()}: exact quantiles need a column of whole numbers or doubles")
+    value = F.col(column).cast("bigint" if whole else "double")
+    counts = df.where(value.isNotNull()).groupBy(value.alias("_x")).agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_v", F.col("_x") if whole else ordered_bits(F.col("_x")))
     with cached(counts) as kept:
-        low, high, n, total = kept.agg(F.min("_v"), F.max("_v"), F.sum("_n"), F.sum(F.col("_v") * F.col("_n"))).first()
+        low, high, n, total = kept.agg(F.min("_v"), F.max("_v"), F.sum("_n"), F.sum(F.col("_x") * F.col("_n"))).first()
         quartiles: list[float | None] = [None] * 3
+        ends: list[float | None] = [None] * 2
         if n:
             places = [(n - 1) * p for p in q]
             at = _at_ranks(kept, low, high, sorted({int(p) for p in places} | {min(int(p) + 1, n - 1) for p in places}))
-            quartiles = [
-                at[int(p)] + (p - int(p)) * (at[min(int(p) + 1, n - 1)] - at[int(p)]) for p in places
-            ]
-    row = [low, *quartiles[:2], total / n if n else None, quartiles[2], high]
+            of = (lambda v: v) if whole else from_ordered_bits
+            ends = [of(low), of(high)]
+            quartiles = [_between(of(at[int(p)]), of(at[min(int(p) + 1, n - 1)]), p - int(p)) for p in places]
+    row = [ends[0], *quartiles[:2], total / n if n else None, quartiles[2], ends[1]]
     kinds = {"min": kind, "q1": "double", "median": "double", "mean": "double", "q3": "double", "max": kind}
     one = df.sparkSession.range(1, numPartitions=1)
     return one.select(*[F.lit(v).cast(k).alias(name) for v, (name, k) in zip(row, kinds.items())])
 
 
-_CELLS = 1024
+def _between(a: float, b: float, share: float) -> float:
+    """Neither end is weighed by zero: it may be infinite."""
+    return a if share == 0 or a == b else a + share * (b - a)
+
+
+def ordered_bits(value: Column) -> Column:
+    """A double as a long in the same order: its bits, those of negative numbers but the sign turned over. NaN is the largest."""
+    # Adding zero makes the negative zero positive, which is equal to it.
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("bigint")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 63) - 1)))
+
+
+def from_ordered_bits(key: int) -> float:
+    return struct.unpack("<d", struct.pack("<q", key if key >= 0 else key ^ ((1 << 63) - 1)))[0]
+
+
+_CELL_BITS = 10
 
 
 def _at_ranks(counts: DataFrame, low: int, high: int, ranks: Sequence[int]) -> dict[int, int]:
     """The values at ``ranks`` (from 0) of the values ``_v``, each ``_n`` times, all between ``low`` and ``high``.
 
-    Each rank has an interval that its value lies in. One job counts the values of all intervals in
-    cells of equal width; the cell that holds the rank is its next interval, until it is one value.
+    Each rank has an interval that its value lies in. One job counts the values of all intervals in about 1,024
+    cells, each a run of values with equal leading bits; the cell that holds the rank is its next interval, until
+    it is one value.
     """
     intervals = {rank: (low, high, rank) for rank in ranks}  # and the rank inside the interval
     while open_ := sorted({(a, b) for a, b, _ in intervals.values() if b > a}):
-        width = {(a, b): -(-(b - a + 1) // _CELLS) for a, b in open_}
+        # So many trailing bits are left out that the interval has about as many cells as are wanted.
+        shift = {(a, b): max(0, (b - a).bit_length() - _CELL_BITS) for a, b in open_}
         v = F.col("_v")
         cells = [
-            F.when(v.between(a, b), F.struct(F.lit(k).alias("k"), F.floor((v - a) / width[a, b]).alias("cell")))
+            F.when(v.between(a, b), F.struct(F.lit(k).alias("k"), F.shiftright(v, shift[a, b]).alias("cell")))
             for k, (a, b) in enumerate(open_)
         ]
         found = counts.select("_n", F.explode(F.array_compact(F.array(*cells))).alias("c")).groupBy("c.k", "c.cell")
@@ -139,8 +162,8 @@ def _at_ranks(counts: DataFrame, low: int, high: int, ranks: Sequence[int]) -> d
                 continue
             for cell, n in sorted(sums[open_.index((a, b))]):
                 if inside < n:
-                    start = a + cell * width[a, b]
-                    intervals[rank] = (start, min(start + width[a, b] - 1, b), inside)
+                    start, bits = cell << shift[a, b], shift[a, b]
+                    intervals[rank] = (max(a, start), min(b, start + (1 << bits) - 1), inside)
                     break
                 inside -= n
     return {rank: a for rank, (a, _, _) in intervals.items()}

@@ -5,7 +5,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from tracemill.operators.aggregates import row_count
+from tracemill.operators.aggregates import row_count, six_number_summary
 from tracemill.plans import machines, placement, report, tasks, usage
 from tracemill.plans.tasks import TASK
 from tracemill.sources.schemas import FINISHED, SCHEDULED
@@ -128,6 +128,8 @@ def _placement_analyses() -> dict[str, Analysis]:
         "tasks_per_machine_summary_finished": lambda t: report.tasks_per_machine_summary(finished(t), FINISHED_COUNT),
         "broadcast_machine_lookup": lambda t: placement.machine_lookup(
             t.tasks("time", *TASK, "machine_id"), t.machine_events),
+        "schedules_as_of": lambda t: placement.schedules_as_of(
+            t.tasks("time", *TASK, "machine_id", "event_type", "priority"), t.machine_events),
         "task_attribute_lookup": _by_task(lambda t: placement.task_attribute_lookup(
             t.tasks("time", *tasks.ATTRIBUTES), t.task_usage, t.colocated)),
     }
@@ -154,6 +156,8 @@ def _usage_analyses() -> dict[str, Analysis]:
         "max_resource_use": _by_task(lambda t: usage.max_resource_use(t.task_usage)),
         "task_usage_max": _by_task(lambda t: usage.task_usage_max(t.task_usage)),
         "machine_utilization": lambda t: usage.machine_utilization(t.task_usage),
+        "machine_utilization_summary": lambda t: six_number_summary(
+            usage.machine_utilization(t.task_usage), "machine_utilization"),
         "resource_requested_used": below_request,
         "resource_requested_used_per_task": lambda t: below_request(t, "task"),
         "consumption_histogram": histogram,
@@ -181,6 +185,6 @@ ROW_GRAIN = {
     "machine_events_ordered", "machine_remove_events", "machine_removals_by_time", "reconfigured_machine_events",
     "tasks_per_job", "task_schedule_events", "task_schedule_pairs", "task_durations", "task_duration_anomalies",
     "requested_resources", "task_attributes", "task_attribute_rows", "broadcast_machine_lookup",
-    "task_attribute_lookup", "max_resource_use", "task_usage_max", "resource_requested_used",
+    "task_attribute_lookup", "schedules_as_of", "max_resource_use", "task_usage_max", "resource_requested_used",
     "resource_requested_used_per_task", "usage_with_request", "attribute_lines",
 }

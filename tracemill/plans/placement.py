@@ -6,11 +6,13 @@ shuffled by machine and a busy machine is no hot key.
 
 from pyspark.sql import DataFrame, functions as F
 
+from tracemill.functions.columns import DAY
 from tracemill.operators.aggregates import distribution, latest_by
+from tracemill.operators.asof import as_of_join
 from tracemill.operators.joins import BROADCAST_BYTES, lookup_join
 from tracemill.plans.machines import machines_latest_capacity
 from tracemill.plans.tasks import TASK, task_schedule_pairs
-from tracemill.sources.schemas import SCHEDULED
+from tracemill.sources.schemas import ADDED, SCHEDULED
 
 
 def priority_capacity(tasks: DataFrame, events: DataFrame) -> DataFrame:
@@ -77,3 +79,10 @@ def task_attribute_lookup(tasks: DataFrame, usage: DataFrame, colocated: bool =
     rows = usage.select("start_time", *TASK)
     joined = rows.join(latest, TASK, "left") if colocated else lookup_join(rows, latest, TASK, "left")
     return joined.select("start_time", *TASK, *names)
+
+
+def schedules_as_of(tasks: DataFrame, events: DataFrame) -> DataFrame:
+    """Every schedule event with the capacity that its machine was last added with, null where it was not added by then."""
+    added = events.where(F.col("event_type") == ADDED).select("machine_id", "time", "platform_id", "cpu", "memory")
+    scheduled = tasks.where(F.col("event_type") == SCHEDULED).select("time", *TASK, "machine_id", "priority")
+    return as_of_join(scheduled, added, "machine_id", "time", ["platform_id", "cpu", "memory"], DAY)
