@@ -70,3 +70,29 @@ def test_odd_rows(spark):
     assert sum(r.size == 0 and r.taken == 0 for r in found) == 4
     assert mixing.mixed(docs).columns == docs.columns
     assert mixing.mix(docs.limit(0)).count() == mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_documents_without_an_id_have_places_of_their_own(spark):
+    """Null ids and one repeated id: each source is off by at most half of a document."""
+    table = [(None, f"text {i} " + "w " * 51, None, "none", None) for i in range(400)] + [(7, f"seven {i} " + "w " * 38, None, "one", None) for i in range(300)]
+    found = mixing.mix(documents(spark, table + [(1000, "big " * 9000, None, "zz", None)])).collect()
+    for source_size, size in ((400 * 53, 53), (300 * 40, 40)):
+        mine = [r for r in found if r.source_size == source_size]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= size / 2
+
+
+def test_repeated_rows_are_taken_alike(spark):
+    table = [(i // 3, f"text {i // 3}", None, "one", None) for i in range(300)] + [(1000, "big " * 9000, None, "two", None)]
+    found = {}
+    for r in mixing.mix(documents(spark, table)).collect():
+        found.setdefault(r.doc_id, set()).add(r.taken)
+    assert all(len(taken) == 1 for taken in found.values()) and len({t for x in found.values() for t in x}) > 1
+
+
+def test_many_sources(spark):
+    """Running sums over ranges of sources give the targets of one list."""
+    rng = __import__("random").Random(5)
+    sizes = {f"s{i:04}": rng.randrange(0, 400) for i in range(700)} | {None: 55}
+    rows = [(("n" if s is None else "s" + s), s, n) for s, n in sizes.items()]
+    found = mixing.targets(spark.createDataFrame(rows, "key string, source string, source_size long").repartition(6))
+    assert {r.key: r.target for r in found.collect()} == pytest.approx({("n" if s is None else "s" + s): t for s, t in filled(sizes).items()})

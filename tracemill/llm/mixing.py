@@ -1,6 +1,6 @@
 """Mixing sources to target weights by nested hash thresholds.
 
-A document's place in its source is a hash of its id. A source with target T and size S is taken
+A document's place in its source is a hash of its id and text. A source with target T and size S is taken
 ``floor(T / S)`` times whole, and once more below a threshold of the hash that is chosen so that
 the documents below it hold the rest. The threshold comes from histograms of tokens over the leading
 bits; only the bucket it falls into is looked at more closely, twice. So nothing is sorted, thresholds
@@ -18,7 +18,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 REPEATS = 2
 #: Bits of the hash per histogram, and histograms.
-LEVEL_BITS, LEVELS = 12, 3
+LEVEL_BITS, LEVELS = 16, 3
 
 
 @F.arrow_udf(T.LongType())
@@ -27,10 +27,10 @@ def word_count(texts: pa.Array) -> pa.Array:
     return pa.array([len((t.as_py() or "").encode().split()) for t in texts], pa.int64())
 
 
-def place(doc_id: Column) -> Column:
-    """The leading 36 bits of the MD5 of the id as text ('' for null)."""
-    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, LEVEL_BITS * LEVELS // 4)
-    return F.conv(digits, 16, 10).cast("long")
+def place(doc_id: Column, text: Column) -> Column:
+    """The leading 48 bits of the MD5 of the id as text ('n' for null), a colon and the text ('' for null)."""
+    whole = F.concat(F.coalesce(doc_id.cast("string"), F.lit("n")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, LEVEL_BITS * LEVELS // 4), 16, 10).cast("long")
 
 
 def _key(source: Column) -> Column:
@@ -42,30 +42,41 @@ def _level(place: str, level: int) -> Column:
     return F.shiftright(place, LEVEL_BITS * (LEVELS - level)).bitwiseAND((1 << LEVEL_BITS) - 1)
 
 
+def _running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with sums over all rows before each in ``order``, which no two rows share; no task holds them all.
+
+    Ranges of the order add up their own rows, and the totals of the ranges, one row each, are added up in turn.
+    """
+    ranged = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    earlier = before(Window.orderBy("_part"))
+    offsets = totals.select("_part", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])
+    within = before(Window.partitionBy("_part").orderBy(*order))
+    joined = ranged.join(offsets, "_part")
+    return joined.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"_{n}") for n, c in sums.items()}).drop("_part", *[f"_{n}" for n in sums])
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """``key, source_size, target`` from ``key, source, source_size``, one row per source.
 
     With targets in order of target per weight, a source is full if sharing what is left among it
     and those after it would give it more than its limit; the first that is not full sets the
-    share per weight. The window holds one row per source, the only thing that is put in order.
+    share per weight. Sums are of whole numbers, so they are the same in any order.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    weighed = sizes.select(
+    numbered = _running(sizes, [F.col("source").isNull(), F.col("source")], {"number": F.lit(1)})
+    weighed = numbered.select(
         "key", "source_size",
-        F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.row_number().over(by_name) - 1) % len(WEIGHTS) + 1).alias("weight"),
+        F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("number") % len(WEIGHTS) + 1).cast("int")).alias("weight"),
         (F.lit(float(REPEATS)) * F.col("source_size")).alias("most"),
-    )
-    in_turn = Window.orderBy(F.col("most") / F.col("weight"), "key")
-    upward = in_turn.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    left = weighed.select(
-        "*",
-        (F.lit(SHARE) * F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(upward), F.lit(0.0))).alias("rest"),
-        (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(upward), F.lit(0.0))).alias("weights"),
-    )
-    share = F.min(F.when(F.col("rest") / F.col("weights") * F.col("weight") <= F.col("most"), F.struct(F.col("most") / F.col("weight"), F.col("rest") / F.col("weights")))).over(everything)
-    target = F.least("most", F.coalesce(share["col2"] * F.col("weight"), F.col("most")))
-    return left.select("key", "source_size", target.alias("target"))
+    ).withColumn("turn", F.col("most") / F.col("weight"))
+    ordered = stored(_running(weighed, [F.col("turn"), F.col("key")], {"full": F.col("most"), "weights": F.col("weight")}), "targets")
+    size, weight = ordered.agg(F.sum("source_size"), F.sum("weight")).first()
+    share = (F.lit(SHARE * (size or 0)) - F.col("full")) / (F.lit(weight or 0.0) - F.col("weights"))
+    open_ = F.when(share * F.col("weight") <= F.col("most"), F.struct("turn", share.alias("share")))
+    least = ordered.agg(F.min(open_).alias("least")).first().least
+    target = F.least("most", F.lit(least.share) * F.col("weight")) if least else F.col("most")
+    return ordered.select("key", "source_size", target.alias("target"))
 
 
 def _boundary(cells: DataFrame, bucket: str) -> DataFrame:
@@ -78,7 +89,7 @@ def _boundary(cells: DataFrame, bucket: str) -> DataFrame:
 def thresholds(sized: DataFrame) -> DataFrame:
     """Per occupied ``(key, b1)`` cell of ``sized`` (key, source, size, place): the whole turns and the last place taken.
 
-    Windows run over the cells of one source, at most 4,096 at each level.
+    Windows run over the cells of one source, at most 65,536 at each level.
     """
     cells = stored(
         sized.groupBy("key", _level("place", 1).alias("b1")).agg(F.first("source").alias("source"), F.sum("size").alias("tokens")),
@@ -117,7 +128,7 @@ def _copies(placed: DataFrame, rules: DataFrame) -> DataFrame:
 
 def _sized(docs: DataFrame) -> DataFrame:
     return stored(
-        docs.select("doc_id", _key(F.col("source")).alias("key"), "source", word_count("text").alias("size"), place(F.col("doc_id")).alias("place")),
+        docs.select("doc_id", _key(F.col("source")).alias("key"), "source", word_count("text").alias("size"), place(F.col("doc_id"), F.col("text")).alias("place")),
         "sizes",
     )
 
@@ -126,8 +137,9 @@ def mix(docs: DataFrame) -> DataFrame:
     """Per document ``doc_id, size, source_size, target, taken``; ``taken`` counts the words of all its copies.
 
     A null text has size 0, null sources are one source, the last. A source without words has target 0.
-    Rows that repeat an id are at one place and taken alike. Of the two places around a budget, that
-    which comes nearer to it is the threshold, so a source is off by at most half its document there.
+    Rows that repeat both id and text are at one place and taken alike; others have places of their own, also without
+    an id. Of the two places around a budget, that which comes nearer to it is the threshold, so a source is off
+    by at most half of what is there: half a document, or half of its repeated rows together.
     Other columns are not read.
     """
     sized = _sized(docs)
@@ -138,6 +150,6 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, as often as the mix takes them: not at all, once or repeated."""
     rules = thresholds(_sized(docs)).select("key", "b1", "turns", "last")
-    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _key(F.col("source")).alias("key"), place(F.col("doc_id")).alias("place"))
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _key(F.col("source")).alias("key"), place(F.col("doc_id"), F.col("text")).alias("place"))
     copies = F.explode(F.sequence(F.lit(1), F.col("copies")))
     return _copies(held, rules).where("copies > 0").select("row", copies.alias("copy")).select("row.*")
