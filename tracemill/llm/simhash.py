@@ -13,9 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tracemill.llm.common import stored
+from tracemill.llm.common import free_name, stored
 from tracemill.llm.components import connected_components
 from tracemill.operators.joins import lookup_join
 
@@ -105,20 +105,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _classes(prints: DataFrame) -> DataFrame:
     """``(bits, component_id)``, one row per fingerprint."""
     least = stored(prints.groupBy("bits").agg(F.min("doc_id").alias("least")), "classes")
-    found = connected_components(links(least.select("bits")))
-    found = found.select(F.col("node").alias("bits"), "component")
+    found = _linked(least)
     members = found.join(least, "bits")
     lowest = members.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = lookup_join(found, lowest, ["component"]).select("bits", "component_id")
     return least.join(linked, "bits", "left").select("bits", F.coalesce("component_id", "least").alias("component_id"))
 
 
+def _linked(prints: DataFrame) -> DataFrame:
+    """``(bits, component)`` of the fingerprints that link with another; the component is one of them."""
+    return connected_components(links(prints.select("bits"))).select(F.col("node").alias("bits"), "component")
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    """128 bits of all columns of a row, and of which of them are null."""
+    columns = [c for name in docs.columns for c in (docs[name], docs[name].isNull())]
+    return F.struct(*[F.xxhash64(F.lit(seed), *columns).alias(f"h{seed}") for seed in (1, 2)])
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: of every component the document with its id.
+    """The rows of ``docs`` that stay, all columns: one of every component.
 
-    Of rows that repeat that id one stays. Rows without an id cannot be named by a component and
-    stay as well.
+    It is that with the smallest id, a null id last; among rows with that id, that of the smallest hash of all
+    columns. So rows that repeat an id in two components both stay, copies without an id leave one, and of rows
+    that are equal in every column one stays. Every text that goes has a copy, or a near copy linked to it, that stays.
     """
-    kept = near_duplicates(docs.select("doc_id", "text")).select(F.col("component_id").alias("doc_id")).distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    name = free_name(docs, "row_hash")
+    prints = stored(docs.select("doc_id", fingerprints("text").alias("bits"), _row_hash(docs).alias("row")), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")
+    best = stored(prints.groupBy("bits").agg(F.min(first).alias("best")), "classes")
+    joined = best.join(_linked(best), "bits", "left").withColumn("component", F.coalesce("component", "bits"))
+    kept = joined.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.row").alias(name))
+    return docs.withColumn(name, _row_hash(docs)).join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
