@@ -1,7 +1,10 @@
 """Language profiles against a version that walks over the letters, and held-out accuracy."""
 
+import random
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.fixtures import FOLDER, documents, odd_documents, rows
 from tracemill.llm import language
@@ -65,3 +68,29 @@ def test_odd_rows(spark):
     nothing = docs.where("lang IS NULL")
     assert {r[1] for r in rows(language.identify(nothing).select("doc_id", "lang_pred"))} == {"und"}
     assert language.identify(docs.limit(0)).count() == language.known_documents(docs.limit(0)).count() == 0
+
+
+def noise(n, words):
+    rng = random.Random(words)
+    letters = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    return [" ".join(letters() if i % 2 else f"{rng.getrandbits(32):08x}" for _ in range(words)) for i in range(n)]
+
+
+@pytest.mark.parametrize("words", [40, 300, 3000])
+def test_the_filter_rejects_noise_and_keeps_clean_texts(spark, words):
+    """Random letters and hex digits go, documents and their short beginnings stay."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    clean = docs.where("text IS NOT NULL AND lang IS NOT NULL AND n_chars > 200")
+    short = clean.withColumns({"doc_id": F.col("doc_id") + 100_000, "text": F.array_join(F.slice(F.split("text", " "), 1, 12), " ")})
+    made = documents(spark, [(200_000 + i, t, None, "noise", None) for i, t in enumerate(noise(100, words))])
+    kept = [r.doc_id for r in language.known_documents(docs.unionByName(short).unionByName(made)).select("doc_id").collect()]
+    found = lambda df: len({r.doc_id for r in df.collect()} & set(kept)) / df.count()
+    assert found(clean) >= 0.99
+    assert found(short) >= 0.99
+    assert found(made) <= 0.1
+
+
+def test_thresholds(spark):
+    rows_ = [(10, 0.4 + i / 10_000) for i in range(1000)] + [(12, 0.9)] * 5 + [(3, 0.2)]
+    found = language.thresholds(spark.createDataFrame([(s, c) for c, s in rows_], "score double, size int"))
+    assert found[10] == pytest.approx(0.6 * 0.401, abs=0.002) and found[12] <= found[10] and found[3] == language.LEAST_SCORE and len(found) == 13

@@ -14,13 +14,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracemill.llm.common import PIECE_CHARS, PIECE_ROWS, free_name, per_text, pieces
+from tracemill.llm.common import PIECE_CHARS, PIECE_ROWS, free_name, per_text, pieces, stored
 
 DIMENSIONS = 1024
 SEED = 20_080_601
 UNKNOWN = "und"
-#: Below this cosine a text is in none of the languages; used by the filter only.
-LEAST_SCORE = 0.05
+#: The filter: a text is in none of the languages if its cosine is below this share of what all but ``UNLIKE`` of the
+#: learning documents of its size reach, or below ``LEAST_SCORE``. A size is half a doubling of the number of
+#: trigrams; one with fewer than ``SUPPORT`` documents borrows those of smaller sizes, whose cosines are lower.
+NEAR, UNLIKE, LEAST_SCORE, SUPPORT = 0.6, 0.01, 0.05, 100
+#: Cells of the cosine from 0 to 1 by which learning documents are counted.
+CELLS = 400
 #: More languages than this are refused: the prototypes are held by the driver and every task.
 MOST_LANGUAGES = 4096
 #: Trigram vectors that a worker keeps, and trigrams that are multiplied at once.
@@ -29,7 +33,7 @@ KEPT, BLOCK = 8192, 4096
 TABLE = 1 << 22
 _SPACE, _UNSEEN = 32, 0xFFFFFFFF
 
-PREDICTION = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+PREDICTION = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("size", pa.int32())])
 
 
 class _Trigrams:
@@ -171,17 +175,20 @@ def _rows(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(at), pa.array(vector)], ["lang", "at", "value"])
 
 
-def predict(texts: list[str | None], names: list[str], prototypes: np.ndarray) -> list[tuple[str, float]]:
-    """Language and cosine, cut to 0..1, per text; ties take the first name. ``prototypes`` have length 1."""
-    profiles = _trigrams().profiles(texts).astype(np.float64)
+def predict(texts: list[str | None], names: list[str], prototypes: np.ndarray) -> list[tuple[str, float, int]]:
+    """Language, cosine, cut to 0..1, and size per text; ties take the first name. ``prototypes`` have length 1."""
+    keys, counts = _trigrams().counts(texts)
+    profiles = _trigrams().bundle(keys, counts).astype(np.float64)
+    sizes = np.floor(2 * np.log2(counts.sum(axis=1, dtype=np.float64) + 1)).astype(int).tolist()
     lengths = np.linalg.norm(profiles, axis=1)
     if not names:
-        return [(UNKNOWN, 0.0)] * len(texts)
+        return [(UNKNOWN, 0.0, size) for size in sizes]
     cosines = (profiles @ prototypes.T) / np.maximum(lengths, 1e-300)[:, None]
     best = cosines.argmax(axis=1)
     lettered = [any(map(str.isalpha, t or "")) for t in texts]
     return [
-        (names[b], float(np.clip(cosines[i, b], 0, 1))) if lettered[i] else (UNKNOWN, 0.0) for i, b in enumerate(best.tolist())
+        (names[b], float(np.clip(cosines[i, b], 0, 1)), sizes[i]) if lettered[i] else (UNKNOWN, 0.0, sizes[i])
+        for i, b in enumerate(best.tolist())
     ]
 
 
@@ -191,13 +198,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def predictions(docs: DataFrame) -> Column:
-    """Struct ``lang_pred, score`` of the column ``text``, learnt from those of ``docs`` that are not held out."""
+    """Struct ``lang_pred, score, size`` of the column ``text``, learnt from those of ``docs`` that are not held out."""
     prototypes = learn(docs.where(~held_out(F.col("doc_id"))))
     names = list(prototypes)
     unit = np.array([v / np.linalg.norm(v) for v in prototypes.values()]).reshape(len(names), DIMENSIONS)
     shared = docs.sparkSession.sparkContext.broadcast(unit)
     body = per_text(lambda texts: predict(texts, names, shared.value), PREDICTION)
-    return F.arrow_udf(body, "lang_pred string, score double").asNondeterministic()("text")
+    return F.arrow_udf(body, "lang_pred string, score double, size int").asNondeterministic()("text")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -212,8 +219,34 @@ def identify(docs: DataFrame) -> DataFrame:
     )
 
 
-def known_documents(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is in one of the languages."""
+def thresholds(learnt: DataFrame) -> list[float]:
+    """Least cosine per size, from ``score, size`` of the learning documents, counted in cells."""
+    cell = F.least(F.floor(F.col("score") * CELLS), F.lit(CELLS - 1)).cast("int").alias("cell")
+    counted = learnt.groupBy("size", cell).agg(F.count("*").alias("n")).collect()  # some sizes, each with CELLS rows at most
+    counts = np.zeros((max((r["size"] for r in counted), default=0) + 1, CELLS), np.int64)
+    for r in counted:
+        counts[r["size"], r["cell"]] = r["n"]
+    found = []
+    for size in range(len(counts)):
+        pooled, lower = counts[size].copy(), size
+        while pooled.sum() < SUPPORT and lower:
+            lower -= 1
+            pooled += counts[lower]
+        reached = np.searchsorted(np.cumsum(pooled), UNLIKE * pooled.sum(), side="right") / CELLS
+        found.append(max(LEAST_SCORE, NEAR * float(reached)) if pooled.sum() >= SUPPORT else LEAST_SCORE)
+    return found
+
+
+def known_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in one of the languages.
+
+    Each is scored once and kept with its score until the thresholds are known, which all learning documents
+    that are told right give. A text without a letter goes; so does every text if nothing could be learnt.
+    """
     name = free_name(docs, "language")
-    found = docs.withColumn(name, predictions(docs))
-    return found.where((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= least)).select(*docs.columns)
+    scored = stored(docs.withColumn(name, predictions(docs)), "language")
+    right = ~held_out(F.col("doc_id")) & (F.col("lang") == F.col(f"{name}.lang_pred"))
+    least = thresholds(scored.where(right).select(f"{name}.score", f"{name}.size"))
+    # A size beyond all that are known has the threshold of the largest.
+    wanted = F.get(F.array(*map(F.lit, least)), F.least(F.col(f"{name}.size"), F.lit(len(least) - 1)))
+    return scored.where((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= wanted)).select(*docs.columns)

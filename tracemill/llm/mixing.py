@@ -123,7 +123,8 @@ def _copies(placed: DataFrame, rules: DataFrame) -> DataFrame:
     """``placed`` (key, place) with its source's rule and ``copies``; a hot source is spread over its cells."""
     placed = placed.withColumn("b1", _level("place", 1))
     more = F.when(F.col("place") <= F.col("last"), 1).otherwise(0)
-    return placed.join(rules, ["key", "b1"]).withColumn("copies", F.col("turns") + more)
+    # Where all are taken as often as may be, documents without words below the first threshold are, too.
+    return placed.join(rules, ["key", "b1"]).withColumn("copies", F.least(F.col("turns") + more, F.lit(REPEATS)))
 
 
 def _sized(docs: DataFrame) -> DataFrame:
