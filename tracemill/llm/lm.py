@@ -6,9 +6,10 @@ tokens drawn by frequency, so it needs no sum over the vocabulary. Scoring norma
 pair of context words one row of a matrix product gives the scores of all classes.
 
 The classes are the end of a text, the most frequent words, and one class for all rarer words. Those are
-dealt by hash into bins, more of them the more words there are. A second model of the same kind predicts the
-bin of a rare word, and there bins are context words, too; in its bin a word has the probability of its
-smoothed count. So every text has a probability, whatever its words.
+dealt by hash into bins, more of them the more words there are, and bins lie in groups of as many bins as there are
+groups. Two more models of the same kind predict the group of a rare word and its bin in the group, and there bins are
+context words, too; in its bin a word has the probability of its smoothed count. So every text has a probability,
+whatever its words, and its cost grows with the root of the bins, not with their number.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ HEAD_BYTES = 64
 HELD_WORDS = 200_000
 #: Training: tokens and shared noise tokens per step, and the step size of AdaGrad.
 BATCH, NOISE, RATE = 512, 32, 0.3
+#: Tokens per step of the models of rare words.
+RARE_BATCH = 2048
 SEED = 20_120_626
 #: Tokens that a task gathers before it trains on them.
 HELD_TOKENS = 1 << 15
@@ -182,14 +185,14 @@ class Reader:
 class LogBilinear:
     """Parameters of the model, its training and its scores."""
 
-    def __init__(self, class_counts: np.ndarray, dimensions: int = DIMENSIONS, contexts: int | None = None):
+    def __init__(self, class_counts: np.ndarray, dimensions: int = DIMENSIONS, contexts: int | None = None, kind=np.float64):
         smoothed = class_counts + 1.0
-        self.noise = np.log(smoothed / smoothed.sum())
+        self.noise = np.log(smoothed / smoothed.sum()).astype(kind)
         rng = np.random.default_rng(SEED)
         n = len(class_counts)
-        self.context = rng.normal(0, 0.1, (contexts or n, dimensions))
-        self.target = rng.normal(0, 0.1, (n, dimensions))
-        self.position = np.ones((2, dimensions))
+        self.context = rng.normal(0, 0.1, (contexts or n, dimensions)).astype(kind)
+        self.target = rng.normal(0, 0.1, (n, dimensions)).astype(kind)
+        self.position = np.ones((2, dimensions), kind)
         self.bias = self.noise.copy()
         self.squares = [np.full_like(p, 1e-2) for p in self.parameters]
         self.norms = None if contexts else np.full((n, n), np.nan)  # of contexts that were seen
@@ -199,7 +202,7 @@ class LogBilinear:
         return [self.context, self.target, self.position, self.bias]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parameters])
+        return np.concatenate([p.ravel() for p in self.parameters]).astype(np.float64)
 
     def load(self, flat: np.ndarray) -> None:
         at = 0
@@ -214,24 +217,41 @@ class LogBilinear:
         """One step of AdaGrad on the noise-contrastive objective; all tokens share the noise."""
         n = len(self.bias)
         noise = np.searchsorted(self._cumulated(), rng.random(NOISE)).clip(0, n - 1)
-        shift = np.log(NOISE)
+        shift = math.log(NOISE)
         q = self.predicted(first, second)
-        true = _sigmoid(-((q * self.target[token]).sum(1) + self.bias[token] - self.noise[token] - shift))
-        false = -_sigmoid(q @ self.target[noise].T + (self.bias - self.noise)[noise] - shift)
-        dq = true[:, None] * self.target[token] + false @ self.target[noise]
-        d_target = _scattered(token, true[:, None] * q, n)
-        np.add.at(d_target, noise, false.T @ q)
-        d_bias = np.bincount(token, true, n) + np.bincount(noise, false.sum(0), n)
-        d_context = sum(_scattered(c, dq * p, len(self.context)) for c, p in zip((first, second), self.position, strict=True))
-        d_position = np.stack([(dq * self.context[first]).sum(0), (dq * self.context[second]).sum(0)])
-        for p, square, d in zip(self.parameters, self.squares, (d_context, d_target, d_position, d_bias), strict=True):
-            d /= len(token)
-            square += d * d
-            p += RATE * d / np.sqrt(square)
+        truth = self.target[token]
+        true = _sigmoid(-(np.einsum("td,td->t", q, truth) + self.bias[token] - self.noise[token] - shift))
+        false = -_sigmoid(q @ self.target[noise].T + (self.bias[noise] - self.noise[noise]) - shift)
+        dq = true[:, None] * truth + false @ self.target[noise]
+        self._move(
+            first, second, dq, np.concatenate([token, noise]), np.concatenate([true[:, None] * q, false.T @ q]),
+            np.concatenate([true, false.sum(0)]),
+        )
+
+    def _move(self, first, second, dq, rows, d_target, d_bias) -> None:
+        """Move what the tokens of a step touch, along gradients of the predictions and of ``rows`` of targets and biases."""
+        order, rows, starts = _runs(rows)
+        self._move_contexts(first, second, dq)
+        self._rise(self.target, self.squares[1], rows, np.add.reduceat(d_target[order], starts, axis=0) / len(first))
+        self._rise(self.bias, self.squares[3], rows, np.add.reduceat(d_bias[order], starts) / len(first))
+
+    def _move_contexts(self, first, second, dq) -> None:
+        n = len(first)
+        d_position = np.stack([np.einsum("td,td->d", dq, self.context[c]) for c in (first, second)])
+        order, rows, starts = _runs(np.concatenate([first, second]))
+        d_context = np.add.reduceat(np.concatenate([dq * p for p in self.position])[order], starts, axis=0)
+        self._rise(self.position, self.squares[2], slice(None), d_position / n)
+        self._rise(self.context, self.squares[0], rows, d_context / n)
+
+    @staticmethod
+    def _rise(values, squares, rows, d) -> None:
+        square = squares[rows] + d * d
+        squares[rows] = square
+        values[rows] += RATE * d / np.sqrt(square)
 
     def _cumulated(self) -> np.ndarray:
         if not hasattr(self, "_cdf"):
-            self._cdf = np.cumsum(np.exp(self.noise))
+            self._cdf = np.cumsum(np.exp(self.noise), dtype=np.float64)
         return self._cdf
 
     def log_probability(self, first: np.ndarray, second: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -262,22 +282,79 @@ class LogBilinear:
         return out
 
 
+class Members(LogBilinear):
+    """The bin of a rare word among the ``size`` bins of its group."""
+
+    def __init__(self, bin_counts: np.ndarray, size: int, contexts: int):
+        super().__init__(bin_counts, contexts=contexts, kind=np.float32)
+        n = len(bin_counts)
+        self.size, self.start = size, np.arange(n) // size * size
+        self.width = np.minimum(size, n - self.start)
+        totals = np.bincount(np.arange(n) // size, np.exp(self.noise))
+        self.bias -= np.log(totals)[np.arange(n) // size].astype(np.float32)
+
+    def _by_group(self, token: np.ndarray) -> Iterator[tuple[np.ndarray, slice]]:
+        """Places of the tokens of each group, and its bins."""
+        order = np.argsort(self.start[token], kind="stable")
+        starts = self.start[token[order]]
+        ends = np.flatnonzero(np.append(starts[1:] != starts[:-1], True)) + 1 if len(order) else []
+        at = 0
+        for end in ends:
+            start = starts[at]
+            yield order[at:end], slice(start, start + self.width[start])
+            at = end
+
+    def step(self, first: np.ndarray, second: np.ndarray, token: np.ndarray, rng: np.random.Generator) -> None:
+        """One step as for all classes; the noise is every bin of the token's group once, so nothing has to be drawn."""
+        n, q = len(token), self.predicted(first, second)
+        dq = np.empty_like(q)
+        for mine, group in self._by_group(token):
+            here, target = q[mine], self.target[group]
+            slopes = -_sigmoid(here @ target.T + self.bias[group])
+            # A true token counts as such, and once more as a part of the noise.
+            own = token[mine] - group.start
+            slopes[np.arange(len(mine)), own] += 1 + slopes[np.arange(len(mine)), own]
+            dq[mine] = slopes @ target
+            self._rise(self.target, self.squares[1], group, slopes.T @ here / n)
+            self._rise(self.bias, self.squares[3], group, slopes.sum(0) / n)
+        self._move_contexts(first, second, dq)
+
+    def log_probability(self, first: np.ndarray, second: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the probability of every token in its group, a group at a time."""
+        out = np.zeros(len(token))
+        for mine, group in self._by_group(token):
+            scores = self.predicted(first[mine], second[mine]) @ self.target[group].T + self.bias[group]
+            scores -= scores.max(axis=1, keepdims=True)
+            own = scores[np.arange(len(mine)), token[mine] - group.start]
+            out[mine] = own - np.log(np.exp(scores.astype(np.float32)).sum(axis=1, dtype=np.float64))
+        return out
+
+
 class Model:
-    """The model of classes, and that of the bins of rare words."""
+    """The model of classes, and those of the groups and bins of rare words."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.rare = vocabulary.rare
-        self.classes = LogBilinear(vocabulary.class_counts())
-        self.bins = LogBilinear(vocabulary.bin_tokens, contexts=self.rare + vocabulary.bins)
+        self.rare, bins = vocabulary.rare, vocabulary.bins
+        self.size = max(1, math.ceil(math.sqrt(bins)))
+        self.classes = LogBilinear(vocabulary.class_counts(), kind=np.float32)
+        groups = np.bincount(np.arange(bins) // self.size, vocabulary.bin_tokens)
+        self.groups = LogBilinear(groups, contexts=self.rare + bins, kind=np.float32)
+        self.bins = Members(vocabulary.bin_tokens, self.size, self.rare + bins)
         self.spread = np.log(vocabulary.bin_totals)
 
+    @property
+    def models(self) -> list[LogBilinear]:
+        return [self.classes, self.groups, self.bins]
+
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.classes.flat(), self.bins.flat()])
+        return np.concatenate([m.flat() for m in self.models])
 
     def load(self, flat: np.ndarray) -> None:
-        size = len(self.classes.flat())
-        self.classes.load(flat[:size])
-        self.bins.load(flat[size:])
+        at = 0
+        for m in self.models:
+            size = len(m.flat())
+            m.load(flat[at : at + size])
+            at += size
 
     def _split(self, texts: list[np.ndarray]) -> tuple[tuple, tuple, np.ndarray]:
         """Contexts and tokens as classes; those of rare tokens as classes and bins, and which tokens these are."""
@@ -288,15 +365,17 @@ class Model:
 
     def learn(self, texts: list[np.ndarray], rng: np.random.Generator) -> int:
         coarse, fine, _ = self._split(texts)
-        for model, columns in ((self.classes, coarse), (self.bins, fine)):
-            for start in range(0, len(columns[0]), BATCH):
-                model.step(*(c[start : start + BATCH] for c in columns), rng)
+        grouped = (*fine[:2], fine[2] // self.size)
+        for model, columns, batch in ((self.classes, coarse, BATCH), (self.groups, grouped, RARE_BATCH), (self.bins, fine, RARE_BATCH)):
+            for start in range(0, len(columns[0]), batch):
+                model.step(*(c[start : start + batch] for c in columns), rng)
         return len(coarse[0])
 
     def log_probability(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural logarithm per token; of a rare one without its smoothed count, which is a factor."""
         coarse, fine, at = self._split(texts)
         out = self.classes.log_probability(*coarse)
+        out[at] += self.groups.log_probability(*fine[:2], fine[2] // self.size)
         out[at] += self.bins.log_probability(*fine) - self.spread[fine[2]]
         return out
 
@@ -305,9 +384,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _scattered(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sum of ``values`` by row."""
-    return np.stack([np.bincount(rows, values[:, k], n) for k in range(values.shape[1])], axis=1)
+def _runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that puts equal rows together, the different rows, and where each starts in it."""
+    order = np.argsort(rows.astype(np.uint16) if len(rows) and rows.max() < 1 << 16 else rows, kind="stable")
+    rows = rows[order]
+    starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    return order, rows[starts], starts
 
 
 def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -327,7 +409,7 @@ def train(docs: DataFrame, shared) -> np.ndarray:
     """Parameters of the model over all ``docs``.
 
     Every task trains on its texts from the same start, and the results are averaged by their tokens.
-    A task sends one row per parameter: some 35,000, 17 more per bin for the target and 16 per bin as context.
+    A task sends one row per parameter: some 35,000 for the classes, twice 16,000 for those as contexts, and 50 more per bin.
     """
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,6 +449,18 @@ def _reader(shared) -> Reader:
     return _readers[shared.value.tokens]
 
 
+_scorers: list[tuple[np.ndarray, Model]] = []
+
+
+def _scorer(shared, parameters) -> Model:
+    """The trained model of a worker process; the tasks of the process share the sums over contexts that it keeps."""
+    if not _scorers or _scorers[0][0] is not parameters.value:
+        model = Model(shared.value)
+        model.load(parameters.value)
+        _scorers[:] = [(parameters.value, model)]
+    return _scorers[0][1]
+
+
 _SCORED = "doc_id {id}, row long, n_tokens long, known long, base double, rare double, model double, tail array<struct<word:string,n:long>>"
 _TAIL = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 
@@ -376,8 +470,7 @@ def _scores(docs: DataFrame, shared, flat: np.ndarray) -> DataFrame:
     parameters = docs.sparkSession.sparkContext.broadcast(flat)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, model = _reader(shared), Model(shared.value)
-        model.load(parameters.value)
+        reader, model = _reader(shared), _scorer(shared, parameters)
         v = reader.vocabulary
         logs = np.log10(np.append(v.counts, 0) + 1.0)
         end = np.log10(v.ends + 1.0)
