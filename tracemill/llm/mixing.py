@@ -18,7 +18,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 REPEATS = 2
 #: Bits of the hash per histogram, and histograms.
-LEVEL_BITS, LEVELS = 16, 3
+LEVEL_BITS, LEVELS = 12, 3
 
 
 @F.arrow_udf(T.LongType())
@@ -28,7 +28,7 @@ def word_count(texts: pa.Array) -> pa.Array:
 
 
 def place(doc_id: Column, text: Column) -> Column:
-    """The leading 48 bits of the MD5 of the id as text ('n' for null), a colon and the text ('' for null)."""
+    """The leading 36 bits of the MD5 of the id as text ('n' for null), a colon and the text ('' for null)."""
     whole = F.concat(F.coalesce(doc_id.cast("string"), F.lit("n")), F.lit(":"), F.coalesce(text, F.lit("")))
     return F.conv(F.substring(F.md5(whole.cast("binary")), 1, LEVEL_BITS * LEVELS // 4), 16, 10).cast("long")
 
@@ -89,7 +89,7 @@ def _boundary(cells: DataFrame, bucket: str) -> DataFrame:
 def thresholds(sized: DataFrame) -> DataFrame:
     """Per occupied ``(key, b1)`` cell of ``sized`` (key, source, size, place): the whole turns and the last place taken.
 
-    Windows run over the cells of one source, at most 65,536 at each level.
+    Windows run over the cells of one source, at most 4,096 at each level.
     """
     cells = stored(
         sized.groupBy("key", _level("place", 1).alias("b1")).agg(F.first("source").alias("source"), F.sum("size").alias("tokens")),

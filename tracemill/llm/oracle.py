@@ -62,7 +62,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 MIX = r"""
 WITH d AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-        CAST('0x' || substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), 'n'), ':', coalesce(text, ''))), 1, 12) AS BIGINT) AS place
+        CAST('0x' || substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), 'n'), ':', coalesce(text, ''))), 1, 9) AS BIGINT) AS place
     FROM documents
 ), s AS (
     SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0::DOUBLE * sum(size) AS most,
