@@ -1,6 +1,7 @@
 """Near-duplicate vectors against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.compare import duckdb_over, duckdb_rows, spark_rows
@@ -92,12 +93,59 @@ def test_recall_in_many_dimensions_and_with_a_common_mean(spark, monkeypatch, di
 def test_tables_for_many_vectors():
     """For many vectors parts have many bits, and pairs that nothing was learnt from still meet."""
     rng = np.random.default_rng(4)
-    for dimensions, common in ((64, 0.7), (256, 0)):
+    for dimensions, common in ((64, 0.7), (64, 0.9), (256, 0)):
         draw = lambda n: itq._unit(rng.normal(size=(n, dimensions)) * np.sqrt((1 - common) / dimensions) + np.eye(1, dimensions)[0] * np.sqrt(common))  # noqa: E731, B023
         tables = itq.choose_tables(draw(2000), dimensions, 1_000_000, 0.93)
         for a, b in itq.probes(draw(1000), 0.93):
             assert (tables.keys(a) == tables.keys(b)).any(axis=1).mean() >= 0.95
-        assert tables.bits >= 10
+            assert ((tables.code(a) != tables.code(b)).sum(axis=1) <= tables.radius).mean() >= 0.99
+        assert tables.bits >= (10 if common < 0.9 else itq.LEAST_BITS)
+
+
+@pytest.mark.parametrize("folder", [FOLDER, "/root/testdata/sf0.1"])
+def test_small_tables_go_the_same_way(spark, folder):
+    """However few vectors there are, they meet by parts of learnt codes and within a radius that shuts most others out."""
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    classes = vectors.selectExpr("embedding", "label", "size(embedding) AS dimensions")
+    tables = itq._tables(classes, 0.93)[64]
+    assert tables.bits >= itq.LEAST_BITS and tables.tables > 1 and tables.rotations
+    unit = itq._unit(np.array([r.embedding for r in classes.collect()], np.float64))
+    assert np.any(tables.mean) and tables.radius < tables.length / 2
+    codes = tables.code(unit)
+    apart = (codes[:100, None] != codes[None, 100:300]).sum(axis=2)
+    assert (apart > tables.radius).mean() > 0.9
+
+
+def test_codes_outside_the_radius_are_not_compared(spark, monkeypatch):
+    """With a radius of nothing only vectors with one code link, however near others are."""
+    monkeypatch.setattr(itq, "SLACK", 0)
+    table = clusters(8, 40, lambda g: 3, noise=0.1)
+    linked = sum(r[1] for r in found(itq.near_duplicates(spark.createDataFrame(table, SCHEMA))))
+    assert linked < sum(r[1] for r in brute(table)) / 2
+
+
+def test_a_pair_is_one_of_its_first_common_part_only():
+    rng = np.random.default_rng(9)
+    tables = itq.choose_tables(itq._unit(rng.normal(size=(300, 16))), 16, 100, 0.93)
+    unit = itq._unit(np.repeat(rng.normal(size=(5, 16)), 4, axis=0) + 0.1 * rng.normal(size=(20, 16)))
+    code, keys = tables.code(unit), tables.keys(unit)
+    times = np.zeros((20, 20), int)
+    for at in range(tables.tables):
+        for key in np.unique(keys[:, at]):
+            rows = np.flatnonzero(keys[:, at] == key)
+            packed = [c.tobytes() for c in np.packbits(code[rows], axis=1)]
+            block = pa.table({"at": [at] * len(rows), "low": [0] * len(rows), "high": [0] * len(rows), "part": [0] * len(rows), "code": packed})
+            a, b = np.nonzero(itq._near(block, tables))
+            times[rows[a], rows[b]] += 1
+    shared = (keys[:, None] == keys[None]).any(axis=2) & ((code[:, None] != code[None]).sum(axis=2) <= tables.radius)
+    assert (times == np.triu(shared, 1)).all() and times.any()
+
+
+def test_one_dimension_and_unlearnt_numbers_of_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(itq, "MOST_LEARNT", 1)
+    table = [(i, [float(i % 5 + 1) * (-1) ** i], 1) for i in range(12)]
+    table += [(100 + i, v, n) for i, v, n in clusters(6, 20, lambda g: 1 + g % 4, 8)]
+    assert found(itq.near_duplicates(spark.createDataFrame(table, SCHEMA))) == brute(table)
 
 
 def test_vectors_of_several_dimensions(spark):
