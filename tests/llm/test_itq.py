@@ -117,11 +117,18 @@ def test_small_tables_go_the_same_way(spark, folder):
 
 
 def test_codes_outside_the_radius_are_not_compared(spark, monkeypatch):
-    """With a radius of nothing only vectors with one code link, however near others are."""
+    """With a radius of nothing exactly the near vectors of one code link; so few vectors get rotations that are not learnt."""
     monkeypatch.setattr(itq, "SLACK", 0)
-    table = clusters(8, 40, lambda g: 3, noise=0.1)
-    linked = sum(r[1] for r in found(itq.near_duplicates(spark.createDataFrame(table, SCHEMA))))
-    assert linked < sum(r[1] for r in brute(table)) / 2
+    table = clusters(8, 15, lambda g: 3, noise=0.2)
+    sizes = [sum(n == label for *_, n in table) for label in range(3)]
+    unit = itq._unit(np.array([v for _, v, _ in table], np.float64))
+    code = itq.choose_tables(np.zeros((0, 32)), 32, max(sizes), 0.93).code(unit)
+    label = np.array([n for *_, n in table])
+    near = (unit @ unit.T >= 0.93) & (label[:, None] == label) & ~np.eye(len(table), dtype=bool)
+    same = near & (code[:, None] == code[None]).all(axis=2)
+    linked = {r[0]: r[1] for r in found(itq.near_duplicates(spark.createDataFrame(table, SCHEMA)))}
+    assert linked == {vec_id: n for (vec_id, *_), n in zip(table, same.sum(axis=1).tolist(), strict=True)}
+    assert same.sum() < near.sum()
 
 
 def test_a_pair_is_one_of_its_first_common_part_only():

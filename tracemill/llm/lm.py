@@ -39,9 +39,11 @@ HEAD_BYTES = 64
 #: Rows that one task adds up before it sends them on.
 HELD_WORDS = 200_000
 #: Training: tokens and shared noise tokens per step, and the step size of AdaGrad.
-BATCH, NOISE, RATE = 512, 32, 0.3
+BATCH, NOISE, RATE = 1024, 32, 0.3
 #: Tokens per step of the models of rare words.
-RARE_BATCH = 2048
+RARE_BATCH = 8192
+#: Gradients are summed over a step and divided by these, for classes and for the models of rare words, so larger steps move as far.
+PER, RARE_PER = 256, 512
 SEED = 20_120_626
 #: Tokens that a task gathers before it trains on them.
 HELD_TOKENS = 1 << 15
@@ -167,6 +169,11 @@ class Reader:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.place = {w: i for i, w in enumerate(vocabulary.head)}
+        own = vocabulary.rare - 1
+        # By place, and at the end, for words outside the head, none.
+        self.head_classes = np.array(
+            [*range(1, own + 1), *(vocabulary.rare + zlib.crc32(w) % vocabulary.bins for w in vocabulary.head[own:]), -1], np.int64
+        )
 
     def places(self, found: list[bytes]) -> np.ndarray:
         """Place of every word in the head, -1 outside."""
@@ -176,8 +183,8 @@ class Reader:
     def classes(self, found: list[bytes], places: np.ndarray) -> np.ndarray:
         """Class of every word, then of the end; a rare word has the rare class plus its bin."""
         rare, bins = self.vocabulary.rare, self.vocabulary.bins
-        out = np.append(places + 1, END)
-        outside = np.flatnonzero((places < 0) | (places >= rare - 1))
+        out = np.append(self.head_classes[places], END)
+        outside = np.flatnonzero(places < 0)
         out[outside] = [rare + zlib.crc32(found[i]) % bins for i in outside.tolist()]
         return out
 
@@ -185,7 +192,8 @@ class Reader:
 class LogBilinear:
     """Parameters of the model, its training and its scores."""
 
-    def __init__(self, class_counts: np.ndarray, dimensions: int = DIMENSIONS, contexts: int | None = None, kind=np.float64):
+    def __init__(self, class_counts: np.ndarray, dimensions: int = DIMENSIONS, contexts: int | None = None, kind=np.float64, per: int | None = None):
+        self.per = per
         smoothed = class_counts + 1.0
         self.noise = np.log(smoothed / smoothed.sum()).astype(kind)
         rng = np.random.default_rng(SEED)
@@ -211,37 +219,43 @@ class LogBilinear:
             at += p.size
 
     def predicted(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        return self.context[first] * self.position[0] + self.context[second] * self.position[1]
+        return _weighted(self._around(first, second), self.position)
+
+    def _around(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Vectors of both context words of every token."""
+        return self.context.take(np.concatenate([first, second]), axis=0).reshape(2, len(first), -1)
 
     def step(self, first: np.ndarray, second: np.ndarray, token: np.ndarray, rng: np.random.Generator) -> None:
         """One step of AdaGrad on the noise-contrastive objective; all tokens share the noise."""
         n = len(self.bias)
         noise = np.searchsorted(self._cumulated(), rng.random(NOISE)).clip(0, n - 1)
         shift = math.log(NOISE)
-        q = self.predicted(first, second)
-        truth = self.target[token]
+        around = self._around(first, second)
+        q = _weighted(around, self.position)
+        truth, drawn = self.target.take(token, axis=0), self.target[noise]
         true = _sigmoid(-(np.einsum("td,td->t", q, truth) + self.bias[token] - self.noise[token] - shift))
-        false = -_sigmoid(q @ self.target[noise].T + (self.bias[noise] - self.noise[noise]) - shift)
-        dq = true[:, None] * truth + false @ self.target[noise]
+        false = -_sigmoid(q @ drawn.T + (self.bias[noise] - self.noise[noise] - shift))
+        dq = true[:, None] * truth + false @ drawn
         self._move(
-            first, second, dq, np.concatenate([token, noise]), np.concatenate([true[:, None] * q, false.T @ q]),
+            first, second, around, dq, np.concatenate([token, noise]), np.concatenate([true[:, None] * q, false.T @ q]),
             np.concatenate([true, false.sum(0)]),
         )
 
-    def _move(self, first, second, dq, rows, d_target, d_bias) -> None:
+    def _move(self, first, second, around, dq, rows, d_target, d_bias) -> None:
         """Move what the tokens of a step touch, along gradients of the predictions and of ``rows`` of targets and biases."""
+        per = self.per or len(first)
         order, rows, starts = _runs(rows)
-        self._move_contexts(first, second, dq)
-        self._rise(self.target, self.squares[1], rows, np.add.reduceat(d_target[order], starts, axis=0) / len(first))
-        self._rise(self.bias, self.squares[3], rows, np.add.reduceat(d_bias[order], starts) / len(first))
+        self._move_contexts(first, second, around, dq)
+        self._rise(self.target, self.squares[1], rows, np.add.reduceat(d_target.take(order, axis=0), starts, axis=0) / per)
+        self._rise(self.bias, self.squares[3], rows, np.add.reduceat(d_bias[order], starts) / per)
 
-    def _move_contexts(self, first, second, dq) -> None:
-        n = len(first)
-        d_position = np.stack([np.einsum("td,td->d", dq, self.context[c]) for c in (first, second)])
+    def _move_contexts(self, first, second, around, dq) -> None:
+        per = self.per or len(first)
+        d_position = np.einsum("ptd,td->pd", around, dq)
         order, rows, starts = _runs(np.concatenate([first, second]))
-        d_context = np.add.reduceat(np.concatenate([dq * p for p in self.position])[order], starts, axis=0)
-        self._rise(self.position, self.squares[2], slice(None), d_position / n)
-        self._rise(self.context, self.squares[0], rows, d_context / n)
+        d_context = np.add.reduceat(np.concatenate([dq * p for p in self.position]).take(order, axis=0), starts, axis=0)
+        self._rise(self.position, self.squares[2], slice(None), d_position / per)
+        self._rise(self.context, self.squares[0], rows, d_context / per)
 
     @staticmethod
     def _rise(values, squares, rows, d) -> None:
@@ -286,7 +300,7 @@ class Members(LogBilinear):
     """The bin of a rare word among the ``size`` bins of its group."""
 
     def __init__(self, bin_counts: np.ndarray, size: int, contexts: int):
-        super().__init__(bin_counts, contexts=contexts, kind=np.float32)
+        super().__init__(bin_counts, contexts=contexts, kind=np.float32, per=RARE_PER)
         n = len(bin_counts)
         self.size, self.start = size, np.arange(n) // size * size
         self.width = np.minimum(size, n - self.start)
@@ -306,7 +320,8 @@ class Members(LogBilinear):
 
     def step(self, first: np.ndarray, second: np.ndarray, token: np.ndarray, rng: np.random.Generator) -> None:
         """One step as for all classes; the noise is every bin of the token's group once, so nothing has to be drawn."""
-        n, q = len(token), self.predicted(first, second)
+        per, around = self.per or len(token), self._around(first, second)
+        q = _weighted(around, self.position)
         dq = np.empty_like(q)
         for mine, group in self._by_group(token):
             here, target = q[mine], self.target[group]
@@ -315,9 +330,9 @@ class Members(LogBilinear):
             own = token[mine] - group.start
             slopes[np.arange(len(mine)), own] += 1 + slopes[np.arange(len(mine)), own]
             dq[mine] = slopes @ target
-            self._rise(self.target, self.squares[1], group, slopes.T @ here / n)
-            self._rise(self.bias, self.squares[3], group, slopes.sum(0) / n)
-        self._move_contexts(first, second, dq)
+            self._rise(self.target, self.squares[1], group, slopes.T @ here / per)
+            self._rise(self.bias, self.squares[3], group, slopes.sum(0) / per)
+        self._move_contexts(first, second, around, dq)
 
     def log_probability(self, first: np.ndarray, second: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of every token in its group, a group at a time."""
@@ -336,9 +351,9 @@ class Model:
     def __init__(self, vocabulary: Vocabulary):
         self.rare, bins = vocabulary.rare, vocabulary.bins
         self.size = max(1, math.ceil(math.sqrt(bins)))
-        self.classes = LogBilinear(vocabulary.class_counts(), kind=np.float32)
+        self.classes = LogBilinear(vocabulary.class_counts(), kind=np.float32, per=PER)
         groups = np.bincount(np.arange(bins) // self.size, vocabulary.bin_tokens)
-        self.groups = LogBilinear(groups, contexts=self.rare + bins, kind=np.float32)
+        self.groups = LogBilinear(groups, contexts=self.rare + bins, kind=np.float32, per=RARE_PER)
         self.bins = Members(vocabulary.bin_tokens, self.size, self.rare + bins)
         self.spread = np.log(vocabulary.bin_totals)
 
@@ -381,7 +396,14 @@ class Model:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
+
+
+def _weighted(around: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """What the context words of every token predict together."""
+    q = around[0] * position[0]
+    q += around[1] * position[1]
+    return q
 
 
 def _runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
