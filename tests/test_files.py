@@ -9,6 +9,7 @@ from tracemill import run as runner
 from tracemill.functions.columns import DAY
 from tracemill.operators import cached
 from tracemill.plans.catalog import ANALYSES
+from tracemill.plans.sharing import used_by_several
 from tracemill.session import scratch_folder
 from tracemill.sources.files import parse_lines, read_lines, read_table, read_utilization, table_lines
 from tracemill.sources.output import write_csv
@@ -189,8 +190,12 @@ def test_bad_lines_stay_out_of_analyses_and_conversions(spark):
         texts = [good, *bad] if name == "task_events" else ["broken"]
         spark.createDataFrame([(t,) for t in texts], "line string").write.text(f"{folder}/{name}")
     trace = CsvTrace(spark, folder, mode="quarantine")
-    parquet = trace.convert(scratch_folder(spark, "parquet"))
-    for t in (trace, parquet):
+    plain, by_day = ({"by_machine": True}, {"by_day": True, "by_machine": True})
+    parsed = []
+    trace._parsed = lambda table: parsed.append(table.name) or CsvTrace._parsed(trace, table)
+    converted = [trace.convert(scratch_folder(spark, "parquet"), **how) for how in ({}, plain, by_day, {"by_day": True})]
+    assert parsed == [*TABLES] * 4
+    for t in (trace, *converted):
         assert rows(ANALYSES["row_count"](t)) == [(1,)]
         assert rows(ANALYSES["task_event_totals"](t)) == [(1, 0, 0)]
         assert rows(ANALYSES["tasks_per_job"](t)) == [(1, 1)]
@@ -267,6 +272,30 @@ def test_every_analysis_is_written_and_shared_results_are_released(spark, csv_tr
     assert "attribute_lines" not in runner.run(trace, scratch_folder(spark, "out"), ["machine_count"])
 
 
+def test_only_what_several_use_is_kept(spark, csv_trace):
+    of = lambda *names: used_by_several(spark, [ANALYSES[n] for n in names])
+    assert of("machine_count") == of("life_cycle_percent", "job_task_totals", "machine_count") == set()
+    assert of("machine_count", "machine_dist_cpu") == {"machines_latest"}
+    assert of("machine_count", "distinct_machines") == {"machine_events"}
+    assert of("task_life_cycle", "life_cycle_percent", "tasks_per_job_summary", "tasks_per_job") == {"life_cycle", "tasks_per_job"}
+    kept = []
+
+    class Watched(CsvTrace):
+        def shared(self, name, make):
+            made = super().shared(name, make)
+            kept.append((name, made.is_cached, self.machine_events.is_cached))
+            return made
+
+    out = scratch_folder(spark, "out")
+    runner.run(Watched(spark, csv_trace.folder), out, ["machine_count"])
+    assert kept == [("machines_latest", False, False)]
+    paths = runner.run(Watched(spark, csv_trace.folder), out, ["machine_count", "machine_dist_cpu", "distinct_machines", "task_life_cycle"])
+    assert kept[1:] == [("machines_latest", True, True)] * 2 + [("life_cycle", False, True)]
+    for name, path in paths.items():
+        expected = ANALYSES[name](csv_trace)
+        assert sorted(rows(spark.read.option("header", True).schema(expected.schema).csv(path))) == sorted(rows(expected))
+
+
 def test_attribute_lines_are_converted(spark):
     trace = FirstDays(spark, SAMPLE)
     parquet = trace.convert(scratch_folder(spark, "parquet"), attributes=True)

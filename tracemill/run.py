@@ -5,15 +5,18 @@
 
 import argparse
 from collections.abc import Iterable
+from contextlib import nullcontext
 
 from pyspark.sql import SparkSession
 
 from tracemill.operators.cache import cached
 from tracemill.plans import machines
 from tracemill.plans.catalog import ANALYSES, ATTRIBUTE_ANALYSES, ROW_GRAIN
+from tracemill.plans.sharing import used_by_several
 from tracemill.sources.buckets import BucketedTrace, write_bucketed
 from tracemill.sources.ledger import LedgerTrace, convert_new
 from tracemill.sources.output import write_csv
+from tracemill.sources.schemas import MACHINE_EVENTS
 from tracemill.sources.trace import CsvTrace, ParquetTrace, Trace
 
 HISTORY = "machine_history"
@@ -30,7 +33,7 @@ def run(
     """Write each analysis to a folder of its name and return the paths; ``show`` prints first rows.
 
     Without ``names`` all are written, those over machine_attributes only with ``attributes``. With
-    ``machine``, the history of that machine as well. What several analyses share is computed once.
+    ``machine``, the history of that machine as well. What at least two of them use is computed once and kept meanwhile.
     """
     analyses = dict(ANALYSES)
     if machine is not None:
@@ -39,8 +42,11 @@ def run(
         names = [name for name in analyses if attributes or name not in ATTRIBUTE_ANALYSES]
     elif machine is not None:
         names = [*names, HISTORY]
-    paths = {}
-    with cached(trace.machine_events), trace.sharing():
+    names, paths = list(names), {}
+    # One analysis shares nothing, so its plan need not be built beforehand.
+    kept = used_by_several(trace.spark, [analyses[name] for name in names]) if len(names) > 1 else set()
+    events = cached(trace.machine_events) if MACHINE_EVENTS.name in kept else nullcontext()
+    with events, trace.sharing(kept):
         for name in names:
             result = analyses[name](trace)
             if show:

@@ -1,5 +1,7 @@
 """Writers: every result has a folder of its own name."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 
@@ -28,27 +30,27 @@ def write_parquet(
     folder: str,
     name: str,
     mode: str = "overwrite",
-    partition_by: str | None = None,
+    partition_by: str | Sequence[str] | None = None,
     cluster_by: str | None = None,
     row_group: int = LOOKUP_ROW_GROUP,
 ) -> str:
-    """Write ``df`` to ``folder/name``; with ``partition_by``, one sub-folder per value.
+    """Write ``df`` to ``folder/name``; with ``partition_by``, one sub-folder per value, or per value of each column.
 
     The rebalance gathers a value's rows in few files and splits a value that is too large. With
     ``cluster_by``, files and row groups (of ``row_group`` bytes) hold ranges of that column, within each sub-folder, and
     have a Bloom filter over it, so that the rows of one value are found without reading the others.
     """
     path = f"{folder.rstrip('/')}/{name}"
-    by = [partition_by] if partition_by else []
+    parts = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
     if cluster_by:
-        by = [*by, cluster_by]
+        by = [*parts, cluster_by]
         # All columns after the key, so that a value with very many rows is spread over files.
         rest = [c for c in df.columns if c not in by]
         df = df.repartitionByRange(*by, *rest).sortWithinPartitions(*by, *rest)
-    elif partition_by:
-        df = df.hint("rebalance", partition_by)
+    elif parts:
+        df = df.hint("rebalance", *parts)
     writer = df.write.mode(mode)
     if cluster_by:
         writer = writer.option(f"parquet.bloom.filter.enabled#{cluster_by}", "true").option("parquet.block.size", row_group)
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    (writer.partitionBy(*parts) if parts else writer).parquet(path)
     return path

@@ -1,6 +1,6 @@
 """A trace is five tables; here from CSV files, from Parquet, or derived from star-schema sample tables."""
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import cached_property
 
@@ -23,6 +23,7 @@ class Trace:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self._kept: dict[str, DataFrame] | None = None
+        self._keep: frozenset[str] | None = None
 
     @property
     def task_parts(self) -> list["Trace"]:
@@ -30,9 +31,10 @@ class Trace:
         return [self]
 
     @contextmanager
-    def sharing(self) -> Iterator[None]:
-        """Within the block, what analyses share is kept, in memory or on disk, and computed once."""
+    def sharing(self, only: Iterable[str] | None = None) -> Iterator[None]:
+        """Within the block, what analyses share is kept, in memory or on disk, and computed once; with ``only``, what it names."""
         self._kept = {}
+        self._keep = None if only is None else frozenset(only)
         try:
             yield
         finally:
@@ -42,7 +44,7 @@ class Trace:
 
     def shared(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """The result of ``make``; while sharing, the one that was made first under that name."""
-        if self._kept is None:
+        if self._kept is None or (self._keep is not None and name not in self._keep):
             return make()
         if name not in self._kept:
             self._kept[name] = make().persist(StorageLevel.MEMORY_AND_DISK)
@@ -81,6 +83,10 @@ class Trace:
             getattr(self, name).createOrReplaceTempView(name)
         self.machine_events.createOrReplaceTempView("macine_events")
 
+    def _to_convert(self, table: Table) -> DataFrame:
+        """The rows that a conversion writes."""
+        return getattr(self, table.name)
+
     def convert(
         self, folder: str, by_day: bool = False, attributes: bool = False, by_machine: bool = False
     ) -> "ParquetTrace":
@@ -90,12 +96,13 @@ class Trace:
         only. ``by_machine`` puts the rows of a machine next to each other, within a day if there are days, so that
         looking up one machine reads few row groups. ``attributes`` also writes the lines of machine_attributes.
         """
-        for name in TABLES:
-            table = getattr(self, name)
+        for name, table in TABLES.items():
+            rows = self._to_convert(table)
             if by_day:
-                table = table.withColumn("day", F.floor(F.col(CLOCK[name]) / DAY))
-            cluster = "machine_id" if by_machine and "machine_id" in table.columns else None
-            write_parquet(table, folder, name, partition_by="day" if by_day else None, cluster_by=cluster)
+                rows = rows.withColumn("day", F.floor(F.col(CLOCK[name]) / DAY))
+            parts = [c for c in ("good", "day") if c in rows.columns]
+            cluster = "machine_id" if by_machine and "machine_id" in rows.columns else None
+            write_parquet(rows, folder, name, partition_by=parts, cluster_by=cluster)
         if attributes:
             write_parquet(self.machine_attributes, folder, "machine_attributes")
         return ParquetTrace(self.spark, folder)
@@ -128,15 +135,9 @@ class CsvTrace(Trace):
             raise ValueError("bad lines are kept in quarantine mode only")
         return self._parsed(TABLES[name]).where("bad_line IS NOT NULL").select(F.col("bad_line").alias("line"))
 
-    def convert(
-        self, folder: str, by_day: bool = False, attributes: bool = False, by_machine: bool = False
-    ) -> "ParquetTrace":
-        """As for every trace; in quarantine mode the bad lines go to ``bad_lines/<table>`` as well."""
-        written = super().convert(folder, by_day, attributes, by_machine)
-        if self._quarantined:
-            for name in TABLES:
-                write_parquet(self.bad_lines(name), f"{folder.rstrip('/')}/bad_lines", name)
-        return written
+    def _to_convert(self, table: Table) -> DataFrame:
+        """In quarantine mode good rows and bad lines, told apart by ``good``, so that one pass over the files writes both."""
+        return self._parsed(table).withColumn("good", F.col("bad_line").isNull()) if self._quarantined else super()._to_convert(table)
 
     @cached_property
     def machine_attributes(self) -> DataFrame:
@@ -154,15 +155,18 @@ class ParquetTrace(Trace):
         super().__init__(spark)
         self.folder, self.start, self.end = folder.rstrip("/"), start, end
 
+    def _rows(self, table: Table) -> DataFrame:
+        # Of the last three, a table has those that its conversion had a use for; the others are null.
+        kind = table.schema.add("bad_line", "string").add("good", "boolean").add("day", "long")
+        return self.spark.read.schema(kind).parquet(f"{self.folder}/{table.name}")
+
     def _table(self, table: Table) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.folder}/{table.name}")
-        time, by_day = F.col(CLOCK[table.name]), "day" in df.columns
+        time, day = F.col(CLOCK[table.name]), F.col("day")
+        df = self._rows(table).where("good IS NULL OR good")
         if self.start is not None:
-            df = df.where(time >= self.start)
-            df = df.where(F.col("day") >= self.start // DAY) if by_day else df
+            df = df.where((time >= self.start) & (day.isNull() | (day >= self.start // DAY)))
         if self.end is not None:
-            df = df.where(time < self.end)
-            df = df.where(F.col("day") <= (self.end - 1) // DAY) if by_day else df
+            df = df.where((time < self.end) & (day.isNull() | (day <= (self.end - 1) // DAY)))
         return df.select(*table.columns)
 
     @cached_property
@@ -170,8 +174,8 @@ class ParquetTrace(Trace):
         return self.spark.read.parquet(f"{self.folder}/machine_attributes")
 
     def bad_lines(self, name: str) -> DataFrame:
-        """Lines that a quarantine trace kept apart when it was converted."""
-        return self.spark.read.parquet(f"{self.folder}/bad_lines/{name}")
+        """Lines that a quarantine trace kept apart when it was converted, in a column ``line``."""
+        return self._rows(TABLES[name]).where("NOT good").select(F.col("bad_line").alias("line"))
 
 
 def _days(timestamp: str, first: str = "1995-01-01") -> Column:
