@@ -2,6 +2,7 @@
 
 import html
 import re
+from collections import Counter
 
 import pytest
 
@@ -75,6 +76,42 @@ def test_the_window_decides(page, text):
     assert extract.main_text(page) == text
 
 
+def unmarked(page):
+    """Without article elements and without names."""
+    return re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", re.sub(r"(</?)article\b", r"\1div", page))
+
+
+def boxes(page):
+    """With a ``div`` for every element that holds others."""
+    return re.sub(r"(</?)(nav|footer|header|aside|main|section)\b", r"\1div", unmarked(page))
+
+
+def word_f1(text, other):
+    a, b = Counter(text.split()), Counter(other.split())
+    return 2 * (a & b).total() / max(1, a.total() + b.total())
+
+
+@pytest.mark.parametrize(("change", "least"), [(unmarked, 0.98), (boxes, 0.96)])
+def test_lengths_and_paragraphs_tell_the_article_of_pages_without_marks(spark, change, least):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    found = [word_f1(article_of(p), extract.main_text(change(p))) for p in pages]
+    every_line = [word_f1(article_of(p), "\n".join(b.text for b in extract.lines(change(p)))) for p in pages]
+    mean, without = sum(found) / len(pages), sum(every_line) / len(pages)
+    assert mean > least and mean > without + 0.02
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<div><p>{LONG}</p><ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a><li><a href=d>Four</a></ul><p>Short end.</p></div>", f"{LONG}\nShort end."),
+    (f"<div>Buy this now</div><div><h1>Title</h1><p>{LONG}</p><p>End</p></div><div>&copy; 2024 us</div>", f"Title\n{LONG}\nEnd"),
+    (f"<div>Intro {LONG} {LONG}</div><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>", f"Intro {LONG} {LONG}\n{LONG}\n{LONG}\n{LONG}"),
+    (f"<div>First {LONG}<div>Then short</div><div>{LONG}</div><div>Last</div></div>", f"First {LONG}\nThen short\n{LONG}\nLast"),
+    (f"<div><p>{LONG}</p></div><ul><li><a href=a>A</a><li><a href=b>B</a><li><a href=c>C</a></ul><div><p>Other box.</p></div>", LONG),
+])
+def test_ends_of_unmarked_articles(page, text):
+    """Bare short lines at the ends go; short paragraphs in the article's own element stay, those in another do not."""
+    assert extract.main_text(page) == text
+
+
 def test_deep_pages_end():
     assert extract.main_text("<div><table>" + "<b>" * 50_000 + "</div>" * 50_000 + f"<p>{LONG}") == LONG
 

@@ -21,6 +21,8 @@ from tracemill.llm.common import per_text
 WINDOW = 3
 LEAST_SURGE = 80
 ARTICLE_WEIGHT = 4
+#: Length of a line outside paragraphs that may start or end a span of paragraphs: what stands bare weighs half.
+LEAST_BARE = 2 * LEAST_SURGE
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -75,6 +77,8 @@ _SIBLINGS = {
 _CLOSED = frozenset("table td th caption".split())
 _IN_HEAD = frozenset("base basefont bgsound link meta head".split())
 _P = frozenset("p")
+#: Elements whose text is a paragraph, heading, item or cell; text that stands in another is bare.
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption figcaption summary".split())
 _LISTS = frozenset("ul ol menu".split()) | _CLOSED
 #: Elements inside each other; a deeper one stands beside the last.
 _DEPTH = 512
@@ -85,6 +89,8 @@ class Line:
     text: str
     plain: int  # characters outside links
     article: bool
+    paragraph: bool = False
+    box: int = 0  # the element that holds the paragraph
 
 
 @dataclass(slots=True)
@@ -106,6 +112,8 @@ class _Block:
     articles: int
     aside: _Aside
     opens: bool  # stands for the start of its aside
+    paragraph: bool = False
+    box: int = 0
 
 
 def _named(attributes: str) -> set[str]:
@@ -155,7 +163,8 @@ def lines(page: str) -> list[Line]:
     linked: list[str] = []
     asides = [_Aside(None, False, 0)]
     now = asides[0]  # the innermost that is open
-    stack: list[tuple[str, _Aside | None]] = []
+    stack: list[tuple[str, _Aside | None, int]] = []
+    opened = 0  # elements so far
     count: Counter[str] = Counter()  # open elements by tag
     articles = 0
     at = 0
@@ -163,7 +172,10 @@ def lines(page: str) -> list[Line]:
     def end_block() -> None:
         text = " ".join(html.unescape("".join(held)).split())
         links = " ".join(html.unescape("".join(linked)).split())
-        blocks.append(_Block(text, len(text) - len(links), articles, now, False))
+        around = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE), -1)
+        paragraph = around >= 0 and stack[around][0] in PARAGRAPHS
+        held_by = around - paragraph
+        blocks.append(_Block(text, len(text) - len(links), articles, now, False, paragraph, stack[held_by][2] if held_by >= 0 else 0))
         held.clear()
         linked.clear()
 
@@ -176,7 +188,7 @@ def lines(page: str) -> list[Line]:
     def pop_to(depth: int) -> None:
         nonlocal now, articles
         while len(stack) > depth:
-            tag, aside = stack[-1]
+            tag, aside, _ = stack[-1]
             if aside is not None:
                 end_block()
                 now = aside.outer
@@ -228,7 +240,8 @@ def lines(page: str) -> list[Line]:
             aside = now = _Aside(now, tag in SURE, articles)
             asides.append(aside)
             blocks.append(_Block("", 0, articles, aside, True))
-        stack.append((tag, aside))
+        opened += 1
+        stack.append((tag, aside, opened))
         count[tag] += 1
         articles += tag in ARTICLE
     take(page[at:])
@@ -240,16 +253,47 @@ def lines(page: str) -> list[Line]:
             if b.aside.dropped and not b.aside.outer.dropped:
                 found.append(Line("", 0, b.articles > 0))
         elif not b.aside.dropped and (b.text or (found and found[-1].text)):
-            found.append(Line(b.text, b.plain, b.articles > 0))
+            found.append(Line(b.text, b.plain, b.articles > 0, b.paragraph, b.box))
     return found
 
 
+def _spans(lengths: list[int]) -> list[tuple[int, int, int]]:
+    """Runs of windows that hold text, as first and last line with text and the largest sum."""
+    sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
+    spans: list[tuple[int, int, int]] = []
+    i = 0
+    while i < len(sums):
+        if not sums[i]:
+            i += 1
+            continue
+        j = i
+        while j < len(sums) and sums[j]:
+            j += 1
+        text = [k for k in range(i, min(j + WINDOW, len(lengths))) if lengths[k]]
+        if text:
+            spans.append((text[0], text[-1], max(sums[i:j])))
+        i = j
+    return spans
+
+
+def _at_paragraphs(blocks: list[Line], lengths: list[int], first: int, last: int) -> tuple[int, int]:
+    """A span between its paragraphs: short bare lines at its ends, as of adverts and small print, are cut off."""
+    text = [k for k in range(first, last + 1) if lengths[k]]
+    if 2 * sum(lengths[k] for k in text if blocks[k].paragraph) < sum(lengths[k] for k in text):
+        return first, last
+    stay = [k for k in text if blocks[k].paragraph or lengths[k] >= LEAST_BARE]
+    return stay[0], stay[-1]
+
+
 def main_text(page: str | None) -> str:
     """The article of a page, one line per block; empty if there is none.
 
     A line that is mostly links counts as empty. Only text whose window reaches ``LEAST_SURGE``
     somewhere is kept, or, if none does, the longest. If article elements hold at least half of the
     text outside links, all other lines are empty, and their own count by ``ARTICLE_WEIGHT``, links included.
+
+    Where no article is marked, a span with most of its text in paragraphs starts and ends with one, or with a long
+    line, and paragraphs that stand in the same element as one of it are kept too, however short.
     """
     blocks = lines(page or "")
     inside = sum(b.plain for b in blocks if b.article)
@@ -258,25 +302,18 @@ def main_text(page: str | None) -> str:
         lengths = [ARTICLE_WEIGHT * len(b.text) if b.article else 0 for b in blocks]
     else:
         lengths = [len(b.text) if 2 * b.plain > len(b.text) else 0 for b in blocks]
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
-    spans: list[tuple[int, int, int]] = []  # first and last line with text, and the largest sum
-    i = 0
-    while i < len(sums):
-        if not sums[i]:
-            i += 1
-            continue
-        j = i
-        while j < len(sums) and sums[j]:
-            j += 1
-        text = [k for k in range(i, min(j + WINDOW, len(lengths))) if lengths[k]]
-        if text:
-            spans.append((text[0], text[-1], max(sums[i:j])))
-        i = j
+    spans = _spans(lengths)
     if not spans:
         return ""
     surging = [s for s in spans if s[2] >= LEAST_SURGE]
-    spans = surging or [max(spans, key=lambda s: s[2])]
-    return "\n".join(b.text for first, last, _ in spans for b in blocks[first : last + 1] if b.text and (b.article or not marked))
+    kept = [(first, last) for first, last, _ in surging or [max(spans, key=lambda s: s[2])]]
+    if marked:
+        return "\n".join(b.text for first, last in kept for b in blocks[first : last + 1] if b.text and b.article)
+    kept = [_at_paragraphs(blocks, lengths, *span) for span in kept]
+    within = {k for first, last in kept for k in range(first, last + 1) if blocks[k].text}
+    boxes = {blocks[k].box for k in within if blocks[k].paragraph and lengths[k]}
+    within |= {k for k, b in enumerate(blocks) if lengths[k] and b.paragraph and b.box in boxes}
+    return "\n".join(blocks[k].text for k in sorted(within))
 
 
 _KIND = pa.struct([("text", pa.string()), ("n_chars", pa.int64())])
