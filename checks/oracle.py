@@ -8,7 +8,8 @@ sides do not share their way of finding them.
 import re
 
 from checks import uneven
-from checks.roundtrips import BY_TASK
+from checks.roundtrips import BY_TASK, FIRST_DAY, LAST_DAY, SKETCH_BOUND, STORED_DAYS
+from tracemill.functions.columns import DAY
 
 VIEWS = {
     "machine_events": """
@@ -212,6 +213,10 @@ _ATTRIBUTE_LINES = """
 # Task events without those whose lines are damaged.
 _GOOD_TASKS = {"task_events": "SELECT * FROM base_task_events WHERE time % 97 <> 0 AND time % 89 <> 0"}
 
+_FOLDED_DAYS = f"""
+    SELECT * FROM (SELECT * REPLACE (((time % {STORED_DAYS * DAY}) + {STORED_DAYS * DAY}) % {STORED_DAYS * DAY} AS time) FROM base_task_events)
+    WHERE time >= {FIRST_DAY * DAY} AND time < {(LAST_DAY + 1) * DAY}"""
+
 QUERIES = {
     # machines
     "machines_latest": "SELECT * FROM machines_latest",
@@ -432,5 +437,11 @@ def oracle_sql() -> dict[str, str]:
         "ledger_machines_latest": plain["machines_latest"],
         "clustered_machine_history": plain["machine_history"],
     }
+    days = over_other_tables({"task_events": _FOLDED_DAYS})
+    stored = {
+        "stored_life_cycle_events": with_views(QUERIES["task_life_cycle_events"], days),
+        "stored_daily_schedule": with_views(QUERIES["daily_task_schedule"], days),
+        "stored_task_counts": with_views("SELECT priority, distinct_task_count, TRUE AS within_bound FROM life_cycle", days),
+    }
     good = over_other_tables(_GOOD_TASKS)
-    return {**plain, **others, **buckets, **kept, "quarantine_life_cycle": with_views(QUERIES["task_life_cycle"], good)}
+    return {**plain, **others, **buckets, **kept, **stored, "quarantine_life_cycle": with_views(QUERIES["task_life_cycle"], good)}

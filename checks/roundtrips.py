@@ -5,8 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from checks.uneven import UnevenTrace
+from tracemill.functions.columns import DAY
 from tracemill.operators.aggregates import row_count
-from tracemill.plans import machines, tasks, usage
+from tracemill.plans import machines, partials, tasks, usage
 from tracemill.plans.catalog import ANALYSES
 from tracemill.session import scratch_folder
 from tracemill.sources.buckets import write_bucketed
@@ -134,6 +135,35 @@ def _clustered(t: Trace) -> ParquetTrace:
     return ParquetTrace(t.spark, folder)
 
 
+#: Sample times are folded into so many days, as a trace has; the first and last day of the merged range.
+STORED_DAYS, FIRST_DAY, LAST_DAY = 30, 5, 24
+#: Four times the relative error of a sketch.
+SKETCH_BOUND = 0.032
+
+
+def _folded(t: Trace) -> DataFrame:
+    return t.task_events.withColumn("time", F.pmod("time", F.lit(STORED_DAYS * DAY)))
+
+
+def _stored_days(t: Trace) -> DataFrame:
+    """States of a range of days, stored in two deliveries; the second brings a day anew that the first had in part."""
+    folder, middle = scratch_folder(t.spark, "days"), 15 * DAY
+    events = _folded(t)
+    partials.store_days(events.where((F.col("time") < middle) | ((F.col("time") < middle + DAY) & (F.col("job_id") % 2 == 0))), folder)
+    partials.store_days(events.where(F.col("time") >= middle), folder)
+    return partials.stored_days(t.spark, folder, FIRST_DAY, LAST_DAY)
+
+
+def _stored_task_counts(t: Trace) -> DataFrame:
+    """Exact distinct tasks of the range by priority, and whether the united sketches are within their bound."""
+    inside = _folded(t).where(F.col("time").between(FIRST_DAY * DAY, (LAST_DAY + 1) * DAY - 1))
+    exact = tasks.task_life_cycle(inside).select("priority", "distinct_task_count")
+    off = F.abs(F.col("estimated_task_count") - F.col("distinct_task_count"))
+    both = exact.join(partials.merged_task_counts(_stored_days(t)), "priority", "left")
+    within = F.coalesce(off <= SKETCH_BOUND * F.col("distinct_task_count"), F.lit(False))
+    return both.select("priority", "distinct_task_count", within.alias("within_bound"))
+
+
 def _sql(t: Trace) -> DataFrame:
     t.register_views()
     return t.spark.sql("SELECT event_type, count(*) AS count FROM task_events GROUP BY event_type")
@@ -164,6 +194,9 @@ ROUND_TRIPS: dict[str, Callable[[Trace], DataFrame]] = {
     "ledger_task_events": lambda t: _ledger(t).task_events,
     "ledger_machines_latest": lambda t: ANALYSES["machines_latest"](_ledger(t)),
     "clustered_machine_history": lambda t: machines.machine_history(_clustered(t).machine_events, MACHINE),
+    "stored_life_cycle_events": lambda t: partials.merged_life_cycle_events(_stored_days(t)),
+    "stored_daily_schedule": lambda t: partials.merged_daily_schedule(_stored_days(t)),
+    "stored_task_counts": _stored_task_counts,
     **{f"bucketed_{name}": _bucketed(name) for name in BY_TASK},
     "parse_lines_roundtrip": lambda t: parse_lines(table_lines(t.job_events, JOB_EVENTS), JOB_EVENTS),
     "sink_csv_roundtrip": lambda t: _sink(t, tasks.task_life_cycle(t.task_events), "task_life_cycle", False),
