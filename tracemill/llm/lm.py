@@ -19,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -177,8 +178,7 @@ class Reader:
 
     def places(self, found: list[bytes]) -> np.ndarray:
         """Place of every word in the head, -1 outside."""
-        get = self.place.get
-        return np.array([get(w, -1) for w in found], np.int64)
+        return np.fromiter(map(self.place.get, found, repeat(-1)), np.int64, len(found))
 
     def classes(self, found: list[bytes], places: np.ndarray) -> np.ndarray:
         """Class of every word, then of the end; a rare word has the rare class plus its bin."""
@@ -277,11 +277,13 @@ class LogBilinear:
         pairs = pairs[np.isnan(self.norms.ravel()[pairs])]
         for start in range(0, len(pairs), _ROWS):
             a, b = np.divmod(pairs[start : start + _ROWS], n)
-            scores = self.predicted(a, b) @ self.target.T + self.bias
+            scores = self.predicted(a, b) @ self.target.T
+            scores += self.bias
             most = scores.max(axis=1)
-            self.norms[a, b] = most + np.log(np.exp((scores - most[:, None]).astype(np.float32)).sum(axis=1, dtype=np.float64))
-        score = (self.predicted(first, second) * self.target[token]).sum(1) + self.bias[token]
-        return score - self.norms[first, second]
+            scores -= most[:, None]
+            self.norms[a, b] = most + np.log(np.exp(scores, out=scores).sum(axis=1, dtype=np.float64))
+        score = np.einsum("td,td->t", self.predicted(first, second), self.target.take(token, axis=0)) + self.bias[token]
+        return score - self.norms.ravel().take(first * n + second)
 
     def _each(self, first: np.ndarray, second: np.ndarray, token: np.ndarray) -> np.ndarray:
         """The same token by token: there are too many contexts to keep their sums."""
@@ -289,10 +291,11 @@ class LogBilinear:
         target, bias = self.target.T.astype(np.float32), self.bias.astype(np.float32)
         for start in range(0, len(token), _ROWS):
             part = slice(start, start + _ROWS)
-            scores = self.predicted(first[part], second[part]).astype(np.float32) @ target + bias
+            scores = self.predicted(first[part], second[part]).astype(np.float32, copy=False) @ target
+            scores += bias
             scores -= scores.max(axis=1, keepdims=True)
             own = scores[np.arange(len(scores)), token[part]]
-            out[part] = own - np.log(np.exp(scores).sum(axis=1, dtype=np.float64))
+            out[part] = own - np.log(np.exp(scores, out=scores).sum(axis=1, dtype=np.float64))
         return out
 
 
@@ -324,7 +327,7 @@ class Members(LogBilinear):
         q = _weighted(around, self.position)
         dq = np.empty_like(q)
         for mine, group in self._by_group(token):
-            here, target = q[mine], self.target[group]
+            here, target = q.take(mine, axis=0), self.target[group]
             slopes = -_sigmoid(here @ target.T + self.bias[group])
             # A true token counts as such, and once more as a part of the noise.
             own = token[mine] - group.start
@@ -338,10 +341,11 @@ class Members(LogBilinear):
         """Natural logarithm of the probability of every token in its group, a group at a time."""
         out = np.zeros(len(token))
         for mine, group in self._by_group(token):
-            scores = self.predicted(first[mine], second[mine]) @ self.target[group].T + self.bias[group]
+            scores = self.predicted(first.take(mine), second.take(mine)) @ self.target[group].T
+            scores += self.bias[group]
             scores -= scores.max(axis=1, keepdims=True)
-            own = scores[np.arange(len(mine)), token[mine] - group.start]
-            out[mine] = own - np.log(np.exp(scores.astype(np.float32)).sum(axis=1, dtype=np.float64))
+            own = scores[np.arange(len(mine)), token.take(mine) - group.start]
+            out[mine] = own - np.log(np.exp(scores, out=scores).sum(axis=1, dtype=np.float64))
         return out
 
 
@@ -396,7 +400,10 @@ class Model:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    x = np.tanh(0.5 * x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 def _weighted(around: np.ndarray, position: np.ndarray) -> np.ndarray:
