@@ -306,3 +306,23 @@ def test_cached_result_is_released(spark):
     with cached(spark.range(10)) as kept:
         assert kept.count() == 10 and kept.is_cached
     assert not kept.is_cached
+
+
+@pytest.mark.parametrize("mode", ["strict", "lazy", "quarantine"])
+def test_a_line_is_split_once_below_any_filter(spark, mode):
+    """No filter, of the parser or above it, has the split of the line again."""
+    lines = spark.createDataFrame([("1,2,0,P,0.5,0.25",)], "line string")
+    parsed = parse_lines(lines, MACHINE_EVENTS, mode=mode)
+    read = parsed.where("cpu > 0 AND memory > 0" + (" AND bad_line IS NULL" if mode == "quarantine" else ""))
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert [r.memory for r in read.collect()] == [0.25]
+
+
+def test_suffixes_of_numbers_are_bad_in_every_mode(spark):
+    texts = ["0.5", "0.5d", "0.5F ", "-inf", "Infinity", "INF ", "d", "", "1e3", "1e3f"]
+    lines = spark.createDataFrame([(f"{i},2,0,P,{x},0.25",) for i, x in enumerate(texts)], "line string")
+    found = parse_lines(lines, MACHINE_EVENTS, mode="quarantine").where("bad_line IS NOT NULL").select("time")
+    assert sorted(r.time for r in found.collect()) == [1, 2, 6, 9]
+    good = parse_lines(lines.where("NOT line RLIKE '^[1269],'"), MACHINE_EVENTS).orderBy("time").collect()
+    assert [r.cpu for r in good] == [0.5, float("-inf"), float("inf"), float("inf"), 0.0, 1000.0]
