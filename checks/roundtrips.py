@@ -10,7 +10,7 @@ from tracemill.operators.aggregates import row_count
 from tracemill.plans import machines, partials, tasks, usage
 from tracemill.plans.catalog import ANALYSES
 from tracemill.session import scratch_folder
-from tracemill.sources.buckets import write_bucketed
+from tracemill.sources.buckets import buckets_for, write_bucketed
 from tracemill.sources.files import parse_lines, read_lines, read_table, read_utilization, table_lines
 from tracemill.sources.ledger import LedgerTrace, convert_new
 from tracemill.sources.output import write_csv, write_parquet
@@ -101,7 +101,8 @@ def _bucketed(name: str) -> Callable[[Trace], DataFrame]:
     """An analysis over task tables written in buckets, the rows of hot tasks apart."""
     def query(t: Trace) -> DataFrame:
         trace = UnevenTrace(t.spark, t.folder)
-        return ANALYSES[name](write_bucketed(trace, scratch_folder(t.spark, "bucketed"), 8, _HOT_ROWS))
+        buckets = buckets_for(trace.task_usage.count(), least=8)
+        return ANALYSES[name](write_bucketed(trace, scratch_folder(t.spark, "bucketed"), buckets, _HOT_ROWS))
 
     return query
 

@@ -52,11 +52,12 @@ class UnevenTrace(SampleTrace):
         job, index = F.col("job_id"), F.col("task_index")
         tasks = super().task_events
         tasks = tasks.withColumn("machine_id", F.when(job % 13 == 0, F.col("machine_id") + 1_000_000).otherwise(F.col("machine_id")))
-        repeated = tasks.where(job % 5 == 0)
-        shifted = tasks.where((job % 7 == 0) & (job >= 10)).withColumns({
-            "job_id": F.floor(job / 10), "task_index": (job % 10) * 10 + index,
-        })
-        return tasks.unionByName(repeated).unionByName(shifted)
+        # One scan and one join with the orders, whose rows are then made one to three.
+        own = F.struct("job_id", "task_index")
+        shifted = F.struct(F.floor(job / 10).alias("job_id"), ((job % 10) * 10 + index).alias("task_index"))
+        ids = F.array(own, F.when(job % 5 == 0, own), F.when((job % 7 == 0) & (job >= 10), shifted))
+        copies = tasks.withColumn("_ids", F.explode(F.filter(ids, lambda i: i.isNotNull())))
+        return copies.withColumns({"job_id": F.col("_ids.job_id"), "task_index": F.col("_ids.task_index")}).drop("_ids")
 
     @cached_property
     def task_usage(self) -> DataFrame:

@@ -11,7 +11,7 @@ from tests.test_scale import conf, largest_task_share, many_tasks, physical, spl
 from tracemill.plans import usage
 from tracemill.plans.catalog import ANALYSES
 from tracemill.session import scratch_folder
-from tracemill.sources.buckets import BucketedTrace, hot_tasks, write_bucketed
+from tracemill.sources.buckets import BucketedTrace, buckets_for, hot_tasks, write_bucketed
 from tracemill.sources.schemas import TABLES
 from tracemill.sources.trace import SampleTrace
 
@@ -112,3 +112,18 @@ def test_order_scans_each_source_once(spark, bucketed):
     assert len(re.findall("FileScan", plan)) == 1 and "Join" not in plan
     found = [(r.job_id, r.task_index) for r in ANALYSES["usage_with_request"](bucketed).collect()]
     assert found == sorted(found) and len(found) > 100
+
+
+def test_many_hot_tasks_lie_beside_the_buckets(spark, monkeypatch):
+    """Hot tasks that cannot be broadcast are told apart in the one shuffle that deals the buckets."""
+    monkeypatch.setattr("tracemill.sources.buckets.fits_broadcast", lambda *_: False)
+    plain = UnevenTrace(spark, FOLDER)
+    laid_out = write_bucketed(plain, scratch_folder(spark, "beside"), buckets_for(3_000_000, 4), hot_rows=1)
+    cold, apart = laid_out.task_parts
+    assert laid_out.beside and laid_out.buckets == 6 and apart.task_events.count() and cold.task_events.count()
+    keys = {(r.job_id, r.task_index) for r in hot_tasks(plain, 1).collect()}
+    assert {(r.job_id, r.task_index) for r in apart.task_events.union(apart.task_events).collect()} <= keys
+    for name in ("task_events", "task_usage"):
+        assert rows(getattr(laid_out, name)) == rows(getattr(plain, name))
+    for name in ("task_durations", "resource_requested_used"):
+        assert rows(ANALYSES[name](laid_out)) == rows(ANALYSES[name](plain))
